@@ -4,44 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def grouped_medians(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], bucket_width: float = 60.0) -> DataFrame:
-    """Interpolated median of each metric per key, NULLs ignored: columns keys + `median_<metric>`.
+def value_histogram(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Rows per key, metric and value (NULL values included): keys, metric, x, n.
 
-    Rows shrink to a histogram (key, value, count) before the shuffle, which also spreads a hot key
-    over its values. Bucket totals then show which bucket holds the middle ranks, and only that
-    bucket's values are ranked, so a task sees at most the distinct values of one bucket.
+    Combined map-side; the shuffle spreads a hot key over its values.
     """
-    by = [*keys, "metric"]
     points = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    histogram = (
-        df.select(*keys, F.inline(points))
-        .where("x is not null")
-        .groupBy(*by, "x").agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("x") / bucket_width))
-    )
+    return df.select(*keys, F.inline(points)).groupBy(*keys, "metric", "x").agg(F.count("*").alias("n"))
+
+
+def histogram_medians(histogram: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+                      bucket_width: float = 60.0) -> DataFrame:
+    """Rows and interpolated median (NULLs ignored) per key: keys, `rows`, `median_<metric>`.
+
+    Bucket totals show which bucket holds the middle ranks; only values of that bucket are ranked,
+    so a task sees the buckets of a key or the distinct values of one bucket, never its rows.
+    """
+    by = [*keys, "metric"]
+    bucketed = histogram.withColumn("bucket", F.floor(F.col("x") / bucket_width))
     per_key = W.partitionBy(*by)
-    before = F.sum("size").over(per_key.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    middle = (
-        histogram.groupBy(*by, "bucket").agg(F.sum("n").alias("size"))
-        .withColumn("before", F.coalesce(before, F.lit(0)))
-        .withColumn("total", F.sum("size").over(per_key))
-        .withColumn("low", F.floor((F.col("total") - 1) / 2))
-        .withColumn("high", F.floor(F.col("total") / 2))
-        .where("before <= high and before + size > low")
-        .select(*[F.col(c).alias(f"m_{c}") for c in [*by, "bucket"]], "before", "low", "high")
+    known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("size"))).over(per_key)
+    before = F.sum("size").over(
+        per_key.orderBy(F.col("bucket").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
+    buckets = (
+        bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("size"))
+        .withColumns({"rows": F.sum("size").over(per_key), "known": known, "before": F.coalesce(before, F.lit(0))})
+        .withColumns({"low": F.floor((F.col("known") - 1) / 2), "high": F.floor(F.col("known") / 2)})
+        .where("known is null or (bucket is not null and before <= high and before + size > low)")
+        .select(*[F.col(c).alias(f"b_{c}") for c in [*by, "bucket"]], "rows", "before", "low", "high")
     )
-    same = [histogram[c].eqNullSafe(middle[f"m_{c}"]) for c in by] + [histogram["bucket"] == middle["m_bucket"]]
+    same = [bucketed[c].eqNullSafe(buckets[f"b_{c}"]) for c in [*by, "bucket"]]
     smaller = F.sum("n").over(W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, -1))
-    first = F.col("before") + F.coalesce(smaller, F.lit(0))
-    ranked = histogram.join(middle, same).withColumn("first", first).withColumn("last", F.col("first") + F.col("n") - 1)
-    hits = F.col("low").between(F.col("first"), F.col("last")).cast("int") + \
-        F.col("high").between(F.col("first"), F.col("last")).cast("int")
-    picked = ranked.withColumn("hits", hits).where("hits > 0")
-    value = F.sum(F.col("x") * F.col("hits")) / 2
-    return picked.groupBy(*keys).pivot("metric", list(metrics)).agg(value).select(
-        *keys, *[F.col(m).alias(f"median_{m}") for m in metrics])
+    ranked = bucketed.join(buckets, same).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
+    last = F.col("first") + F.col("n") - 1
+
+    def holds(rank: str) -> Column:
+        return F.col(rank).between(F.col("first"), last).cast("int")
+
+    share = F.col("x") * (holds("low") + holds("high")) / 2
+    return ranked.groupBy(*keys).agg(
+        F.max("rows").alias("rows"),
+        *[F.sum(F.when(F.col("metric") == m, share)).alias(f"median_{m}") for m in metrics])

@@ -138,28 +138,26 @@ def operated_by_condition(flights: DataFrame) -> DataFrame:
     )
 
 
-def condition_medians(operated: DataFrame, keys: list[str]) -> DataFrame:
-    """Flights and median delay and taxi-out per key and conditions, side by side.
+CONDITION_METRICS = ["dep_delay_min", "taxi_out_min"]
 
-    Counts come with map-side combining; medians from histograms, so no group is gathered.
-    """
-    by = [*keys, "conditions"]
-    counts = operated.groupBy(*by).agg(F.count("*").alias("operated"))
-    middles = medians.grouped_medians(operated, by, ["dep_delay_min", "taxi_out_min"])
-    renamed = middles.select(*[F.col(c).alias(f"m_{c}") for c in by], F.col("median_dep_delay_min").alias("median_delay"),
-                             F.col("median_taxi_out_min").alias("median_taxi_out"))
-    same = [counts[c].eqNullSafe(renamed[f"m_{c}"]) for c in by]
-    wide = counts.join(renamed, same, "left").groupBy(*keys).pivot("conditions", ["normal", "winter"]).agg(
-        F.first("operated").alias("operated"), F.first("median_delay").alias("median_delay"),
-        F.first("median_taxi_out").alias("median_taxi_out"))
-    names = ["operated", "median_delay", "median_taxi_out"]
-    return wide.select(*keys, *[F.col(f"{c}_{n}").alias(f"{n}_{c}") for n in names for c in ("normal", "winter")])
-
-
-def winter_normal_medians(flights: DataFrame) -> DataFrame:
+
+def condition_histogram(flights: DataFrame, keys: list[str]) -> DataFrame:
+    """Value counts of delay and taxi-out per key and conditions: the only pass over flight rows."""
+    return medians.value_histogram(operated_by_condition(flights), [*keys, "conditions"], CONDITION_METRICS)
+
+
+def condition_medians(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """Operated flights and median delay and taxi-out per key, winter and normal hours side by side."""
+    per_condition = medians.histogram_medians(histogram, [*keys, "conditions"], CONDITION_METRICS)
+    measures = {"operated": "rows", "median_delay": "median_dep_delay_min", "median_taxi_out": "median_taxi_out_min"}
+    return per_condition.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("conditions") == c, F.col(source))).alias(f"{name}_{c}")
+        for name, source in measures.items() for c in ("normal", "winter")])
+
+
+def winter_normal_medians(histogram: DataFrame) -> DataFrame:
     """Operated winter flights and the medians in winter and normal hours per airline group."""
-    wide = condition_medians(operated_by_condition(flights), GROUP)
-    return wide.select(
+    return condition_medians(histogram, GROUP).select(
         *GROUP,
         values.or_zero(F.col("operated_winter")).alias("operated_winter"),
         F.col("median_delay_winter").alias("median_delay_winter_min"),

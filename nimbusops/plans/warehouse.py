@@ -115,13 +115,19 @@ class Warehouse:
     def _airline_windows(self) -> DataFrame:
         return marts.airline_windows(self.view("onset_flights"))
 
+    def _group_histogram(self) -> DataFrame:
+        grouped = marts.with_airline_group(self.view("flights_weather"), self.airline_groups)
+        return marts.condition_histogram(grouped, marts.GROUP)
+
+    def _station_histogram(self) -> DataFrame:
+        return marts.condition_histogram(self.view("flights_weather"), marts.PAIR)
+
     def _winter_normal_medians(self) -> DataFrame:
-        return marts.winter_normal_medians(marts.with_airline_group(self.view("flights_weather"), self.airline_groups))
+        return marts.winter_normal_medians(self.table("group_histogram"))
 
     def _airline_storm(self) -> DataFrame:
         self.table("weather_hourly")
-        return marts.airline_storm(
-            self.table("airline_windows"), self.table("winter_normal_medians"), self.params)
+        return marts.airline_storm(self.table("airline_windows"), self.view("winter_normal_medians"), self.params)
 
     def _storm_days(self) -> DataFrame:
         return marts.storm_days(self.table("storm_summary"), self.params)
@@ -149,12 +155,20 @@ class Warehouse:
 
     # full build
 
-    def register(self) -> None:
-        """Build every model once and register it for SQL under its layer name."""
-        for model, layer in LAYERS.items():
-            built = self.view(model) if layer == "stg" else self.table(model)
+    def register(self, models: Sequence[str] = tuple(LAYERS)) -> None:
+        """Build models once and register them for SQL under their layer names."""
+        for model in models:
+            built = self.view(model) if LAYERS[model] == "stg" else self.table(model)
             built.createOrReplaceTempView(table_name(model))
 
+    def query(self, sql: str) -> DataFrame:
+        return self.spark.sql(sql)
+
+    def models(self) -> dict[str, DataFrame]:
+        """All models and seeds by name, for checks."""
+        built = {m: self.view(m) if layer == "stg" else self.table(m) for m, layer in LAYERS.items()}
+        return {**built, "storm_events": self.events, "airline_groups": self.airline_groups}
+
     def save(self, database: str) -> None:
         """Write prep and mart models as catalog tables of a database, staging models as views."""
         for model, layer in LAYERS.items():

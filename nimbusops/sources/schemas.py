@@ -43,7 +43,6 @@ RAW_OBSERVATIONS = (
     "airport_code string, station string, valid_utc timestamp_ntz, report_type string, "
     + ", ".join(f"{f} string" for f in OBSERVATION_FIELDS)
 )
-OBSERVATION_CSV = "station string, valid string, " + ", ".join(f"{f} string" for f in OBSERVATION_FIELDS)
 
 STORM_EVENTS = (
     "event_id string, event_name string, data_start date, data_end date, "
