@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from nimbusops import adapters
 from nimbusops import fixed_values as fixed
+from nimbusops.config import Station, stations_frame
 from nimbusops.functions import times, values
 from nimbusops.operators import episodes, hourly
 from nimbusops.plans import marts, reports
@@ -40,9 +41,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    events = read(spark, sf_dir, "events")
-    return Warehouse(
-        spark, adapters.raw_flights(events), adapters.raw_observations(events), adapters.EVENTS, PARAMS)
+    events = readers.spread(read(spark, sf_dir, "events"), "event_id")
+    return Warehouse(spark, lambda: adapters.raw_flights(events), lambda: adapters.raw_observations(events),
+                     adapters.EVENTS, PARAMS)
 
 
 _registry: dict[str, tuple[Query, str | None]] = {}
@@ -268,7 +269,7 @@ def rates_by_weather_pivot(spark, sf_dir):
 def operations_in_winter(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
     wh.table("weather_hourly")
-    return reports.operations_in_winter(wh.table("station_histogram"), wh.view("airport_hourly"), wh.events, PARAMS)
+    return reports.operations_in_winter(wh.view("station_histogram"), wh.view("airport_hourly"), wh.events, PARAMS)
 
 
 @query("SELECT * FROM rates")
@@ -299,7 +300,7 @@ def airline_delay_report(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
     wh.table("weather_hourly")
     rates = reports.airline_rates(wh.view("onset_flights"), PARAMS)
-    return reports.airline_delay_report(wh.table("group_histogram"), rates, wh.events, HOME, PARAMS)
+    return reports.airline_delay_report(wh.view("group_histogram"), rates, wh.events, HOME, PARAMS)
 
 
 def day_rates(wh: Warehouse) -> DataFrame:
@@ -408,8 +409,7 @@ def observation_summary(spark, sf_dir):
     text = raw.withColumn("valid", F.date_format("valid_utc", "yyyy-MM-dd HH:mm")).drop("airport_code", "valid_utc")
     both = readers.union_reports(*[text.where(F.col("report_type") == t).drop("report_type")
                                    for t in (fixed.ROUTINE, fixed.SPECIAL)])
-    stations = spark.createDataFrame([(a, a, "America/Chicago") for a in adapters.AIRPORTS],
-                                     "code string, iem_station string, timezone string")
+    stations = stations_frame(spark, [Station(a, a, a, a, "America/Chicago") for a in adapters.AIRPORTS])
     return planning.observation_batches(readers.station_observations(both, stations))
 
 

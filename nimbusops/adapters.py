@@ -8,15 +8,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from nimbusops.config import Event, Params
-from nimbusops.functions.values import first_label
 
 AIRPORTS = ("AAA", "BBB", "CCC", "DDD")
-OUTSIDE = "ZZZ"
-AIRLINES = ("AA", "MQ", "WN", "UA", "DL", "XX")
 
 PARAMS = Params(airports=AIRPORTS, local_timezone="UTC", hours_after=96)
 
@@ -27,116 +23,83 @@ EVENTS = [
           date(2024, 1, 24), date(2024, 1, 25), AIRPORTS),
 ]
 
-_WINTER_DAYS = (8, 10, 11, 12, 24, 25)
-_DISRUPTED_DAYS = (11, 12, 13, 25, 26)
-_UNUSUAL_DAYS = (3, 8, 20)
+_ORIGIN = "element_at(array('AAA', 'BBB', 'CCC', 'DDD'), cast(user_id % 4 as int) + 1)"
+_DEST = "element_at(array('AAA', 'BBB', 'CCC', 'DDD', 'ZZZ'), cast((user_id div 24) % 5 as int) + 1)"
+_AIRLINE = "element_at(array('AA', 'MQ', 'WN', 'UA', 'DL', 'XX'), cast((user_id div 4) % 6 as int) + 1)"
 
+# Winter weather on days 8, 10 to 12, 24 and 25; a thunderstorm on day 20.
+_CODES = """case
+    when day(ts) in (8, 10, 11, 12, 24, 25) and event_type = 'error' then '-FZRA BR'
+    when day(ts) in (8, 10, 11, 12, 24, 25) and event_type = 'signup' then if(event_id % 2 = 0, 'SN', 'PL')
+    when event_type = 'purchase' then if(day(ts) = 20, 'TSRA', 'VCTS')
+    when event_type = 'click' and event_id % 4 = 0 then 'RA'
+    when event_type = 'error' and event_id % 4 = 0 then 'FG'
+    when event_type in ('error', 'signup') then 'BR'
+    else 'M' end"""
 
-def _pick(options, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))
+# Cancellations on days 11 to 13, 25 and 26 (disruption) and on days 3, 8 and 20 (unusual days).
+_CANCELLED = """case
+    when day(ts) in (11, 12, 13, 25, 26) then event_type in ('error', 'signup', 'click')
+    when day(ts) in (3, 8, 20) then event_type = 'click'
+    else value > 400 end"""
 
-
-def _divided(column: str, by: int) -> Column:
-    return F.floor(F.col(column) / by)
-
-
-def _origin() -> Column:
-    return _pick(AIRPORTS, F.col("user_id") % 4)
-
-
-def _weather_codes() -> Column:
-    kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
-    every_fourth, day = F.col("event_id") % 4 == 0, F.dayofmonth("ts")
-    winter = day.isin(*_WINTER_DAYS)
-    return first_label([
-        (winter & (kind == "error"), "-FZRA BR"),
-        (winter & (kind == "signup") & even, "SN"),
-        (winter & (kind == "signup"), "PL"),
-        ((kind == "purchase") & (day == 20), "TSRA"),
-        (kind == "purchase", "VCTS"),
-        ((kind == "click") & every_fourth, "RA"),
-        ((kind == "error") & every_fourth, "FG"),
-        (kind.isin("error", "signup"), "BR"),
-    ], "M")
+_DEPARTURE = "date_format(ts, 'HHmm')"
+# From one hour before to four hours after the departure on the destination's clock.
+_ARRIVAL = "date_format(ts + make_dt_interval(0, 0, cast(event_id % 300 - 60 as int)), 'HHmm')"
 
 
 def raw_observations(events: DataFrame) -> DataFrame:
     """Weather reports as the source delivers them: text with 'M' and 'T', times in UTC."""
-    key = F.col("event_id")
-
-    def text(column: Column) -> Column:
-        return column.cast("string")
-
-    def whole(column: Column) -> Column:
-        return text(F.floor(column).cast("int"))
-
-    return events.select(
-        _origin().alias("airport_code"),
-        _origin().alias("station"),
-        F.col("ts").alias("valid_utc"),
-        F.when(key % 5 == 0, "special").otherwise("routine").alias("report_type"),
-        F.when(key % 11 == 0, "M").otherwise(whole(F.col("value"))).alias("tmpf"),
-        F.when(key % 7 == 0, "M").otherwise(whole(F.col("value") / 2)).alias("dwpf"),
-        text(key % 100).alias("relh"),
-        text(key % 36 * 10).alias("drct"),
-        text(key % 40).alias("sknt"),
-        F.when(key % 3 == 0, text(key % 60 + 10)).otherwise("M").alias("gust"),
-        text((key % 40 + 1) / 4).alias("vsby"),
-        F.when(F.col("event_type") == "view", "T").when(key % 13 == 0, "M").otherwise(text(key % 50 / 100)).alias("p01i"),
-        _weather_codes().alias("wxcodes"),
-        F.when(key % 19 == 0, "T").when(key % 4 == 0, text(key % 30 / 100)).otherwise("M").alias("ice_accretion_1hr"),
-        _pick(("FEW", "SCT", "BKN", "OVC", "M"), key % 5).alias("skyc1"),
-        F.when(key % 6 == 0, "M").otherwise(text(key % 120 * 100)).alias("skyl1"),
-        F.concat_ws(" ", F.lit("METAR"), _origin(), F.col("event_type")).alias("metar"),
+    return events.selectExpr(
+        f"{_ORIGIN} as airport_code",
+        f"{_ORIGIN} as station",
+        "ts as valid_utc",
+        "if(event_id % 5 = 0, 'special', 'routine') as report_type",
+        "if(event_id % 11 = 0, 'M', string(int(floor(value)))) as tmpf",
+        "if(event_id % 7 = 0, 'M', string(int(floor(value / 2)))) as dwpf",
+        "string(event_id % 100) as relh",
+        "string(event_id % 36 * 10) as drct",
+        "string(event_id % 40) as sknt",
+        "if(event_id % 3 = 0, string(event_id % 60 + 10), 'M') as gust",
+        "string((event_id % 40 + 1) / 4) as vsby",
+        "case when event_type = 'view' then 'T' when event_id % 13 = 0 then 'M' else string(event_id % 50 / 100) end as p01i",
+        f"{_CODES} as wxcodes",
+        "case when event_id % 19 = 0 then 'T' when event_id % 4 = 0 then string(event_id % 30 / 100) else 'M' end "
+        "as ice_accretion_1hr",
+        "element_at(array('FEW', 'SCT', 'BKN', 'OVC', 'M'), cast(event_id % 5 as int) + 1) as skyc1",
+        "if(event_id % 6 = 0, 'M', string(event_id % 120 * 100)) as skyl1",
+        f"concat_ws(' ', 'METAR', {_ORIGIN}, event_type) as metar",
     )
 
 
 def raw_flights(events: DataFrame) -> DataFrame:
     """Flights with the source column names: clock text (half of it without leading zeros), numeric flags."""
-    key, kind, day, ts = F.col("event_id"), F.col("event_type"), F.dayofmonth("ts"), F.col("ts")
-    cancelled = (
-        F.when(day.isin(*_DISRUPTED_DAYS), kind.isin("error", "signup", "click"))
-        .when(day.isin(*_UNUSUAL_DAYS), kind == "click")
-        .otherwise(F.col("value") > 400)
-    )
-    delay = F.when(key % 17 != 0, F.round(F.col("value") / 3))
-    # from one hour before to four hours after the departure on the destination's clock
-    arrival_clock = F.date_format(ts + F.make_dt_interval(mins=(key % 300 - 60).cast("int")), "HHmm")
-    departure_clock = F.date_format(ts, "HHmm")
-
-    def flag(condition: Column) -> Column:
-        return condition.cast("int").cast("double")
-
-    def number(column: Column) -> Column:
-        return column.cast("double")
-
-    no_text = F.lit(None).cast("string")
-    return events.select(
-        F.to_date("ts").alias("FlightDate"),
-        _pick(AIRLINES, _divided("user_id", 4) % 6).alias("Reporting_Airline"),
-        F.concat(F.lit("N"), F.col("user_id").cast("string")).alias("Tail_Number"),
-        (key % 1_000_000_000).cast("int").alias("Flight_Number_Reporting_Airline"),
-        _origin().alias("Origin"),
-        _pick((*AIRPORTS, OUTSIDE), _divided("user_id", 24) % 5).alias("Dest"),
-        F.when(key % 2 == 0, departure_clock.cast("int").cast("string")).otherwise(departure_clock).alias("CRSDepTime"),
-        F.when(~cancelled, departure_clock).alias("DepTime"),
-        delay.alias("DepDelay"),
-        number(10 + key % 30).alias("TaxiOut"),
-        no_text.alias("WheelsOff"),
-        F.when(arrival_clock == "0000", "2400").otherwise(arrival_clock).alias("CRSArrTime"),
-        no_text.alias("ArrTime"),
-        number(key % 45 - 10).alias("ArrDelay"),
-        flag(cancelled).alias("Cancelled"),
-        F.when(cancelled, _pick(("B", "B", "B", "A", "C"), key % 5)).alias("CancellationCode"),
-        flag(key % 97 == 0).alias("Diverted"),
-        number(60 + key % 240).alias("CRSElapsedTime"),
-        number(55 + key % 250).alias("ActualElapsedTime"),
-        number(40 + key % 200).alias("AirTime"),
-        number(100 + key % 1900).alias("Distance"),
-        number(key % 15).alias("CarrierDelay"),
-        number(key % 25).alias("WeatherDelay"),
-        number(key % 10).alias("NASDelay"),
-        number(key % 3).alias("SecurityDelay"),
-        number(key % 20).alias("LateAircraftDelay"),
-        F.lit("events").alias("_source_file"),
+    return events.selectExpr(
+        "date(ts) as FlightDate",
+        f"{_AIRLINE} as Reporting_Airline",
+        "concat('N', string(user_id)) as Tail_Number",
+        "int(event_id % 1000000000) as Flight_Number_Reporting_Airline",
+        f"{_ORIGIN} as Origin",
+        f"{_DEST} as Dest",
+        f"if(event_id % 2 = 0, string(int({_DEPARTURE})), {_DEPARTURE}) as CRSDepTime",
+        f"if({_CANCELLED}, null, {_DEPARTURE}) as DepTime",
+        "if(event_id % 17 = 0, null, round(value / 3)) as DepDelay",
+        "double(10 + event_id % 30) as TaxiOut",
+        "string(null) as WheelsOff",
+        f"if({_ARRIVAL} = '0000', '2400', {_ARRIVAL}) as CRSArrTime",
+        "string(null) as ArrTime",
+        "double(event_id % 45 - 10) as ArrDelay",
+        f"double(int({_CANCELLED})) as Cancelled",
+        f"if({_CANCELLED}, element_at(array('B', 'B', 'B', 'A', 'C'), cast(event_id % 5 as int) + 1), null) as CancellationCode",
+        "double(int(event_id % 97 = 0)) as Diverted",
+        "double(60 + event_id % 240) as CRSElapsedTime",
+        "double(55 + event_id % 250) as ActualElapsedTime",
+        "double(40 + event_id % 200) as AirTime",
+        "double(100 + event_id % 1900) as Distance",
+        "double(event_id % 15) as CarrierDelay",
+        "double(event_id % 25) as WeatherDelay",
+        "double(event_id % 10) as NASDelay",
+        "double(event_id % 3) as SecurityDelay",
+        "double(event_id % 20) as LateAircraftDelay",
+        "'events' as _source_file",
     )

@@ -44,5 +44,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def utc_to_local(zone: Column | str, utc: Column) -> Column:
-    zone = F.lit(zone) if isinstance(zone, str) else zone
+    """Zone-less UTC as zone-less local time. A fixed zone is resolved once, not per row; that form
+    relies on the UTC session that `prepare` sets."""
+    if isinstance(zone, str):
+        return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), zone, utc)

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+NO_VALUE = -(2**63)  # bucket of NULL values
+
+
 def value_histogram(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Rows per key, metric and value (NULL values included): keys, metric, x, n.
 
@@ -23,24 +26,28 @@ def histogram_medians(histogram: DataFrame, keys: Sequence[str], metrics: Sequen
     """Rows and interpolated median (NULLs ignored) per key: keys, `rows`, `median_<metric>`.
 
     Bucket totals show which bucket holds the middle ranks; only values of that bucket are ranked,
-    so a task sees the buckets of a key or the distinct values of one bucket, never its rows.
+    so a task sees the buckets of a key or the distinct values of one bucket, never its rows. The
+    ranking runs on the partitioning of the join. Keys must not be NULL.
     """
     by = [*keys, "metric"]
-    bucketed = histogram.withColumn("bucket", F.floor(F.col("x") / bucket_width))
+    bucket = F.when(F.col("x").isNull(), NO_VALUE).otherwise(F.floor(F.col("x") / bucket_width))
+    bucketed = histogram.withColumn("bucket", bucket)
     per_key = W.partitionBy(*by)
-    known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("size"))).over(per_key)
-    before = F.sum("size").over(
-        per_key.orderBy(F.col("bucket").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
-    buckets = (
+    has_value = F.col("bucket") != NO_VALUE
+    earlier = per_key.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    middle = (
         bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("size"))
-        .withColumns({"rows": F.sum("size").over(per_key), "known": known, "before": F.coalesce(before, F.lit(0))})
+        .withColumns({
+            "rows": F.sum("size").over(per_key),
+            "known": F.coalesce(F.sum(F.when(has_value, F.col("size"))).over(per_key), F.lit(0)),
+            "before": F.coalesce(F.sum(F.when(has_value, F.col("size"))).over(earlier), F.lit(0)),
+        })
         .withColumns({"low": F.floor((F.col("known") - 1) / 2), "high": F.floor(F.col("known") / 2)})
-        .where("known is null or (bucket is not null and before <= high and before + size > low)")
-        .select(*[F.col(c).alias(f"b_{c}") for c in [*by, "bucket"]], "rows", "before", "low", "high")
+        .where((F.col("known") == 0) | (has_value & F.expr("before <= high and before + size > low")))
+        .select(*by, "bucket", "rows", "before", "low", "high")
     )
-    same = [bucketed[c].eqNullSafe(buckets[f"b_{c}"]) for c in [*by, "bucket"]]
     smaller = F.sum("n").over(W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, -1))
-    ranked = bucketed.join(buckets, same).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
+    ranked = bucketed.join(middle, [*by, "bucket"]).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
     last = F.col("first") + F.col("n") - 1
 
     def holds(rank: str) -> Column:

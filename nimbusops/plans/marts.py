@@ -143,7 +143,8 @@ CONDITION_METRICS = ["dep_delay_min", "taxi_out_min"]
 
 def condition_histogram(flights: DataFrame, keys: list[str]) -> DataFrame:
     """Value counts of delay and taxi-out per key and conditions: the only pass over flight rows."""
-    return medians.value_histogram(operated_by_condition(flights), [*keys, "conditions"], CONDITION_METRICS)
+    inside = operated_by_condition(flights.where("event_id is not null"))
+    return medians.value_histogram(inside, [*keys, "conditions"], CONDITION_METRICS)
 
 
 def condition_medians(histogram: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,8 +170,8 @@ def winter_normal_medians(histogram: DataFrame) -> DataFrame:
 
 def airline_storm(windows: DataFrame, operated: DataFrame, params: Params) -> DataFrame:
     """Airline groups seen around the onset or operating at all, with low-sample suppression."""
-    keys = windows.select(*GROUP).union(operated.select(*GROUP)).distinct()
-    joined = keys.join(windows, GROUP, "left").join(operated, GROUP, "left")
+    # a full join holds the union of both key sets and evaluates each input once
+    joined = windows.join(operated, GROUP, "full")
     counts = ["departures_before", "cancelled_before", "departures_during", "cancelled_during"]
 
     def window_rate(period: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nimbusops import fixed_values as fixed
-from nimbusops.config import Params
+from nimbusops.config import Params, local_frame
 from nimbusops.functions import times, values
 from nimbusops.plans import marts
 
@@ -32,8 +32,8 @@ def event_labels(events: DataFrame) -> DataFrame:
 
 def all_categories(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """One row per category of the list, in order, with NULLs for the missing ones."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(name, i) for i, name in enumerate(order)], f"{column} string, _position int")
+    rows = [(name, i) for i, name in enumerate(order)]
+    wanted = local_frame(df.sparkSession, {column: "string", "_position": "int"}, rows)
     return wanted.join(df, column, "left").orderBy("_position").drop("_position")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,26 +41,40 @@ class Warehouse:
     stay views: recomputing a pruned projection is cheaper than writing a second copy of the raw rows.
     """
 
-    def __init__(self, spark: SparkSession, raw_flights: DataFrame, raw_observations: DataFrame,
-                 events: Sequence[Event], params: Params, airline_groups: DataFrame | None = None):
+    # lazy plans that depend on no staged table, built once
+    _PLAIN = ("flights_clean", "flights", "observations", "departures")
+
+    def __init__(self, spark: SparkSession, raw_flights: Callable[[], DataFrame],
+                 raw_observations: Callable[[], DataFrame], events: Sequence[Event], params: Params):
         validate_events(events, params.airports)
         self.spark = prepare(spark)
-        self.raw_flights = raw_flights
-        self.raw_observations = raw_observations
+        self._raw_flights = raw_flights
+        self._raw_observations = raw_observations
         self.params = params
         self.event_list = list(events)
-        self.events = events_frame(spark, events)
-        self.airline_groups = airline_groups if airline_groups is not None else airline_groups_frame(spark)
         self.staging = Staging(spark)
         self._tables: dict[str, DataFrame] = {}
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return events_frame(self.spark, self.event_list)
+
+    @cached_property
+    def airline_groups(self) -> DataFrame:
+        return airline_groups_frame(self.spark)
+
     def view(self, name: str) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
         build: Callable[[], DataFrame] = getattr(self, f"_{name}")
-        return build()
+        plan = build()
+        if name in self._PLAIN:
+            self._tables[name] = plan
+        return plan
 
     def table(self, name: str) -> DataFrame:
+        if name in self._PLAIN:
+            raise ValueError(f"{name} has the grain of the raw data and stays a view")
         if name not in self._tables:
             self._tables[name] = self.staging.write(name, self.view(name))
         return self._tables[name]
@@ -67,10 +82,10 @@ class Warehouse:
     # staging and prep layers
 
     def _flights_clean(self) -> DataFrame:
-        return cleaning.clean_flights(self.raw_flights)
+        return cleaning.clean_flights(self._raw_flights())
 
     def _observations(self) -> DataFrame:
-        return cleaning.clean_observations(self.raw_observations, self.params.local_timezone)
+        return cleaning.clean_observations(self._raw_observations(), self.params.local_timezone)
 
     def _flights(self) -> DataFrame:
         return cleaning.time_flights(self.view("flights_clean"), self.params)
@@ -123,11 +138,11 @@ class Warehouse:
         return marts.condition_histogram(self.view("flights_weather"), marts.PAIR)
 
     def _winter_normal_medians(self) -> DataFrame:
-        return marts.winter_normal_medians(self.table("group_histogram"))
+        return marts.winter_normal_medians(self.view("group_histogram"))
 
     def _airline_storm(self) -> DataFrame:
         self.table("weather_hourly")
-        return marts.airline_storm(self.table("airline_windows"), self.view("winter_normal_medians"), self.params)
+        return marts.airline_storm(self.view("airline_windows"), self.view("winter_normal_medians"), self.params)
 
     def _storm_days(self) -> DataFrame:
         return marts.storm_days(self.table("storm_summary"), self.params)
@@ -158,16 +173,18 @@ class Warehouse:
     def register(self, models: Sequence[str] = tuple(LAYERS)) -> None:
         """Build models once and register them for SQL under their layer names."""
         for model in models:
-            built = self.view(model) if LAYERS[model] == "stg" else self.table(model)
-            built.createOrReplaceTempView(table_name(model))
+            self._built(model).createOrReplaceTempView(table_name(model))
+
+    def _built(self, model: str) -> DataFrame:
+        """Models of raw grain are views; everything smaller is staged."""
+        return self.view(model) if model in (*self._PLAIN, "flights_weather") else self.table(model)
 
     def query(self, sql: str) -> DataFrame:
         return self.spark.sql(sql)
 
     def models(self) -> dict[str, DataFrame]:
         """All models and seeds by name, for checks."""
-        built = {m: self.view(m) if layer == "stg" else self.table(m) for m, layer in LAYERS.items()}
-        return {**built, "storm_events": self.events, "airline_groups": self.airline_groups}
+        return {**{model: self._built(model) for model in LAYERS}, "storm_events": self.events, "airline_groups": self.airline_groups}
 
     def save(self, database: str) -> None:
         """Write prep and mart models as catalog tables of a database, staging models as views."""

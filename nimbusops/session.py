@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 _local_roots: dict[str, str] = {}
 
 
+# Aggregations that collect small sets stay in the hash map up to this many keys per task; the default
+# of 128 sorts all raw rows of a task instead.
+HASH_AGGREGATE_KEYS = "65536"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Local times are zone-less; a UTC session keeps date functions from shifting them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HASH_AGGREGATE_KEYS)
     return spark
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbusops import fixed_values as fixed
-from nimbusops.config import Event
+from nimbusops.config import Event, local_frame
 from nimbusops.functions import values
 
 
@@ -21,7 +21,8 @@ def month_plan(windows: DataFrame, keys: Sequence[str], start: str, end: str) ->
 
 def event_windows(spark: SparkSession, events: Sequence[Event]) -> DataFrame:
     rows = [(e.event_id, code, e.data_start, e.data_end) for e in events for code in e.airports]
-    return spark.createDataFrame(rows, "event_id string, airport_code string, data_start date, data_end date")
+    columns = {"event_id": "string", "airport_code": "string", "data_start": "date", "data_end": "date"}
+    return local_frame(spark, columns, rows)
 
 
 def plan_airport_months(spark: SparkSession, events: Sequence[Event]) -> DataFrame:

@@ -62,6 +62,13 @@ def read_raw(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (one small file). Inputs with enough
+    splits, which is every large one, are left alone: no shuffle of raw rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return (
         spark.read.option("header", True).option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST")
