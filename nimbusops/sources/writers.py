@@ -29,8 +29,10 @@ def _write_sorted(df: DataFrame, path: str, parts: Sequence[str], order: Sequenc
 def _existing_parts(spark: SparkSession, path: str, parts: Sequence[str]) -> DataFrame | None:
     try:
         return spark.read.parquet(path).select(*parts).distinct()
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
+            return None
+        raise
 
 
 def _write_new(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], force: bool) -> None:
