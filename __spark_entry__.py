@@ -128,14 +128,7 @@ def hour_shift(spark, sf_dir):
 
 
 model("hourly_observations", "SELECT * FROM obs_hour")
-
-
-@query("SELECT * FROM grid")
-def hour_grid(spark, sf_dir):
-    months = hourly.report_months(warehouse(spark, sf_dir).view("observations"), ["airport_code"], "valid_local")
-    return hourly.hour_grid(months, ["airport_code"])
-
-
+model("hour_grid", "SELECT * FROM grid")
 model("weather_hourly", "SELECT * FROM weather")
 model("hourly_departures", "SELECT * FROM dep")
 model("airport_hourly", "SELECT * FROM hrs")
@@ -313,8 +306,7 @@ def day_rates(wh: Warehouse) -> DataFrame:
      AND departures > 19 AND rate < 0.05 AND delay_rate >= delay_threshold) AS delay_only_days FROM base b""")
 def delay_mad_threshold(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
-    days = wh.staging.write("day_rates", day_rates(wh))
-    return reports.delay_mad_threshold(days, PARAMS)
+    return reports.delay_mad_threshold(day_rates(wh), PARAMS)
 
 
 @query("""SELECT label AS storm, event_id, f.airport_code, f.day, strftime(f.day, '%a %d %b %Y') AS date, departures, rate AS cancel_rate,

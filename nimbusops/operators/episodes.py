@@ -100,20 +100,18 @@ def first_mass_hour(params: Params) -> Column:
 def with_recovery(bounded: DataFrame, params: Params) -> DataFrame:
     """Add `recovery_hour`: the first busy hour after the precipitation that starts a complete frame
     of busy hours, all with a low cancellation rate. Frames count rows, so quiet hours do not break
-    them, and they are not limited to the search window."""
-    busy = F.coalesce(
-        (F.col("weather_hour") > F.col("precip_end")) & (F.col("scheduled_departures") >= params.busy_departures),
-        F.lit(False))
-    frame = W.partitionBy(*PAIR, "_busy").orderBy("weather_hour").rowsBetween(0, params.recovery_rows - 1)
-    stable = (
-        F.col("_busy")
-        & F.bool_and(F.col("cancellation_rate") < params.recovery_rate).over(frame)
-        & (F.count("*").over(frame) == params.recovery_rows)
-    )
+    them, and they are not limited to the search window.
+
+    Busy hours sort before all others, so a frame whose rows all pass holds consecutive busy hours.
+    """
+    busy = (F.col("weather_hour") > F.col("precip_end")) & (F.col("scheduled_departures") >= params.busy_departures)
+    pair = W.partitionBy(*PAIR)
+    frame = pair.orderBy(F.desc("_busy"), "weather_hour").rowsBetween(0, params.recovery_rows - 1)
+    calm = F.col("_busy") & (F.col("cancellation_rate") < params.recovery_rate)
     return (
-        bounded.withColumn("_busy", busy)
-        .withColumn("_stable", stable)
-        .withColumn("recovery_hour", F.min(F.when(F.col("_stable"), F.col("weather_hour"))).over(W.partitionBy(*PAIR)))
+        bounded.withColumn("_busy", F.coalesce(busy, F.lit(False)))
+        .withColumn("_stable", F.count_if(calm).over(frame) == params.recovery_rows)
+        .withColumn("recovery_hour", F.min(F.when(F.col("_stable"), F.col("weather_hour"))).over(pair))
         .drop("_busy", "_stable")
     )
 

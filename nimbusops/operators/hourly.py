@@ -57,8 +57,6 @@ def hourly_observations(reports: DataFrame, params: Params) -> DataFrame:
         F.min("visibility_km").alias("visibility_min_km"),
         F.max("ice_accretion_1h_mm").alias("ice_accretion_max_mm"),
         F.collect_set("weather_codes").alias("_codes"),
-        F.min("valid_local").alias("first_report_local"),
-        F.max("valid_local").alias("last_report_local"),
     )
     texts = F.array_sort(F.array_distinct(F.transform("_codes", codes.station_codes_text)))
     parsed = per_hour.withColumn("_texts", F.filter(texts, lambda text: text != ""))
@@ -69,17 +67,23 @@ def hourly_observations(reports: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def report_months(reports: DataFrame, keys: Sequence[str], *local_times: str) -> DataFrame:
-    """Distinct local months per key. Months come from report times, not from shifted hours."""
-    months = F.array(*[times.trunc("month", F.col(c)) for c in local_times])
-    return reports.select(*keys, F.explode(F.array_distinct(months)).alias("month_start")).distinct()
+def report_months(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct local months per key. Months come from report times, not from shifted hours. This is a
+    second scan of the reports, but of two columns, and combined map-side to a few rows; staging the
+    hourly table instead would write nearly as many rows as there are reports."""
+    return reports.select(*keys, times.trunc("month", F.col("valid_local")).alias("month_start")).distinct()
 
 
 def hour_grid(months: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every hour of each month, without gaps."""
+    """Every hour of each month, without gaps.
+
+    A month row becomes some 740 rows, so the tiny month table keeps the full number of partitions
+    instead of being coalesced into a few tasks that would write the whole grid.
+    """
     start = F.col("month_start")
     last = start + F.make_ym_interval(months=F.lit(1)) - times.hours(1)
-    return months.select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
+    partitions = int(months.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return months.repartition(partitions, *keys, "month_start").select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
 
 
 def fill_grid(grid: DataFrame, hourly: DataFrame) -> DataFrame:

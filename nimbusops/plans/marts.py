@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nimbusops import fixed_values as fixed
@@ -289,18 +290,25 @@ def airport_daily(departures: DataFrame, storms: DataFrame, weather: DataFrame,
     )
 
 
+def baseline(measure: Column, normal: Column) -> Column:
+    """Median of a measure over the normal days of the event and station; a group holds at most the
+    days of one data window. Days outside all events have no baseline."""
+    middle = F.median(F.when(normal, measure)).over(W.partitionBy(*PAIR))
+    return F.when(F.col("event_id").isNotNull(), middle)
+
+
 def unusual_days(departures: DataFrame, storms: DataFrame, weather: DataFrame, arrivals: DataFrame,
                  params: Params) -> DataFrame:
     """All station days with the exact rate and medians of the event's normal days as baseline."""
     days = station_days(departures, storms, weather, arrivals)
     rated = days.withColumn("cancel_rate", values.ratio(F.col("cancelled"), F.col("departures")))
-    normal = rated.where(~F.col("in_storm") & (F.col("winter_hours") == 0)
-                         & (F.col("departures") >= params.min_day_departures))
-    # a group holds at most the days of one data window
-    baseline = normal.groupBy(*PAIR).agg(
-        F.median("cancel_rate").alias("normal_cancel_rate"),
-        F.median("diverted_arrivals").alias("normal_diverted_arrivals"))
-    flagged = rated.join(baseline, PAIR, "left").withColumn("is_unusual", is_unusual(F.col("cancel_rate"), params))
+    enough = F.col("departures") >= params.min_day_departures
+    normal = ~F.col("in_storm") & (F.col("winter_hours") == 0) & enough
+    flagged = rated.withColumns({
+        "normal_cancel_rate": baseline(F.col("cancel_rate"), normal),
+        "normal_diverted_arrivals": baseline(F.col("diverted_arrivals"), normal),
+        "is_unusual": is_unusual(F.col("cancel_rate"), params),
+    })
     label = explanation("local thunderstorms", "weather elsewhere in the network")
     return flagged.select(
         F.concat("airport_code", F.lit("_"), F.col("day").cast("string")).alias("airport_day_id"),

@@ -206,34 +206,34 @@ def day_rates(airport_hours: DataFrame, storms: DataFrame, params: Params) -> Da
         "cancel_rate": values.ratio(F.col("cancelled"), F.col("departures")),
         "delay_rate": values.if_enough(operated, 1, values.ratio(F.col("delayed_15"), operated)),
     })
-    normal = rated.where(~F.col("in_storm") & ~F.col("had_winter_precip")
-                         & (F.col("departures") >= params.min_day_departures))
-    medians = normal.groupBy(*PAIR).agg(
-        F.median("cancel_rate").alias("normal_cancel_rate"), F.median("delay_rate").alias("normal_delay_rate"))
+    enough = F.col("departures") >= params.min_day_departures
+    normal = ~F.col("in_storm") & ~F.col("had_winter_precip") & enough
+    with_medians = rated.withColumns({
+        "normal_cancel_rate": marts.baseline(F.col("cancel_rate"), normal),
+        "normal_delay_rate": marts.baseline(F.col("delay_rate"), normal),
+    })
     deviation = F.abs(F.col("delay_rate") - F.col("normal_delay_rate"))
-    spread = normal.join(medians, PAIR).groupBy(*PAIR, "normal_cancel_rate", "normal_delay_rate").agg(
-        F.median(deviation).alias("delay_mad"))
+    spread = with_medians.withColumn("delay_mad", marts.baseline(deviation, normal))
     threshold = F.col("normal_delay_rate") + params.mad_multiple * params.mad_scale * F.col("delay_mad")
-    return rated.join(spread, PAIR, "left").withColumn("delay_threshold", threshold)
+    return spread.withColumn("delay_threshold", threshold)
 
 
 def flagged_days(days: DataFrame, params: Params) -> DataFrame:
     return days.where(marts.is_unusual(F.col("cancel_rate"), params))
 
 
-def delay_only_days(days: DataFrame, params: Params) -> DataFrame:
-    """Days with many delays but few cancellations."""
-    return days.where(
+def is_delay_only(params: Params) -> Column:
+    """A day outside the storm with many delays but few cancellations."""
+    return (
         (F.col("departures") >= params.min_day_departures) & ~F.col("in_storm")
         & (F.col("cancel_rate") < params.unusual_rate) & (F.col("delay_rate") >= F.col("delay_threshold")))
 
 
 def delay_mad_threshold(days: DataFrame, params: Params) -> DataFrame:
     """Baseline per event and station with the number of delay-only days."""
-    marked = delay_only_days(days, params).groupBy(*PAIR).agg(F.count("*").alias("delay_only_days"))
-    baseline = days.where("delay_threshold is not null").select(
-        *PAIR, "normal_cancel_rate", "normal_delay_rate", "delay_mad", "delay_threshold").distinct()
-    return baseline.join(marked, PAIR, "left").fillna(0, ["delay_only_days"])
+    found = ["normal_cancel_rate", "normal_delay_rate", "delay_mad", "delay_threshold"]
+    return days.where("delay_threshold is not null").groupBy(*PAIR, *found).agg(
+        values.count_where(is_delay_only(params)).alias("delay_only_days"))
 
 
 def day_text() -> Column:

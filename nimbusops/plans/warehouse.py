@@ -94,13 +94,10 @@ class Warehouse:
         return hourly.hourly_observations(self.view("observations"), self.params)
 
     def _hour_grid(self) -> DataFrame:
-        reported = self.view("hourly_observations")
-        months = hourly.report_months(reported, ["airport_code"], "first_report_local", "last_report_local")
-        return hourly.hour_grid(months, ["airport_code"])
+        return hourly.hour_grid(hourly.report_months(self.view("observations"), ["airport_code"]), ["airport_code"])
 
     def _weather_hourly(self) -> DataFrame:
-        reported = self.table("hourly_observations")
-        return hourly.fill_grid(self.view("hour_grid"), reported)
+        return hourly.fill_grid(self.view("hour_grid"), self.view("hourly_observations"))
 
     # marts
 

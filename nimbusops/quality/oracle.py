@@ -75,8 +75,7 @@ SELECT airport_code, weather_hour, count(*) AS n_reports, count(*) FILTER (is_sp
        min(visibility_km) AS visibility_min_km, max(ice_accretion_1h_mm) AS ice_accretion_max_mm,
        max(has_freezing_rain) AS has_freezing_rain, max(has_ice_pellets) AS has_ice_pellets, max(has_snow) AS has_snow,
        max(has_rain) AS has_rain, max(has_fog) AS has_fog, max(has_thunder) AS has_thunder,
-       string_agg(DISTINCT codes_text, ' | ' ORDER BY codes_text) FILTER (codes_text <> '') AS weather_codes_hour,
-       min(valid_local) AS first_report_local, max(valid_local) AS last_report_local
+       string_agg(DISTINCT codes_text, ' | ' ORDER BY codes_text) FILTER (codes_text <> '') AS weather_codes_hour
 FROM flagged GROUP BY 1, 2"""
 
 BLOCKS["grid"] = """

@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def staging_root(spark: SparkSession) -> str:
     """Shared folder named by the session; a temporary one only for a local master."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if not context.master.startswith("local"):

@@ -13,10 +13,10 @@ ROWS_PER_FILE = 20_000_000
 
 
 def _write_sorted(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], mode: str) -> None:
-    """Partitioned, sorted Parquet. Rows are range-partitioned on the sort key, so a big month is
-    spread over many tasks and files instead of one, and row-group statistics stay narrow."""
+    """Partitioned, sorted Parquet in one pass. The rebalance brings a month together in one file when
+    it is small and splits it over many tasks and files when it is big, at run time."""
     (
-        df.repartitionByRange(*parts, *order)
+        df.hint("rebalance", *[F.col(p) for p in parts])
         .sortWithinPartitions(*parts, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")

@@ -56,24 +56,15 @@ def test_grid_is_dense_and_uses_unshifted_months(make):
     reports = observed(make, {"valid_utc": datetime(2021, 1, 31, 23, 53)})
     hours = hourly.hourly_observations(reports, UTC)
     assert hours.collect()[0].weather_hour == datetime(2021, 2, 1)
-    for months in (hourly.report_months(reports, ["airport_code"], "valid_local"),
-                   hourly.report_months(hours, ["airport_code"], "first_report_local", "last_report_local")):
-        grid = hourly.hour_grid(months, ["airport_code"])
-        bounds = grid.agg(F.count("*"), F.min("weather_hour"), F.max("weather_hour")).collect()[0]
-        assert tuple(bounds) == (744, datetime(2021, 1, 1), datetime(2021, 1, 31, 23))
-        assert hourly.fill_grid(grid, hours).where("has_report").count() == 0
-
-
-def test_hours_spanning_two_months_give_both(make):
-    reports = observed(make, {"valid_utc": datetime(2021, 1, 31, 23, 55)}, {"valid_utc": datetime(2021, 2, 1, 0, 20)})
-    hours = hourly.hourly_observations(reports, UTC)
-    assert hours.count() == 1
-    assert hourly.report_months(hours, ["airport_code"], "first_report_local", "last_report_local").count() == 2
+    grid = hourly.hour_grid(hourly.report_months(reports, ["airport_code"]), ["airport_code"])
+    bounds = grid.agg(F.count("*"), F.min("weather_hour"), F.max("weather_hour")).collect()[0]
+    assert tuple(bounds) == (744, datetime(2021, 1, 1), datetime(2021, 1, 31, 23))
+    assert hourly.fill_grid(grid, hours).where("has_report").count() == 0
 
 
 def weather_of(make, *rows):
     reports = observed(make, *rows)
-    months = hourly.report_months(reports, ["airport_code"], "valid_local")
+    months = hourly.report_months(reports, ["airport_code"])
     return hourly.fill_grid(hourly.hour_grid(months, ["airport_code"]), hourly.hourly_observations(reports, UTC))
 
 
