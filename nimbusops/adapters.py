@@ -43,9 +43,9 @@ _CANCELLED = """case
     when day(ts) in (3, 8, 20) then event_type = 'click'
     else value > 400 end"""
 
-_DEPARTURE = "date_format(ts, 'HHmm')"
-# From one hour before to four hours after the departure on the destination's clock.
-_ARRIVAL = "date_format(ts + make_dt_interval(0, 0, cast(event_id % 300 - 60 as int)), 'HHmm')"
+_DEPARTURE = "string(hour(ts) * 100 + minute(ts))"
+# From one hour before to four hours after the departure on the destination's clock; midnight is 2400.
+_ARRIVAL = "pmod(hour(ts) * 60 + minute(ts) + int(event_id % 300) - 61, 1440) + 1"
 
 
 def raw_observations(events: DataFrame) -> DataFrame:
@@ -81,12 +81,12 @@ def raw_flights(events: DataFrame) -> DataFrame:
         "int(event_id % 1000000000) as Flight_Number_Reporting_Airline",
         f"{_ORIGIN} as Origin",
         f"{_DEST} as Dest",
-        f"if(event_id % 2 = 0, string(int({_DEPARTURE})), {_DEPARTURE}) as CRSDepTime",
-        f"if({_CANCELLED}, null, {_DEPARTURE}) as DepTime",
+        f"if(event_id % 2 = 0, {_DEPARTURE}, lpad({_DEPARTURE}, 4, '0')) as CRSDepTime",
+        f"if({_CANCELLED}, null, lpad({_DEPARTURE}, 4, '0')) as DepTime",
         "if(event_id % 17 = 0, null, round(value / 3)) as DepDelay",
         "double(10 + event_id % 30) as TaxiOut",
         "string(null) as WheelsOff",
-        f"if({_ARRIVAL} = '0000', '2400', {_ARRIVAL}) as CRSArrTime",
+        f"lpad(string({_ARRIVAL} + 40 * (({_ARRIVAL}) div 60)), 4, '0') as CRSArrTime",
         "string(null) as ArrTime",
         "double(event_id % 45 - 10) as ArrDelay",
         f"double(int({_CANCELLED})) as Cancelled",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def hhmm_minutes(hhmm: Column) -> Column:
     """Clock text such as '605', '0605' or '2400' as minutes after midnight; other text fails."""
     number = hhmm.cast("int")
-    return (F.floor(number / 100) * 60 + number % 100).cast("int")
+    return number - 40 * F.floor(number / 100).cast("int")
 
 
 def at_minute(day: Column, minutes: Column) -> Column:
@@ -46,6 +46,8 @@ def hours_between(start: Column, end: Column) -> Column:
 def utc_to_local(zone: Column | str, utc: Column) -> Column:
     """Zone-less UTC as zone-less local time. A fixed zone is resolved once, not per row; that form
     relies on the UTC session that `prepare` sets."""
+    if isinstance(zone, str) and zone == "UTC":
+        return utc
     if isinstance(zone, str):
         return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), zone, utc)

@@ -106,9 +106,9 @@ def time_flights(flights: DataFrame, params: Params) -> DataFrame:
         "scheduled_dep_ts",
         times.trunc("hour", departure).alias("scheduled_dep_hour"),
         F.when(operated & delay.isNotNull(),
-               departure + F.make_dt_interval(mins=F.round(delay).cast("int"))).alias("actual_dep_ts"),
+               departure + F.make_dt_interval(mins=values.rounded(delay, 0).cast("int"))).alias("actual_dep_ts"),
         F.when(F.col("dest_airport").isin(airports),
-               F.when(next_day, arrival + times.days(1)).otherwise(arrival)).alias("scheduled_arr_ts"),
+               arrival + F.make_dt_interval(days=next_day.cast("int"))).alias("scheduled_arr_ts"),
         "is_cancelled", "cancellation_code", "cancellation_reason", "is_diverted",
         "dep_delay_min", "arr_delay_min",
         (operated & (delay >= params.delayed_from_min)).alias("is_dep_delayed_15"),

@@ -77,13 +77,14 @@ def report_months(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
 def hour_grid(months: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every hour of each month, without gaps.
 
-    A month row becomes some 740 rows, so the tiny month table keeps the full number of partitions
-    instead of being coalesced into a few tasks that would write the whole grid.
+    A month row becomes some 740 rows, so the tiny month table is spread over the full number of
+    partitions; adaptive execution would coalesce it into a few tasks that write the whole grid. The
+    month comes first in the key because a shuffle that repeats the one before it is optimized away.
     """
     start = F.col("month_start")
     last = start + F.make_ym_interval(months=F.lit(1)) - times.hours(1)
     partitions = int(months.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return months.repartition(partitions, *keys, "month_start").select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
+    return months.repartition(partitions, "month_start", *keys).select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
 
 
 def fill_grid(grid: DataFrame, hourly: DataFrame) -> DataFrame:
@@ -165,8 +166,8 @@ def airport_hourly(weather: DataFrame, departures: DataFrame, events: DataFrame)
         *[values.or_zero(F.col(c)).alias(c) for c in counts],
         values.rate(cancelled, scheduled).alias("cancellation_rate"),
         values.rate(F.col("delayed_15"), scheduled - cancelled).alias("delay_15_rate"),
-        F.round("avg_dep_delay_min", 1).alias("avg_dep_delay_min"),
-        F.round("avg_taxi_out_min", 1).alias("avg_taxi_out_min"),
+        values.rounded(F.col("avg_dep_delay_min"), 1).alias("avg_dep_delay_min"),
+        values.rounded(F.col("avg_taxi_out_min"), 1).alias("avg_taxi_out_min"),
         F.col("has_report").alias("has_weather_report"),
         *HOUR_WEATHER,
     )

@@ -14,11 +14,16 @@ _local_roots: dict[str, str] = {}
 # of 128 sorts all raw rows of a task instead.
 HASH_AGGREGATE_KEYS = "65536"
 
+# The JVM does not compile methods above 8000 bytes. Wide projections of raw text get there, and then
+# run interpreted, five times slower; below the limit Spark splits them into small methods instead.
+COMPILED_METHOD_BYTES = "8000"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Local times are zone-less; a UTC session keeps date functions from shifting them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HASH_AGGREGATE_KEYS)
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
     return spark
 
 
