@@ -97,3 +97,10 @@ def test_key_skips_missing_parts(spark):
     frame = spark.createDataFrame([(date(2021, 1, 2), None, 7)], "d date, s string, n int")
     expected = frame.select(F.md5(F.lit("2021-01-02|7"))).collect()[0][0]
     assert frame.select(values.surrogate_key("d", "s", "n")).collect()[0][0] == expected
+
+
+def test_rounding_is_half_away_from_zero(spark):
+    numbers = [1.005, 2.675, 0.25, -0.25, -0.35, 12.34, None]
+    assert column(spark, numbers, values.rounded(F.col("v"), 1), "v double") == [1.0, 2.7, 0.3, -0.3, -0.4, 12.3, None]
+    assert column(spark, [1.005], values.rounded(F.col("v"), 2), "v double") == [1.0]
+    assert column(spark, [2.5, -2.5, 2.4], values.rounded(F.col("v"), 0), "v double") == [3.0, -3.0, 2.0]
