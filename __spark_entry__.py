@@ -28,6 +28,12 @@ from nimbusops.quality.oracle import statement
 from nimbusops.session import Staging, prepare
 from nimbusops.sources import planning, readers, schemas, writers
 
+try:  # the corpus operators and their pipeline are an optional part
+    import corpus_pipeline
+    from nimbusops.llm import queries as corpus
+except ImportError:
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 PARAMS = adapters.PARAMS
@@ -539,9 +545,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return warehouse(spark, "/root/testdata/sf0.001").view("storm_summary")
 
 
+def corpus_queries() -> dict[str, Query]:
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run} if corpus else {}
+
+
 def queries() -> dict[str, Query]:
-    return {name: function for name, (function, _) in _registry.items()}
+    return {name: function for name, (function, _) in _registry.items()} | corpus_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(sql) for name, (_, sql) in _registry.items() if sql}
+    known = {name: statement(sql) for name, (_, sql) in _registry.items() if sql}
+    if corpus:
+        known |= {**corpus.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql}
