@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusops.llm import decontamination, langid, nearest, sentencepieces, simhash, toxicity, warc
-from nimbusops.session import prepare
+from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, toxicity, warc
+from nimbusops.session import Staging, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the rows of a query, where SQL can state them on whole tables.
@@ -107,3 +107,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per packed row: what it holds and the digest of its ids as read back from the shard files."""
+    staging = Staging(spark)
+    folder = f"{staging.path}/shards"
+    docs = table(spark, sf_dir, "documents")
+    index = staging.write("index", packing.write(docs, folder, public_tokenizers.path(PIECE_MODEL)))
+    return packing.read(index, folder).select(
+        "doc_ids", "parts", "cu_seqlens", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+@query
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_class() == 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
