@@ -113,3 +113,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broad
         "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows of docs that hold no window of any item."""
+    staging = Staging(docs.sparkSession)
+    found, _ = occurrences(docs, benchmark, staging, size)
+    leaks = staging.write("leaks", found.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct())
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("text") == F.col("of_text")), "left_anti")

@@ -32,6 +32,7 @@ SIZES = (3, 5)
 LOG_SLOTS = 21
 PROBES = 3
 UNKNOWN = "und"
+LETTERED = "has_any_letter__"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, bool)
@@ -142,25 +143,49 @@ def shares(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.clip((raw - model.false_rate) / np.maximum(1e-9, 1 - model.false_rate), 0, 1)
 
 
+def _judged(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Name and score of each row of a batch with columns text and `LETTERED`."""
+    data, offsets = T.flat(batch.column("text"))
+    best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+    if model.languages:
+        for a, b in T.pieces(offsets, T.PIECE_BYTES // 2):
+            found = shares(model, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            best[a:b], score[a:b] = found.argmax(axis=1), found.max(axis=1)
+    known = batch.column(LETTERED).to_numpy(zero_copy_only=False) & bool(model.languages)
+    names = np.array([*model.languages, UNKNOWN], object)
+    return names[np.where(known, best, len(model.languages))], np.where(known, score, 0.0)
+
+
+def _sent(docs: DataFrame, model: Model):
+    """The model for tasks: slots x languages bits, a size that parameters set."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.false_rate))
+
+
+def _lettered():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(LETTERED)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each row; only the text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.false_rate))  # slots x languages bits, set by parameters
-    typed = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    sent = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*sent.value)
         for batch in batches:
-            data, offsets = T.flat(batch.column("text"))
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            if model.languages:
-                for a, b in T.pieces(offsets, T.PIECE_BYTES // 2):
-                    found = shares(model, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                    best[a:b], score[a:b] = found.argmax(axis=1), found.max(axis=1)
-            names = np.array([*model.languages, UNKNOWN], object)
-            known = lettered & bool(model.languages)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[np.where(known, best, len(model.languages))], pa.string()),
-                 pa.array(np.where(known, score, 0.0))], ["doc_id", "lang_pred", "score"])
-
-    return typed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+            names, score = _judged(batch, Model(*sent.value))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
+                                             ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text", _lettered()).mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs, as they are, whose text is of a learned language with at least this score."""
+    sent = _sent(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, score = _judged(batch, Model(*sent.value))
+            yield batch.filter(pa.array((names != UNKNOWN) & (score >= least_score))).drop_columns([LETTERED])
+
+    return docs.select("*", _lettered()).mapInArrow(run, docs.schema)

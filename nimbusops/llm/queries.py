@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, toxicity, warc
+from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, suffixes, toxicity, warc
 from nimbusops.session import Staging, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), crc_class() == 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

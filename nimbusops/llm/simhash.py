@@ -135,3 +135,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int =
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = least.select("fp", "root").join(whole, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group. Rows that repeat an id stay or go together."""
+    kept = Staging(docs.sparkSession).write("kept", near_duplicates(docs, size, radius).where(
+        "doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct())
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
