@@ -35,6 +35,7 @@ from nimbusops.session import Staging
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:x-page:"
 
@@ -173,5 +174,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCH
     staging = Staging(pages.sparkSession)
     folder = f"{staging.path}/archives"
     archives = staging.write("archive-list", write(planned(pages, staging, least_bytes), folder, archive_bytes))
-    runs = locate(archives, folder).repartition(F.col("path"), F.col("start"))
+    # Rows that name archives or runs are tiny, what they stand for is not: tasks are dealt by stored bytes.
+    stored = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
+    runs = locate(archives.repartition(tasks, "path"), folder).repartition(tasks, "path", "start")
     return read(runs, folder)
