@@ -168,12 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grade"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(number.astype(np.int32)))], ["grade", "x"])
 
-    got = rows.mapInArrow(marked, "grade int, x array<int>").orderBy("grade", "x").toArrow().combine_chunks()
-    x = got["x"].combine_chunks() if isinstance(got["x"], pa.ChunkedArray) else got["x"]
-    counts = pc.list_value_length(x).to_numpy()
-    grade = got["grade"].to_numpy().astype(np.int64)
+    got = rows.mapInArrow(marked, "grade int, x array<int>").toArrow()
+    texts = sorted(zip(got["grade"].to_pylist(), got["x"].to_pylist(), strict=True))  # sums in one order, whatever the tasks
+    counts = np.array([len(x) for _, x in texts])
+    grade = np.array([g for g, _ in texts], np.int64)
     grade[(grade > 0) & (counts > np.median(counts[grade > 0]))] = 2
-    weights, thresholds = fit(np.repeat(np.arange(len(counts)), counts), x.flatten().to_numpy(), grade, len(words))
+    weights, thresholds = fit(np.repeat(np.arange(len(counts)), counts), np.array([i for _, x in texts for i in x], np.int64), grade, len(words))
     return Model(words, weights, thresholds)
 
 
