@@ -270,9 +270,9 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
         new = np.ones(len(context), bool)
         new[1:] = (context[1:] != context[:-1]) | (place[1:] != place[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(context)) - 1
+        last = np.append(first[1:], len(context))[:len(first)] - 1
         c = context[first]
-        return _marks(key[c], tag[c], low[c] + place[first], low[c] + (place[last] if len(last) else last) + length)
+        return _marks(key[c], tag[c], low[c] + place[first], low[c] + place[last] + length)
 
     def _marks(key, tag, start, end):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tag, start, end)], ["key", "tag", "start", "end"])
