@@ -7,8 +7,10 @@ earlier (in a smaller doc_id, or earlier in the same text) goes. Strings are jud
    bytes of text. Only hashes and places are shuffled.
 2. Equal contexts of one anchor: all but the earliest are repeats as a whole. Within a task's piece of
    text they are found before the shuffle, so a hot anchor sends a row per piece and context at most.
-3. Where an anchor has several contexts, the earliest of each is cut out of its text and sent to the
-   anchor's task. There the strings that are equal are found on the Burrows-Wheeler transform of the
+3. Where an anchor has several contexts, every string in them holds one of three blocks of
+   `length` - 22 bytes around the anchor, by its place. Only contexts that share a block's hash with
+   another one can share a string. The earliest of each such context, cut down to the strings with
+   shared blocks, is cut out of its text and sent to the anchor's task. There the strings that are equal are found on the Burrows-Wheeler transform of the
    contexts (see bwt), in blocks of whole anchors. An anchor with more than `HOT` contexts is split: each
    of its strings goes on its own, to the task of that string's hash, again once per task and string.
 4. The covered bytes are cut out of each text.
@@ -34,7 +36,9 @@ from nimbusops.session import Staging
 
 LENGTH = 100
 GRAM = 32  # bytes of an anchor, a power of two
-HOT = 16384
+HOT = 2048
+BLOCKS = 3  # of BLOCK_BITS of hash each
+BLOCK_BITS = 21
 BLOCK_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -92,6 +96,43 @@ def string_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, longest: in
     return out
 
 
+def block_span(length: int) -> int:
+    """Places of an anchor inside a string that share one block."""
+    return -(-(length - GRAM + 1) // BLOCKS)
+
+
+def block_hashes(h: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """For strings in which the anchor has the places i * span to (i + 1) * span - 1, the bytes that all of
+    them hold: a few bits of hash each, 0 where the run has no such string."""
+    span, out = block_span(length), np.zeros(len(low), np.int64)
+    for i in range(BLOCKS):
+        own = (anchor - low >= i * span) & (anchor - high < (i + 1) * span)
+        start = anchor[own] - i * span
+        code = string_hashes(h, start, start + length - span + 1, length - span + 1) % np.uint64((1 << BLOCK_BITS) - 1)
+        out[own] |= (code.astype(np.int64) + 1) << (BLOCK_BITS * i)
+    return out
+
+
+def shared_blocks(g: np.ndarray, blocks: np.ndarray, packed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (distinct within g) that share a block with another one, and their runs cut down to the
+    strings with shared blocks."""
+    span = block_span(length)
+    most, least = np.full(len(g), -1), np.full(len(g), length)
+    low, high, tag = _fields(packed)
+    at = packed & 127
+    for i in range(BLOCKS):
+        code = (blocks >> (BLOCK_BITS * i)) & ((1 << BLOCK_BITS) - 1)
+        order = np.lexsort((code, g))
+        same = (g[order][1:] == g[order][:-1]) & (code[order][1:] == code[order][:-1]) & (code[order][1:] > 0)
+        shared = np.zeros(len(g), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        most = np.where(shared, np.maximum(most, (i + 1) * span - 1), most)
+        least = np.where(shared, np.minimum(least, i * span), least)
+    anchor = low + at
+    low, high = np.maximum(low, anchor - most), np.minimum(high, anchor - least)
+    return np.flatnonzero(most >= 0), (tag << 46) | (low << 14) | ((high - low) << 7) | (anchor - low)
+
+
 def _slices(offsets: np.ndarray, length: int, limit: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(first text, last text, from byte, to byte, bytes of the first text that come before): whole texts,
     or parts of a long one that overlap so that each string starts in one of them."""
@@ -143,9 +184,9 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 context = _mix(context + (anchor - low).astype(np.uint64))
                 start = low - edges[doc] + before
                 packed = (tags[a:b][doc] << 46) | (start << 14) | ((high - low) << 7) | (anchor - low)
-                g, key = h[anchor], keys[a:b][doc]
+                g, key, blocks = h[anchor], keys[a:b][doc], block_hashes(h, low, high, anchor, length)
                 order = np.lexsort((packed, key, context, g))
-                g, context, key, packed = g[order], context[order], key[order], packed[order]
+                g, context, key, packed, blocks = g[order], context[order], key[order], packed[order], blocks[order]
                 first = _firsts(g, context)
                 again = ~first
                 # A later row is a repeat unless it is the same place of the same document.
@@ -153,18 +194,18 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 same = again & (key == key[led]) & (packed == packed[led])
                 g = np.where(again, _mix(packed.astype(np.uint64) + g), g)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[~same]) for x in (g.view(np.int64), context.view(np.int64), key, packed, again)],
-                    ["g", "context", "key", "packed", "again"])
+                    [pa.array(x[~same]) for x in (g.view(np.int64), context.view(np.int64), key, packed, blocks, again)],
+                    ["g", "context", "key", "packed", "blocks", "again"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        g, context, key, packed, again = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in got]) for i in range(5))
+        g, context, key, packed, blocks, again = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in got]) for i in range(6))
         yield _runs(key[again], packed[again])
-        g, context, key, packed = g[~again], context[~again], key[~again], packed[~again]
+        g, context, key, packed, blocks = (x[~again] for x in (g, context, key, packed, blocks))
         order = np.lexsort((packed, key, context, g))
-        g, context, key, packed = g[order], context[order], key[order], packed[order]
+        g, context, key, packed, blocks = (x[order] for x in (g, context, key, packed, blocks))
         first = _firsts(g, context)
         led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         repeat = ~first & ((key != key[led]) | (packed != packed[led]))
@@ -172,14 +213,18 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         anchor = np.cumsum(_firsts(g)) - 1
         n = np.bincount(anchor, weights=first).astype(np.int64)[anchor] if len(anchor) else anchor
         left = first & (n > 1)
-        yield _runs(key[left], packed[left], g[left], n[left])
+        g, key, packed, blocks = g[left], key[left], packed[left], blocks[left]
+        kept, cut_down = shared_blocks(g, blocks, packed, length)
+        g, key, packed = g[kept], key[kept], cut_down[kept]
+        anchor = np.cumsum(_firsts(g)) - 1
+        yield _runs(key, packed, g, np.bincount(anchor)[anchor] if len(anchor) else anchor)
 
     def _runs(key, packed, g=None, n=None):
         none = pa.nulls(len(key), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed), none if g is None else pa.array(g), none if n is None else pa.array(n)],
                                           ["key", "packed", "g", "n"])
 
-    rows = keyed(docs).select("key", "tag", "text").mapInArrow(cut, "g long, context long, key long, packed long, again boolean")
+    rows = keyed(docs).select("key", "tag", "text").mapInArrow(cut, "g long, context long, key long, packed long, blocks long, again boolean")
     return rows.repartition("g").mapInArrow(settle, "key long, packed long, g long, n long")
 
 
