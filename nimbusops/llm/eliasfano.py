@@ -46,7 +46,7 @@ class EliasFano:
         np.cumsum(np.bitwise_count(bitmap[:-1]), out=ones[1:])
         low = np.zeros((n * low_bits + 7) // 8 + 8, np.uint8)
         if low_bits:
-            step = 1 << 18
+            step = 1 << 15
             for i in range(0, n, step):  # a multiple of 8 values fills whole bytes
                 part = ((values[i:i + step, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
                 packed = np.packbits(part.ravel(), bitorder="little")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded
 
 SAMPLE = 8192
 SIZES = (3, 5)
@@ -92,7 +93,7 @@ def _counted(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def training_rows(docs: DataFrame, learn: Column, sample: int) -> DataFrame:
     """Labelled rows of the sample. Only ids and labels are read to find its bound."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = bounded(docs).where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     hashed = F.xxhash64("doc_id")
     bound = labelled.select(hashed.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     return labelled.where(hashed <= (bound if bound is not None else 0)).select("doc_id", "lang", "text")
@@ -148,7 +149,7 @@ def _judged(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray
     data, offsets = T.flat(batch.column("text"))
     best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
     if model.languages:
-        for a, b in T.pieces(offsets, T.PIECE_BYTES // 2):
+        for a, b in T.pieces(offsets):
             found = shares(model, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             best[a:b], score[a:b] = found.argmax(axis=1), found.max(axis=1)
     known = batch.column(LETTERED).to_numpy(zero_copy_only=False) & bool(model.languages)
@@ -175,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
                                              ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", _lettered()).mapInArrow(
+    return bounded(docs).select("doc_id", "text", _lettered()).mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -188,4 +189,4 @@ def known_language(docs: DataFrame, model: Model, least_score: float) -> DataFra
             names, score = _judged(batch, Model(*sent.value))
             yield batch.filter(pa.array((names != UNKNOWN) & (score >= least_score))).drop_columns([LETTERED])
 
-    return docs.select("*", _lettered()).mapInArrow(run, docs.schema)
+    return bounded(docs).select("*", _lettered()).mapInArrow(run, docs.schema)

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded, merged
 from nimbusops.llm.eliasfano import EliasFano
 from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
@@ -197,7 +198,8 @@ class Trie:
 def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], smoothing: float, system, path: str) -> Iterator[dict]:
     """What a task owes each text: quantised codes, exact unigram logarithms and known tokens, by chunk."""
     parts = []
-    for r in rows:
+    while rows:  # each message is let go of once it is decoded
+        r = rows.pop()
         word = np.frombuffer(r["words"], "<u8")
         body = np.zeros((len(r["contexts"]) // 6, 8), np.uint8)
         body[:, :6] = np.frombuffer(r["contexts"], np.uint8).reshape(-1, 6)
@@ -205,7 +207,8 @@ def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], sm
         present = _large(r["present"])
         trained = np.unpackbits(np.frombuffer(r["trained"], np.uint8))[:len(present)].astype(np.int64)
         c = T.sums(trained[texts], np.concatenate([[0], np.cumsum(n_texts)]))
-        parts.append((np.repeat(word, _large(r["n_pairs"])), body.view("<u8").ravel(), c, n_texts, texts, present, r["chunk"]))
+        parts.append((np.repeat(word, _large(r["n_pairs"])), body.view("<u8").ravel(), c, n_texts.astype(np.int32), texts.astype(np.int32),
+                      present, r["chunk"]))
     if not parts:
         return
     word, context, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -252,7 +255,7 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
     spark = docs.sparkSession
     staging = Staging(spark)
     folder = f"{staging.path}/tries"
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = bounded(docs).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table = staging.write("unigrams", unigrams(rows))
     n_train, distinct = table.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = n_train + 0.5 * (distinct + 1)
@@ -267,14 +270,14 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in merged(batches, CHUNK_BYTES):
             data, offsets = T.flat(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for a, b in T.pieces(offsets, CHUNK_BYTES):
-                found = list(_messages(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], ids[a:b], held[a:b], number, shards, hot["word"]))
+                yield pa.RecordBatch.from_pylist(list(_messages(
+                    data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], ids[a:b], held[a:b], number, shards, hot["word"])), _MESSAGE)
                 number += 1
-                yield pa.RecordBatch.from_pylist(found, _MESSAGE)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -283,8 +286,9 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
         lists = [{k: r.get(k) for k in _SUMS.names} for r in got if r["doc_ids"] is not None]
         if lists:
             yield pa.RecordBatch.from_pylist(lists, _SUMS)
+        got = [r for r in got if r["doc_ids"] is None]
         system, path = open_folder(folder)
-        sums = _shard_scores([r for r in got if r["doc_ids"] is None], total, hot, smoothing, system,
+        sums = _shard_scores(got, total, hot, smoothing, system,
                              f"{path}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.trie")
         for one in sums:
             yield pa.RecordBatch.from_pylist([one], _SUMS)

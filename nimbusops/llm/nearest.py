@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbusops.llm.batches import bounded
 from nimbusops.session import Staging
 
 CELLS = 64
@@ -33,7 +34,7 @@ READ = 256
 def integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id, length and `v`, the integer components, of the vectors that take part."""
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", "embedding").where("vec_id is not null").where(usable).select(
+    return bounded(vectors).select("vec_id", "embedding").where("vec_id is not null").where(usable).select(
         "vec_id", F.size("embedding").alias("length"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from nimbusops.llm import sentencepieces
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded
 from nimbusops.llm.files import open_folder
 
 LENGTH = 2048
@@ -149,7 +150,7 @@ def write(docs: DataFrame, folder: str, model_path: str, length: int = LENGTH, p
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded(docs).select("doc_id", "text").mapInArrow(
         run, f"shard string, row int, doc_ids array<{id_type}>, parts array<int>, n_tokens long")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded
 from nimbusops.llm.components import components
 from nimbusops.session import Staging
 
@@ -44,8 +45,7 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarra
     joined = np.full(int(to[-1]) + 1, 32, np.uint8)
     gap = np.zeros(len(joined), bool)
     gap[to] = True
-    edge = np.bincount(starts, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
-    joined[~gap] = T.LOWER[data[np.cumsum(edge[:-1]).astype(bool)]]
+    joined[~gap] = T.LOWER[data[T.covered(len(data), starts, ends)]]
     body = joined.tobytes()
     counts = np.diff(upto)
     full = np.flatnonzero(counts)
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:

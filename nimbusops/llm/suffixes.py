@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from nimbusops.llm import bwt
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded
 from nimbusops.session import Staging
 
 LENGTH = 100
@@ -39,7 +40,7 @@ GRAM = 32  # bytes of an anchor, a power of two
 HOT = 2048
 BLOCKS = 3  # of BLOCK_BITS of hash each
 BLOCK_BITS = 21
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 
 _CODE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,7 +163,7 @@ def _fields(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
     """The id, with a number for null, and the text. Joins that take the same columns share one shuffle."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
+    return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
                        F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "text", *more)
 
 
@@ -357,7 +358,7 @@ def _remove(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[pa.
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans), kept
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int = 2 * T.PIECE_BYTES,
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int = T.PIECE_BYTES,
                    block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of maximal removed runs) and kept (remaining bytes) per row, and
     `row`, a struct of the columns to carry."""

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20  # numpy work on a piece needs up to some 50 times its size
 
 #: Bytes A-Z to a-z, all others to themselves.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,12 +53,20 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bool =
     sizes = ends - starts
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(sizes, out=bounds[1:])
-    edge = np.bincount(starts, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
-    kept = data[np.cumsum(edge[:-1]).astype(bool)]
+    kept = data[covered(len(data), starts, ends)]
     return pa.Array.from_buffers(pa.string() if text else pa.binary(), len(starts),
                                  [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
 
 
+def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks the places inside ranges that do not overlap."""
+    some = starts < ends
+    edge = np.zeros(size + 1, np.int8)
+    edge[starts[some]] = 1
+    edge[ends[some]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text (maximal runs of bytes that `apart` does not mark),
     and the number of words up to each text."""

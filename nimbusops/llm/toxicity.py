@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
+from nimbusops.llm.batches import bounded
 from nimbusops.session import Staging
 
 SAMPLE = 8192
@@ -112,7 +113,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         "doc_id", "CASE WHEN toxic = 0 THEN 0 ELSE 1 END AS grade", "xxhash64(doc_id) AS h")
     bound = graded.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = graded.where(F.col("h") <= (bound if bound is not None else 0)).select("doc_id", "grade")
-    return docs.select("doc_id", "text").where(F.xxhash64("doc_id") <= (bound if bound is not None else 0)).join(
+    return bounded(docs).select("doc_id", "text").where(F.xxhash64("doc_id") <= (bound if bound is not None else 0)).join(
         F.broadcast(chosen), "doc_id")  # at most `sample` ids
 
 
@@ -196,5 +197,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                               pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic)],
                                              ["doc_id", "severity", "grade", "toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean")

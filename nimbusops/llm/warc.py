@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import zips
+from nimbusops.llm.batches import bounded
 from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
 
@@ -46,7 +47,7 @@ def digest(payload: bytes) -> str:
 
 def planned(pages: DataFrame, staging: Staging, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, and refers_to for the rows whose payload another row stores."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumns(
+    rows = bounded(pages).select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumns(
         {"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload")})
     repeated = rows.where((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha1", "n_bytes").agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
