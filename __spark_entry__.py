@@ -7,26 +7,27 @@ rows on; nothing is shared between queries.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nimbusops import adapters
 from nimbusops import fixed_values as fixed
-from nimbusops.config import Station, stations_frame
+from nimbusops.config import Station, events_frame, events_from_seed, select_events, stations_frame
 from nimbusops.functions import times, values
 from nimbusops.operators import episodes, hourly
 from nimbusops.plans import marts, reports
 from nimbusops.plans.warehouse import Warehouse
 from nimbusops.quality import checks
-from nimbusops.quality.oracle import statement
+from nimbusops.quality.oracle import ACROSS, all_checks, count_of, statement
 from nimbusops.session import Staging, prepare
-from nimbusops.sources import planning, readers, schemas, writers
+from nimbusops.sources import landing, planning, readers, schemas, writers
 
 try:  # the corpus operators and their pipeline are an optional part
     import corpus_pipeline
@@ -47,7 +48,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    events = readers.spread(read(spark, sf_dir, "events"), "event_id")
+    events = read(spark, sf_dir, "events")
     return Warehouse(spark, lambda: adapters.raw_flights(events), lambda: adapters.raw_observations(events),
                      adapters.EVENTS, PARAMS)
 
@@ -70,7 +71,7 @@ def model(name: str, sql: str, view: str | None = None) -> None:
 
 # --- cleaning and scalar functions -----------------------------------------------------------------
 
-@query("""SELECT flight_id, d AS flight_date, carrier AS airline_code, CAST(k AS INTEGER) AS flight_number,
+@query("""SELECT flight_id, d AS flight_date, carrier AS airline_code, k AS flight_number,
     org AS origin_airport, dst AS dest_airport, dep_delay_min, taxi_out_min, is_cancelled, is_diverted,
     cancellation_code, reason AS cancellation_reason, CAST(100 + k % 1900 AS DOUBLE) AS distance_miles,
     round((100 + k % 1900) * CAST(1.609344 AS DOUBLE), 1) AS distance_km FROM flt""")
@@ -345,16 +346,18 @@ def cancelled_but_delayed(spark, sf_dir):
 
 @query("""SELECT airport_code, weather_hour, precip_mm, weather_codes_hour, temp_c FROM weather WHERE precip_mm >= 12""")
 def implausible_values(spark, sf_dir):
-    return reports.implausible_precip(warehouse(spark, sf_dir).view("weather_hourly"), 12.0)
+    return reports.implausible_precip(warehouse(spark, sf_dir).view("weather_hourly"), PARAMS.implausible_precip_mm)
 
 
 @query("""SELECT event_id, count(*) AS pairs, max(recovery_h) AS longest_recovery_h, CAST(sum(winter_precip_hours) AS BIGINT) AS winter_hours
     FROM summ GROUP BY 1""")
 def sql_over_marts(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
-    wh.register(["storm_summary"])
-    return wh.query("SELECT event_id, count(*) AS pairs, max(recovery_h) AS longest_recovery_h, "
-                    "sum(winter_precip_hours) AS winter_hours FROM mart_storm_summary GROUP BY event_id")
+    (name,) = wh.register(["storm_summary"], prefix=f"run_{uuid.uuid4().hex}_")
+    result = wh.query("SELECT event_id, count(*) AS pairs, max(recovery_h) AS longest_recovery_h, "
+                      f"sum(winter_precip_hours) AS winter_hours FROM {name} GROUP BY event_id")
+    wh.unregister()
+    return result
 
 
 # --- sources and sinks -----------------------------------------------------------------------------
@@ -411,8 +414,8 @@ def observation_summary(spark, sf_dir):
     return planning.observation_batches(readers.station_observations(both, stations))
 
 
-@query("""SELECT airport_code, if(is_special, 'special', 'routine') AS report_type, count(*) AS reports,
-    min(valid_local) AS first_report, max(valid_local) AS last_report FROM obs GROUP BY 1, 2""")
+@query("""SELECT org AS airport_code, if(k % 5 = 0, 'special', 'routine') AS report_type, count(*) AS reports,
+    min(ts) AS first_report, max(ts) AS last_report FROM wx GROUP BY 1, 2""")
 def union_reports(spark, sf_dir):
     raw = adapters.raw_observations(read(spark, sf_dir, "events"))
     both = readers.union_reports(*[raw.where(F.col("report_type") == t).drop("report_type")
@@ -421,8 +424,8 @@ def union_reports(spark, sf_dir):
         F.count("*").alias("reports"), F.min("valid_utc").alias("first_report"), F.max("valid_utc").alias("last_report"))
 
 
-@query("""SELECT d AS FlightDate, carrier AS Reporting_Airline, CAST(k AS INTEGER) AS Flight_Number_Reporting_Airline, org AS Origin,
-    dst AS Dest, if(k % 2 = 0, CAST(CAST(strftime(ts, '%H%M') AS INTEGER) AS VARCHAR), strftime(ts, '%H%M')) AS CRSDepTime,
+@query("""SELECT d AS FlightDate, carrier AS Reporting_Airline, k AS Flight_Number_Reporting_Airline, org AS Origin,
+    true AS from_csv, dst AS Dest, if(k % 2 = 0, CAST(CAST(strftime(ts, '%H%M') AS INTEGER) AS VARCHAR), strftime(ts, '%H%M')) AS CRSDepTime,
     dep_delay_min AS DepDelay, CAST(CAST(is_cancelled AS INTEGER) AS DOUBLE) AS Cancelled, cancellation_code AS CancellationCode,
     CAST(100 + k % 1900 AS DOUBLE) AS Distance FROM flt WHERE org IN ('AAA', 'BBB') OR dst IN ('AAA', 'BBB')""")
 def csv_roundtrip(spark, sf_dir):
@@ -433,30 +436,134 @@ def csv_roundtrip(spark, sf_dir):
     writers.write_flights(readers.read_flights_csv(spark, f"{folder}/csv", ("AAA", "BBB")), f"{folder}/flights")
     return readers.read_raw(spark, f"{folder}/flights", schemas.RAW_FLIGHTS).select(
         "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin", "Dest", "CRSDepTime", "DepDelay",
-        "Cancelled", "CancellationCode", "Distance")
+        "Cancelled", "CancellationCode", "Distance", F.col("_source_file").rlike("^part-.*[.]csv$").alias("from_csv"))
 
 
-@query("""SELECT 'mart_airport_hourly' AS table_name, count(*) AS exported FROM hrs
-    UNION ALL SELECT 'mart_storm_summary', count(*) FROM summ UNION ALL SELECT 'mart_storm_timeline', count(*) FROM tl""")
+@query("""SELECT 'mart_airport_hourly' AS table_name, count(*) AS counted, count(*) AS exported FROM hrs
+    UNION ALL SELECT 'mart_storm_summary', count(*), count(*) FROM summ UNION ALL SELECT 'mart_storm_timeline', count(*), count(*) FROM tl""")
 def mart_export(spark, sf_dir):
-    """CSV files of registered marts, read back and counted per table."""
+    """CSV files of the tables with a prefix: the count that each export returns, and the rows read back."""
     wh = warehouse(spark, sf_dir)
-    wh.register(["airport_hourly", "storm_summary", "storm_timeline"])
-    folder = f"{wh.staging.path}/csv"
-    exported = writers.export_marts(spark, folder, single_file=["mart_storm_summary"])
+    prefix, folder = f"run_{uuid.uuid4().hex}_", f"{wh.staging.path}/csv"
+    wh.register(["airport_hourly", "storm_summary", "storm_timeline"], prefix)
+    exported = writers.export_marts(spark, folder, prefix, single_file=[f"{prefix}mart_storm_summary"])
+    wh.unregister()
     counts = [
         spark.read.option("header", True).csv(f"{folder}/{name}").agg(F.count("*").alias("exported"))
-        .select(F.lit(name).alias("table_name"), "exported") for name in exported]
+        .select(F.lit(name.removeprefix(prefix)).alias("table_name"), F.lit(n).cast("long").alias("counted"), "exported")
+        for name, n in exported.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
+def file_order(path: str, spark: SparkSession, *columns: str) -> DataFrame:
+    """Rows of landed files that come before the row in front of them, per file."""
+    place = Window.partitionBy("_file").orderBy("_row")
+    key = F.struct(*columns)
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.withColumn("out_of_order", F.coalesce(key < F.lag(key).over(place), F.lit(False)))
+
+
+def stations(zone: str = "America/Chicago") -> list[Station]:
+    return [Station(a, a, a, a, zone) for a in adapters.AIRPORTS]
+
+
+@query("""SELECT org AS airport_code, CAST(year(l) AS INTEGER) AS year, CAST(month(l) AS INTEGER) AS month, count(*) AS reports,
+    count(*) FILTER (k % 5 = 0) AS special, min(t) AS first_report, max(t) AS last_report, 0::BIGINT AS out_of_order
+    FROM (SELECT *, date_trunc('minute', ts) AS t, timezone('America/Chicago', date_trunc('minute', ts) AT TIME ZONE 'UTC') AS l FROM wx)
+    WHERE month(l) = 1 GROUP BY 1, 2, 3""")
+def weather_landing(spark, sf_dir):
+    """Weather landing: CSV text of two report types in, cut to the planned local months (January), sorted
+    airport-month files out; read back with the order of their rows."""
+    raw = adapters.raw_observations(read(spark, sf_dir, "events"))
+    text = raw.withColumn("valid", F.date_format("valid_utc", "yyyy-MM-dd HH:mm")).drop("airport_code", "valid_utc")
+    staging = Staging(spark)
+    for kind in (fixed.ROUTINE, fixed.SPECIAL):
+        writers.export_csv(text.where(F.col("report_type") == kind).drop("report_type"), f"{staging.path}/{kind}")
+    both = readers.union_reports(*[readers.read_observations_csv(spark, f"{staging.path}/{kind}") for kind in (fixed.ROUTINE, fixed.SPECIAL)])
+    planned = planning.plan_airport_months(spark, adapters.EVENTS)
+    kept = readers.of_planned_months(readers.station_observations(both, stations_frame(spark, stations())), planned)
+    writers.write_observations(kept, f"{staging.path}/weather")
+    landed = file_order(f"{staging.path}/weather", spark, "valid_utc", "report_type")
+    return landed.groupBy("airport_code", "year", "month").agg(
+        F.count("*").alias("reports"), F.count_if(F.col("report_type") == fixed.SPECIAL).alias("special"),
+        F.min("valid_utc").alias("first_report"), F.max("valid_utc").alias("last_report"), F.count_if("out_of_order").alias("out_of_order"))
+
+
+@query("""SELECT step, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, count(*) * if(step = 'forced', 2, 1) AS flights,
+    0::BIGINT AS out_of_order FROM flt, (VALUES ('first'), ('again'), ('forced')) s(step) GROUP BY 1, 2, 3""")
+def landing_skips_months(spark, sf_dir):
+    """Flights land once; a second run with twice the rows changes nothing, a forced one replaces the months."""
+    raw, path = adapters.raw_flights(read(spark, sf_dir, "events")), f"{Staging(spark).path}/flights"
+    runs, out = {"first": (raw, False), "again": (raw.union(raw), False), "forced": (raw.union(raw), True)}, []
+    for step, (flights, force) in runs.items():
+        writers.write_flights(flights, path, force)
+        counted = file_order(path, spark, "FlightDate", "CRSDepTime").groupBy("year", "month").agg(
+            F.count("*").alias("flights"), F.count_if("out_of_order").alias("out_of_order"))
+        out.append(Staging(spark).write(step, counted.select(F.lit(step).alias("step"), "*")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, count(*) AS flights, count(*) FILTER (is_cancelled) AS cancelled,
+    true AS from_csv FROM flt WHERE d BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND org IN ('AAA', 'BBB', 'CCC', 'DDD') GROUP BY 1, 2""")
+def flight_landing(spark, sf_dir):
+    """The landing job: missing months are read from their CSV, written, checked and summed up; files that
+    are there are not read again."""
+    raw = adapters.raw_flights(read(spark, sf_dir, "events"))
+    staging = Staging(spark)
+    writers.export_csv(raw, f"{staging.path}/csv/2024-1")
+    chosen = select_events(adapters.EVENTS, ["ev_b", "ev_a"])
+    source = lambda year, month: f"{staging.path}/csv/{year}-{month}"
+    landed, _ = landing.land_flights(spark, source, f"{staging.path}/flights", chosen)
+    skipped, _ = landing.land_flights(spark, lambda year, month: "nowhere", f"{staging.path}/flights", chosen)
+    from_csv = spark.read.parquet(f"{staging.path}/flights").agg(F.bool_and(F.col("_source_file").endswith(".csv"))).first()[0]
+    both = landed.select("year", "month", "flights", F.col("cancelled").cast("long").alias("cancelled")).unionByName(
+        skipped.select("year", "month", "flights", F.col("cancelled").cast("long").alias("cancelled")))
+    return both.withColumn("from_csv", F.lit(from_csv))
+
+
+@query("""SELECT b.event_id, b.airport_code, if(b.airline_group = 'American', 'One', 'Other') AS airline_group,
+    CAST(sum(departures_before) AS BIGINT) AS departures_before, CAST(sum(cancelled_before) AS BIGINT) AS cancelled_before,
+    CAST(sum(departures_during) AS BIGINT) AS departures_during, CAST(sum(cancelled_during) AS BIGINT) AS cancelled_during FROM aw b GROUP BY 1, 2, 3""")
+def seeded_groups(spark, sf_dir):
+    """Airline groups and events from seed files instead of the constants."""
+    staging = Staging(spark)
+    writers.export_csv(spark.createDataFrame([("AA", "One", "A"), ("MQ", "One", "B")], schemas.AIRLINE_GROUPS), f"{staging.path}/groups")
+    writers.export_csv(events_frame(spark, adapters.EVENTS).drop("label"), f"{staging.path}/events")
+    groups = readers.read_seed(spark, f"{staging.path}/groups", schemas.AIRLINE_GROUPS)
+    events = events_from_seed(readers.read_seed(spark, f"{staging.path}/events", schemas.STORM_EVENTS), {}, adapters.AIRPORTS)
+    source = read(spark, sf_dir, "events")
+    wh = Warehouse(spark, lambda: adapters.raw_flights(source), lambda: adapters.raw_observations(source), events, PARAMS, groups)
+    return wh.view("airline_windows")
+
+
+@query("""SELECT 'mart_storm_summary' AS table_name, false AS is_view, count(*) AS table_rows FROM summ
+    UNION ALL SELECT 'mart_storm_timeline', false, count(*) FROM tl UNION ALL SELECT 'prep_weather_hourly', false, count(*) FROM weather
+    UNION ALL SELECT 'stg_flights', true, count(*) FROM flt""")
+def saved_models(spark, sf_dir):
+    """Models as catalog tables and views, saved twice and counted."""
+    wh = warehouse(spark, sf_dir)
+    database = f"db_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    wh.save(database)
+    wh.save(database)
+    counts = []
+    for name, view in (("mart_storm_summary", False), ("mart_storm_timeline", False), ("prep_weather_hourly", False), ("stg_flights", True)):
+        table = spark.table(name if view else f"{database}.{name}")
+        counts.append(table.agg(F.count("*").alias("table_rows")).select(F.lit(name).alias("table_name"), F.lit(view).alias("is_view"), "table_rows"))
+    result = Staging(spark).write("counts", reduce(DataFrame.unionByName, counts))
+    wh.unregister()
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return result
+
+
 # --- data quality ----------------------------------------------------------------------------------
 
-def results_sql(*rows: tuple[str, str, str, str]) -> str:
-    """UNION of one row per check: check, model, column, expression that counts violations."""
+def results_sql(*rows: tuple[str, ...]) -> str:
+    """UNION of one row per check: check, model, column, statement that counts violations, severity if not error."""
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "check", '{m}' AS model, '{col}' AS "column", CAST(({n}) AS BIGINT) AS violations, 'error' AS severity"""
-        for c, m, col, n in rows)
+        f"""SELECT '{c}' AS "check", '{m}' AS model, '{col}' AS "column", CAST(({n}) AS BIGINT) AS violations, '{(*s, "error")[0]}' AS severity"""
+        for c, m, col, n, *s in rows)
 
 
 def results(*parts: DataFrame) -> DataFrame:
@@ -466,7 +573,7 @@ def results(*parts: DataFrame) -> DataFrame:
 @query(results_sql(
     ("unique", "lineitem", "line_key", "SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
     ("unique", "orders", "o_orderkey", "SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)"),
-    ("unique", "observations", "metar_id", "0")))
+    ("unique", "observations", "metar_id", count_of("unique", "observations", "metar_id"))))
 def dq_unique(spark, sf_dir):
     key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_key")
     return results(
@@ -476,7 +583,7 @@ def dq_unique(spark, sf_dir):
 
 
 @query(results_sql(
-    ("not_null", "observations", "metar_id", "0"),
+    ("not_null", "observations", "metar_id", count_of("not_null", "observations", "metar_id")),
     ("not_null", "observations", "temp_c", "SELECT count(*) - count(temp_c) FROM obs"),
     ("not_null", "observations", "weather_codes", "SELECT count(*) - count(codes) FROM obs")))
 def dq_not_null(spark, sf_dir):
@@ -485,7 +592,7 @@ def dq_not_null(spark, sf_dir):
 
 
 @query(results_sql(
-    ("accepted_values", "flights_clean", "cancellation_code", "0"),
+    ("accepted_values", "flights_clean", "cancellation_code", count_of("accepted_values", "flights_clean", "cancellation_code", "ABCD")),
     ("accepted_values", "flights_clean", "dest_airport", "SELECT count(*) FROM flt WHERE dst = 'ZZZ'")))
 def dq_accepted(spark, sf_dir):
     rules = checks.Rules(accepted={"cancellation_code": ("A", "B", "C", "D"), "dest_airport": PARAMS.airports})
@@ -494,18 +601,20 @@ def dq_accepted(spark, sf_dir):
 
 @query(results_sql(
     ("relationships", "orders", "o_custkey", "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
-    ("relationships", "lineitem", "l_orderkey", "SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN "
+    ("relationships", "lineitem", "l_orderkey", "SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
+    ("relationships", "lineitem of F", "l_orderkey", "SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN "
      "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")))
 def dq_relationships(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     return results(
         checks.relationships(orders, "orders", "o_custkey", read(spark, sf_dir, "customer"), "c_custkey"),
-        checks.relationships(read(spark, sf_dir, "lineitem"), "lineitem", "l_orderkey",
+        checks.relationships(read(spark, sf_dir, "lineitem"), "lineitem", "l_orderkey", orders, "o_orderkey"),
+        checks.relationships(read(spark, sf_dir, "lineitem"), "lineitem of F", "l_orderkey",
                              orders.where("o_orderstatus = 'F'"), "o_orderkey"))
 
 
 @query(results_sql(
-    ("consistent_counts", "airport_hourly", "", "0"),
+    ("consistent_counts", "airport_hourly", "", ACROSS["consistent_counts", "airport_hourly"]),
     ("consistent_counts", "without_carrier", "", "SELECT count(*) FROM hrs WHERE cancelled_carrier > 0")))
 def dq_hour_counts(spark, sf_dir):
     hours = warehouse(spark, sf_dir).table("airport_hourly")
@@ -514,28 +623,35 @@ def dq_hour_counts(spark, sf_dir):
                    checks.violations(checks.inconsistent_hours(broken), "consistent_counts", "without_carrier"))
 
 
-@query("""SELECT CAST(sum(scheduled_departures) FILTER (event_id = 'ev_a') AS BIGINT) AS in_mart,
-    CAST(sum(scheduled_departures) AS BIGINT) AS in_source FROM hrs""")
+@query("""SELECT * FROM (
+    SELECT 'all hours' AS hours, (SELECT CAST(sum(scheduled_departures) AS BIGINT) FROM hrs) AS in_mart, (SELECT count(*) FROM flt) AS in_source
+    UNION ALL SELECT 'one event', (SELECT CAST(sum(scheduled_departures) AS BIGINT) FROM hrs WHERE event_id = 'ev_a'), (SELECT count(*) FROM flt)
+    ) WHERE in_mart <> in_source""")
 def dq_departures_kept(spark, sf_dir):
-    """Totals differ because one event's hours are left out; the whole table yields no row."""
+    """Totals that differ: none for the whole table, and those of one event's hours as a control."""
     wh = warehouse(spark, sf_dir)
     hours = wh.table("airport_hourly")
-    whole = checks.lost_departures(hours, wh.view("flights"))
-    return whole.union(checks.lost_departures(hours.where("event_id = 'ev_a'"), wh.view("flights")))
+    whole = checks.lost_departures(hours, wh.view("flights")).select(F.lit("all hours").alias("hours"), "*")
+    part = checks.lost_departures(hours.where("event_id = 'ev_a'"), wh.view("flights"))
+    return whole.union(part.select(F.lit("one event").alias("hours"), "*"))
 
 
-@query("""SELECT event_id, airport_code, count(*) AS hours, min(hours_from_onset) AS first_hour, max(hours_from_onset) AS last_hour
-    FROM tl WHERE NOT has_winter_precip OR has_winter_precip IS NULL GROUP BY 1, 2""")
+@query("""SELECT * FROM (
+    SELECT 'all' AS timeline, event_id, airport_code, count(*) AS hours, min(hours_from_onset) AS first_hour, max(hours_from_onset) AS last_hour
+    FROM tl GROUP BY 2, 3
+    UNION ALL SELECT 'dry', event_id, airport_code, count(*), min(hours_from_onset), max(hours_from_onset)
+    FROM tl WHERE NOT has_winter_precip OR has_winter_precip IS NULL GROUP BY 2, 3) WHERE hours <> 144 OR first_hour <> -48 OR last_hour <> 95""")
 def dq_timeline_complete(spark, sf_dir):
-    """No pair is incomplete as built; without the winter hours every pair is."""
+    """Incomplete pairs: none as built, and as a control every pair without the winter hours."""
     timeline = warehouse(spark, sf_dir).table("storm_timeline")
     dry = timeline.where(~F.coalesce("has_winter_precip", F.lit(False)))
-    return checks.incomplete_timelines(timeline, PARAMS).union(checks.incomplete_timelines(dry, PARAMS))
+    return checks.incomplete_timelines(timeline, PARAMS).select(F.lit("all").alias("timeline"), "*").union(
+        checks.incomplete_timelines(dry, PARAMS).select(F.lit("dry").alias("timeline"), "*"))
 
 
-@query(None)
+@query(results_sql(*all_checks(checks.declared_rules(PARAMS))))
 def dq_all(spark, sf_dir):
-    """Every declared and cross-model check on every model."""
+    """Every declared and cross-model check on every model; the storm onset only warns."""
     return checks.run_checks(warehouse(spark, sf_dir).models(), PARAMS)
 
 

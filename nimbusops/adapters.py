@@ -14,12 +14,13 @@ from nimbusops.config import Event, Params
 
 AIRPORTS = ("AAA", "BBB", "CCC", "DDD")
 
-PARAMS = Params(airports=AIRPORTS, local_timezone="UTC", hours_after=96)
+PARAMS = Params(airports=AIRPORTS, local_timezone="America/Chicago", hours_after=96, implausible_precip_mm=12.0)
 
 EVENTS = [
     Event("ev_a", "Event A", "A, early January", date(2024, 1, 1), date(2024, 1, 15),
           date(2024, 1, 10), date(2024, 1, 12), AIRPORTS),
-    Event("ev_b", "Event B", "B, late January", date(2024, 1, 16), date(2024, 1, 30),
+    # the last day of the table lies in no event
+    Event("ev_b", "Event B", "B, late January", date(2024, 1, 16), date(2024, 1, 29),
           date(2024, 1, 24), date(2024, 1, 25), AIRPORTS),
 ]
 
@@ -78,7 +79,7 @@ def raw_flights(events: DataFrame) -> DataFrame:
         "date(ts) as FlightDate",
         f"{_AIRLINE} as Reporting_Airline",
         "concat('N', string(user_id)) as Tail_Number",
-        "int(event_id % 1000000000) as Flight_Number_Reporting_Airline",
+        "event_id as Flight_Number_Reporting_Airline",
         f"{_ORIGIN} as Origin",
         f"{_DEST} as Dest",
         f"if(event_id % 2 = 0, {_DEPARTURE}, lpad({_DEPARTURE}, 4, '0')) as CRSDepTime",

@@ -59,6 +59,11 @@ ROUGH_WINTER = "FZRA|FZDZ|PL|(?<!BL)(?<!DR)SN"
 # Weather groups, the most disruptive first.
 WEATHER_GROUPS = ("freezing_rain", "ice_pellets", "snow", "rain", "fog", "none")
 
+# What explains an unusual day: winter weather, thunder, anything else, in daily and report wording.
+LOCAL_WINTER = "local snow or ice"
+UNUSUAL_REASONS = ("thunderstorms", "weather elsewhere")
+UNUSUAL_EXPLANATIONS = ("local thunderstorms", "weather elsewhere in the network")
+
 # Unit factors.
 KM_PER_MILE = 1.609344
 KMH_PER_KNOT = 1.852

@@ -134,6 +134,8 @@ def window_totals(params: Params) -> list[Column]:
         hours_with("has_snow").alias("snow_hours"),
         F.min("temp_min_c").alias("min_temp_c"),
         F.max("ice_accretion_max_mm").alias("max_ice_accretion_mm"),
+        F.min(F.when(episode, F.col("temp_min_c"))).alias("episode_min_temp_c"),
+        F.max(F.when(episode, F.col("ice_accretion_max_mm"))).alias("episode_max_ice_accretion_mm"),
         values.sum_where(before, F.col("scheduled_departures")).alias("pre_onset_departures"),
         values.sum_where(before, F.col("cancelled")).alias("pre_onset_cancelled"),
         values.sum_where(disruption, F.col("scheduled_departures")).alias("disruption_departures"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nimbusops import fixed_values as fixed
@@ -33,29 +34,35 @@ def parse_weather_codes(reports: DataFrame) -> DataFrame:
 
 
 def hourly_observations(reports: DataFrame, params: Params) -> DataFrame:
-    """One row per station and hour that has a report.
+    """One row per station and hour that has a report, with the first and last local month of its reports.
 
-    One shuffle, with map-side combining. Codes are collected as a set of distinct raw texts (the
-    output cell lists them anyway) and parsed once per hour after the shuffle, so no regular
-    expression runs on raw rows. A value of the hour is the last known one of the routine reports.
+    Reports are reduced to one row per hour and raw code text first, in fixed-size buffers that combine
+    map-side; only these rows are collected into the hour's set of texts, which is then parsed once per
+    hour. So neither a set nor a regular expression sees raw rows. A value of the hour is the last
+    known one of the routine reports.
     """
     routine = F.col("report_type") == fixed.ROUTINE
-
-    def last_routine(name: str) -> Column:
-        known = routine & F.col(name).isNotNull()
-        return F.max_by(name, F.when(known, F.col("valid_utc"))).alias(name)
-
-    per_hour = assign_hour(reports, params.hour_shift_min).groupBy(*HOUR).agg(
+    month = times.trunc("month", F.col("valid_local"))
+    last = ("temp_c", "dewpoint_c", "precip_mm")
+    known = {name: F.when(routine & F.col(name).isNotNull(), F.col("valid_utc")) for name in last}
+    least = {"temp_min_c": "temp_c", "visibility_min_km": "visibility_km"}
+    most = {"wind_speed_max_kmh": "wind_speed_kmh", "wind_gust_max_kmh": "wind_gust_kmh",
+            "ice_accretion_max_mm": "ice_accretion_1h_mm"}
+    per_text = assign_hour(reports, params.hour_shift_min).groupBy(*HOUR, "weather_codes").agg(
         F.count("*").alias("n_reports"),
         values.count_where(F.col("report_type") == fixed.SPECIAL).alias("n_special_reports"),
-        last_routine("temp_c"),
-        last_routine("dewpoint_c"),
-        last_routine("precip_mm"),
-        F.min("temp_c").alias("temp_min_c"),
-        F.max("wind_speed_kmh").alias("wind_speed_max_kmh"),
-        F.max("wind_gust_kmh").alias("wind_gust_max_kmh"),
-        F.min("visibility_km").alias("visibility_min_km"),
-        F.max("ice_accretion_1h_mm").alias("ice_accretion_max_mm"),
+        *[F.max_by(name, known[name]).alias(name) for name in last],
+        *[F.max(known[name]).alias(f"_at_{name}") for name in last],
+        *[F.min(source).alias(name) for name, source in least.items()],
+        *[F.max(source).alias(name) for name, source in most.items()],
+        F.min(month).alias("first_month"), F.max(month).alias("last_month"),
+    )
+    per_hour = per_text.groupBy(*HOUR).agg(
+        *[F.sum(name).alias(name) for name in ("n_reports", "n_special_reports")],
+        *[F.max_by(name, f"_at_{name}").alias(name) for name in last],
+        *[F.min(name).alias(name) for name in least],
+        *[F.max(name).alias(name) for name in most],
+        F.min("first_month").alias("first_month"), F.max("last_month").alias("last_month"),
         F.collect_set("weather_codes").alias("_codes"),
     )
     texts = F.array_sort(F.array_distinct(F.transform("_codes", codes.station_codes_text)))
@@ -67,24 +74,33 @@ def hourly_observations(reports: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def report_months(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct local months per key. Months come from report times, not from shifted hours. This is a
-    second scan of the reports, but of two columns, and combined map-side to a few rows; staging the
-    hourly table instead would write nearly as many rows as there are reports."""
-    return reports.select(*keys, times.trunc("month", F.col("valid_local")).alias("month_start")).distinct()
+def report_months(hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct local months per key, from the hourly table. Months come from report times, not from
+    shifted hours, so an hour may hold reports of two months, and never of more."""
+    months = F.explode(F.array("first_month", "last_month"))
+    return hourly.select(*keys, months.alias("month_start")).distinct()
+
+
+GRID_ROWS_PER_TASK = 2_000_000
 
 
-def hour_grid(months: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every hour of each month, without gaps.
+def hour_grid(months: DataFrame, keys: Sequence[str], extend: bool = False) -> DataFrame:
+    """Every hour of each month, without gaps. With `extend`, the midnight after the last of consecutive
+    months belongs to the grid, so that a departure at 24:00 has an hour.
 
-    A month row becomes some 740 rows, so the tiny month table is spread over the full number of
-    partitions; adaptive execution would coalesce it into a few tasks that write the whole grid. The
-    month comes first in the key because a shuffle that repeats the one before it is optimized away.
+    A month row becomes some 740 rows. Its tiny table would be written by a task or two, so months are
+    dealt to as many tasks as the grid's rows need.
     """
     start = F.col("month_start")
-    last = start + F.make_ym_interval(months=F.lit(1)) - times.hours(1)
-    partitions = int(months.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return months.repartition(partitions, "month_start", *keys).select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
+    next_month = start + F.make_ym_interval(months=F.lit(1))
+    last = next_month - times.hours(1)
+    if extend:
+        following = F.lead("month_start").over(W.partitionBy(*keys).orderBy("month_start"))
+        months = months.withColumn("_following", following)
+        last = F.when(F.col("_following") == next_month, last).otherwise(next_month)
+    tasks = -(-months.count() * 744 // GRID_ROWS_PER_TASK)
+    dealt = months.repartition(tasks, "month_start", *keys) if tasks > 1 else months
+    return dealt.select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
 
 
 def fill_grid(grid: DataFrame, hourly: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,7 +29,7 @@ def histogram_medians(histogram: DataFrame, keys: Sequence[str], metrics: Sequen
 
     Bucket totals show which bucket holds the middle ranks; only values of that bucket are ranked,
     so a task sees the buckets of a key or the distinct values of one bucket, never its rows. The
-    ranking runs on the partitioning of the join. Keys must not be NULL.
+    ranking runs on the partitioning of the join. A NULL key is a key like any other.
     """
     by = [*keys, "metric"]
     bucket = F.when(F.col("x").isNull(), NO_VALUE).otherwise(F.floor(F.col("x") / bucket_width))
@@ -44,10 +46,11 @@ def histogram_medians(histogram: DataFrame, keys: Sequence[str], metrics: Sequen
         })
         .withColumns({"low": F.floor((F.col("known") - 1) / 2), "high": F.floor(F.col("known") / 2)})
         .where((F.col("known") == 0) | (has_value & F.expr("before <= high and before + size > low")))
-        .select(*by, "bucket", "rows", "before", "low", "high")
+        .select(*[F.col(c).alias(f"_{c}") for c in (*by, "bucket")], "rows", "before", "low", "high")
     )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "bucket")])
     smaller = F.sum("n").over(W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, -1))
-    ranked = bucketed.join(middle, [*by, "bucket"]).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
+    ranked = bucketed.join(middle, same).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
     last = F.col("first") + F.col("n") - 1
 
     def holds(rank: str) -> Column:

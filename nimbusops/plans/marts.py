@@ -52,7 +52,7 @@ def storm_summary(response: DataFrame) -> DataFrame:
         (hours_since("storm_onset", "precip_end") + 1).alias("storm_duration_h"),
         "n_winter_episodes",
         "winter_precip_hours", "freezing_rain_hours", "ice_pellets_hours", "snow_hours",
-        "min_temp_c", "max_ice_accretion_mm",
+        "min_temp_c", "max_ice_accretion_mm", "episode_min_temp_c", "episode_max_ice_accretion_mm",
         "sustained_onset",
         "first_mass_cancel_hour",
         hours_since("storm_onset", "first_mass_cancel_hour").alias("lag_to_mass_cancel_h"),
@@ -143,9 +143,9 @@ CONDITION_METRICS = ["dep_delay_min", "taxi_out_min"]
 
 
 def condition_histogram(flights: DataFrame, keys: list[str]) -> DataFrame:
-    """Value counts of delay and taxi-out per key and conditions: the only pass over flight rows."""
-    inside = operated_by_condition(flights.where("event_id is not null"))
-    return medians.value_histogram(inside, [*keys, "conditions"], CONDITION_METRICS)
+    """Value counts of delay and taxi-out per key and conditions: the only pass over flight rows. Flights
+    outside all events count under a NULL event."""
+    return medians.value_histogram(operated_by_condition(flights), [*keys, "conditions"], CONDITION_METRICS)
 
 
 def condition_medians(histogram: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +170,8 @@ def winter_normal_medians(histogram: DataFrame) -> DataFrame:
 
 
 def airline_storm(windows: DataFrame, operated: DataFrame, params: Params) -> DataFrame:
-    """Airline groups seen around the onset or operating at all, with low-sample suppression."""
+    """Airline groups seen around the onset or operating at all, with low-sample suppression. Groups outside
+    all events have a NULL event, no counts around an onset and no id."""
     # a full join holds the union of both key sets and evaluates each input once
     joined = windows.join(operated, GROUP, "full")
     counts = ["departures_before", "cancelled_before", "departures_during", "cancelled_during"]
@@ -254,7 +255,7 @@ def is_unusual(rate: Column, params: Params) -> Column:
 
 def explanation(thunder: str, elsewhere: str) -> Column:
     return values.first_label(
-        [(F.col("winter_hours") > 0, "local snow or ice"), (F.col("thunder_hours") > 0, thunder)], elsewhere)
+        [(F.col("winter_hours") > 0, fixed.LOCAL_WINTER), (F.col("thunder_hours") > 0, thunder)], elsewhere)
 
 
 def main_reason(params: Params) -> Column:
@@ -284,7 +285,7 @@ def airport_daily(departures: DataFrame, storms: DataFrame, weather: DataFrame,
         "storm_first_day", "storm_last_day",
         F.col("in_storm").alias("is_storm_period"),
         "is_unusual",
-        F.when(F.col("is_unusual"), explanation("thunderstorms", "weather elsewhere")).alias("unusual_reason"),
+        F.when(F.col("is_unusual"), explanation(*fixed.UNUSUAL_REASONS)).alias("unusual_reason"),
         "winter_hours", "thunder_hours", "rain_hours", "min_temp_c", "max_gust_kmh", "min_visibility_km",
         "arrivals", "diverted_arrivals", "normal_diverted_arrivals",
     )
@@ -309,7 +310,7 @@ def unusual_days(departures: DataFrame, storms: DataFrame, weather: DataFrame, a
         "normal_diverted_arrivals": baseline(F.col("diverted_arrivals"), normal),
         "is_unusual": is_unusual(F.col("cancel_rate"), params),
     })
-    label = explanation("local thunderstorms", "weather elsewhere in the network")
+    label = explanation(*fixed.UNUSUAL_EXPLANATIONS)
     return flagged.select(
         F.concat("airport_code", F.lit("_"), F.col("day").cast("string")).alias("airport_day_id"),
         "event_id", "airport_code", F.col("day").alias("flight_day"),

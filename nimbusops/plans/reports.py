@@ -99,7 +99,7 @@ def busy_winter_hours(airport_hours: DataFrame, params: Params) -> DataFrame:
 def operations_in_winter(histogram: DataFrame, airport_hours: DataFrame, events: DataFrame, params: Params) -> DataFrame:
     """Operated departures in winter and normal hours per event and station, and how many busy winter
     hours kept departures going. The `chart_` columns are blank below the minimum of busy winter hours."""
-    wide = marts.condition_medians(histogram, PAIR)
+    wide = marts.condition_medians(histogram.where("event_id is not null"), PAIR)
     joined = wide.join(busy_winter_hours(airport_hours, params), PAIR, "left").join(event_labels(events), "event_id", "left")
     taxi = F.col("median_taxi_out_winter") - F.col("median_taxi_out_normal")
     delay = F.col("median_delay_winter") - F.col("median_delay_normal")
@@ -169,7 +169,7 @@ def groups_by_departures(rates: DataFrame, airport: str, params: Params) -> Data
 
 def airline_delay_report(histogram: DataFrame, rates: DataFrame, events: DataFrame, airport: str, params: Params) -> DataFrame:
     """Extra delay and taxi-out per airline group and event at one station, biggest group first."""
-    at_station = histogram.where(F.col("airport_code") == airport).drop("airport_code")
+    at_station = histogram.where((F.col("airport_code") == airport) & F.col("event_id").isNotNull()).drop("airport_code")
     wide = marts.condition_medians(at_station, ["airline_group", "event_id"])
     groups = groups_by_departures(rates, airport, params)
     joined = wide.join(groups, "airline_group").join(event_labels(events), "event_id", "left")

@@ -11,6 +11,8 @@ from nimbusops.config import Event, Params, airline_groups_frame, events_frame,
 from nimbusops.operators import cleaning, hourly
 from nimbusops.plans import marts
 from nimbusops.session import Staging, prepare
+from nimbusops.sources import schemas
+from nimbusops.sources.writers import require_columns
 
 # Models in build order and the layer each belongs to. Staging-layer models are views.
 LAYERS = {
@@ -34,7 +36,8 @@ def table_name(model: str) -> str:
 
 
 class Warehouse:
-    """`view(name)` is the lazy plan of a model; `table(name)` stages it once and reads it back.
+    """`view(name)` is the plan of a model; `table(name)` stages it once and reads it back. Asking for a
+    view stages the tables below it, so it runs jobs; the model's own rows are not computed.
 
     A model asks for `table` of an input that is read more than once and is far smaller than the
     raw data (hours, pairs, days), so the raw sources are scanned once per grain. Flight-grain models
@@ -45,7 +48,9 @@ class Warehouse:
     _PLAIN = ("flights_clean", "flights", "observations", "departures")
 
     def __init__(self, spark: SparkSession, raw_flights: Callable[[], DataFrame],
-                 raw_observations: Callable[[], DataFrame], events: Sequence[Event], params: Params):
+                 raw_observations: Callable[[], DataFrame], events: Sequence[Event], params: Params,
+                 airline_groups: DataFrame | None = None):
+        """airline_groups: a seed of airline_code and airline_group; the default is the documented one."""
         validate_events(events, params.airports)
         self.spark = prepare(spark)
         self._raw_flights = raw_flights
@@ -53,7 +58,9 @@ class Warehouse:
         self.params = params
         self.event_list = list(events)
         self.staging = Staging(spark)
+        self._groups = airline_groups
         self._tables: dict[str, DataFrame] = {}
+        self._registered: list[str] = []
 
     @cached_property
     def events(self) -> DataFrame:
@@ -61,7 +68,7 @@ class Warehouse:
 
     @cached_property
     def airline_groups(self) -> DataFrame:
-        return airline_groups_frame(self.spark)
+        return airline_groups_frame(self.spark) if self._groups is None else self._groups
 
     def view(self, name: str) -> DataFrame:
         if name in self._tables:
@@ -82,22 +89,27 @@ class Warehouse:
     # staging and prep layers
 
     def _flights_clean(self) -> DataFrame:
-        return cleaning.clean_flights(self._raw_flights())
+        return cleaning.clean_flights(require_columns(self._raw_flights(), list(schemas.FLIGHT_COLUMNS)))
 
     def _observations(self) -> DataFrame:
-        return cleaning.clean_observations(self._raw_observations(), self.params.local_timezone)
+        raw = require_columns(self._raw_observations(), ["airport_code", "valid_utc", "report_type", *schemas.OBSERVATION_FIELDS])
+        return cleaning.clean_observations(raw, self.params.local_timezone)
 
     def _flights(self) -> DataFrame:
         return cleaning.time_flights(self.view("flights_clean"), self.params)
 
-    def _hourly_observations(self) -> DataFrame:
+    def _hourly_reports(self) -> DataFrame:
         return hourly.hourly_observations(self.view("observations"), self.params)
 
+    def _hourly_observations(self) -> DataFrame:
+        return self.view("hourly_reports").drop("first_month", "last_month")
+
     def _hour_grid(self) -> DataFrame:
-        return hourly.hour_grid(hourly.report_months(self.view("observations"), ["airport_code"]), ["airport_code"])
+        months = hourly.report_months(self.table("hourly_reports"), ["airport_code"])
+        return hourly.hour_grid(months, ["airport_code"], self.params.extend_grid)
 
     def _weather_hourly(self) -> DataFrame:
-        return hourly.fill_grid(self.view("hour_grid"), self.view("hourly_observations"))
+        return hourly.fill_grid(self.view("hour_grid"), self.table("hourly_reports"))
 
     # marts
 
@@ -167,10 +179,25 @@ class Warehouse:
 
     # full build
 
-    def register(self, models: Sequence[str] = tuple(LAYERS)) -> None:
-        """Build models once and register them for SQL under their layer names."""
-        for model in models:
-            self._built(model).createOrReplaceTempView(table_name(model))
+    def register(self, models: Sequence[str] = tuple(LAYERS), prefix: str = "") -> list[str]:
+        """Build models once and register them for SQL under their layer names, behind a prefix that keeps
+        them apart from other views of the session."""
+        names = [f"{prefix}{table_name(model)}" for model in models]
+        for model, name in zip(models, names, strict=True):
+            self._built(model).createOrReplaceTempView(name)
+        self._registered += names
+        return names
+
+    def unregister(self) -> None:
+        """Drop the views that `register` made. Frames that SQL made from them stay valid."""
+        for name in self._registered:
+            self.spark.catalog.dropTempView(name)
+        self._registered.clear()
+
+    def reset(self) -> None:
+        """Forget all built models; what is built next reads the sources again."""
+        self._tables.clear()
+        self.staging = Staging(self.spark)
 
     def _built(self, model: str) -> DataFrame:
         """Models of raw grain are views; everything smaller is staged."""
@@ -184,10 +211,12 @@ class Warehouse:
         return {**{model: self._built(model) for model in LAYERS}, "storm_events": self.events, "airline_groups": self.airline_groups}
 
     def save(self, database: str) -> None:
-        """Write prep and mart models as catalog tables of a database, staging models as views."""
+        """Rebuild all models from the sources: prep and mart models become catalog tables of a database,
+        staging models views. May be called again, which replaces the tables."""
+        self.reset()
         for model, layer in LAYERS.items():
             if layer == "stg":
-                self.view(model).createOrReplaceTempView(table_name(model))
+                self.register([model])
             else:
                 self.view(model).write.mode("overwrite").saveAsTable(f"{database}.{table_name(model)}")
                 self._tables[model] = self.spark.table(f"{database}.{table_name(model)}")

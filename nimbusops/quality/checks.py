@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops import fixed_values as fixed
@@ -33,19 +33,65 @@ def _result(check: str, model: str, column: str, violations, severity: str = ERR
 
 def unique(df: DataFrame, model: str, column: str) -> DataFrame:
     """Keys that occur more than once."""
-    repeated = df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1")
-    return repeated.agg(F.count("*").alias("_n")).select(*_result("unique", model, column, F.col("_n")))
+    return keyed_rules(df, model, Rules(unique=(column,)))
+
+
+def _tests(rules: Rules) -> list[tuple[str, str, Column, str]]:
+    tests = [("not_null", c, F.col(c).isNull(), WARN if c in rules.warn else ERROR) for c in rules.not_null]
+    return tests + [("accepted_values", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed), ERROR)
+                    for c, allowed in (rules.accepted or {}).items()]
+
+
+def _rows(counted: DataFrame, results: Sequence[list[Column]]) -> DataFrame:
+    return counted.select(F.inline(F.array(*[F.struct(*r) for r in results])))
 
 
 def row_rules(df: DataFrame, model: str, rules: Rules) -> DataFrame:
     """All not-null and accepted-values checks of a model in one pass over it."""
-    tests = [("not_null", c, F.col(c).isNull(), WARN if c in rules.warn else ERROR) for c in rules.not_null]
-    tests += [("accepted_values", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed), ERROR)
-              for c, allowed in (rules.accepted or {}).items()]
+    tests = _tests(rules)
     counted = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad, _) in enumerate(tests)])
-    rows = F.array(*[F.struct(*_result(name, model, c, F.col(f"_{i}"), severity))
-                     for i, (name, c, _, severity) in enumerate(tests)])
-    return counted.select(F.inline(rows))
+    return _rows(counted, [_result(name, model, c, F.col(f"_{i}"), severity) for i, (name, c, _, severity) in enumerate(tests)])
+
+
+def keyed_rules(df: DataFrame, model: str, rules: Rules) -> DataFrame:
+    """All unique, not-null and accepted-values checks of a model with one key, in one pass and one
+    shuffle: rows are counted per key, tests with them."""
+    (key,), tests = rules.unique, _tests(rules)
+    per_key = df.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("_n"), *[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad, _) in enumerate(tests)])
+    counted = per_key.agg(
+        F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1)).alias("_repeated"),
+        *[F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(tests))])
+    results = [_result("unique", model, key, F.col("_repeated"))]
+    return _rows(counted, results + [_result(name, model, c, F.col(f"_{i}"), severity) for i, (name, c, _, severity) in enumerate(tests)])
+
+
+def flight_chain(models: Mapping[str, DataFrame], rules: Mapping[str, Rules]) -> list[DataFrame]:
+    """Checks of the three flight-grain models with one shuffle of their key.
+
+    `flights` has a row per row of `flights_clean` and the same key, so both have the same repeated keys.
+    `flights_weather` has a row per departure as long as its joins find one row each; so its repeated keys
+    are those among departures, plus every row that it has more or less than there are departures.
+    """
+    clean, timed, joined = "flights_clean", "flights", "flights_weather"
+    tests = {m: _tests(rules[m]) for m in (clean, timed, joined)}
+    per_key = models[timed].groupBy(F.col("flight_id").alias("_key")).agg(
+        F.count("*").alias("_n"), F.count_if("is_departure").alias("_d"),
+        *[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad, _) in enumerate(tests[timed])])
+    keys = per_key.agg(
+        F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1)).alias("_repeated"),
+        F.count_if(F.col("_key").isNotNull() & (F.col("_d") > 1)).alias("_among_departures"),
+        F.coalesce(F.sum("_d"), F.lit(0)).alias("_departures"),
+        *[F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(tests[timed]))])
+    rows = models[joined].agg(F.count("*").alias("_rows"), *[F.count_if(bad).alias(f"_j{i}") for i, (_, _, bad, _) in enumerate(tests[joined])])
+    both = keys.unionByName(rows, allowMissingColumns=True)  # two rows, brought into one
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    changed = F.col("_among_departures") + F.abs(F.col("_rows") - F.col("_departures"))
+    results = [_result("unique", clean, "flight_id", F.col("_repeated")), _result("unique", timed, "flight_id", F.col("_repeated")),
+               _result("unique", joined, "flight_id", changed)]
+    results += [_result(n, timed, c, F.col(f"_{i}"), sev) for i, (n, c, _, sev) in enumerate(tests[timed])]
+    results += [_result(n, joined, c, F.col(f"_j{i}"), sev) for i, (n, c, _, sev) in enumerate(tests[joined])]
+    return [row_rules(models[clean], clean, rules[clean]), _rows(both, results)]
 
 
 def relationships(child: DataFrame, model: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -57,12 +103,13 @@ def relationships(child: DataFrame, model: str, column: str, parent: DataFrame,
 
 
 def model_checks(df: DataFrame, model: str, rules: Rules, models: Mapping[str, DataFrame]) -> list[DataFrame]:
-    checks = [unique(df, model, c) for c in rules.unique]
-    if rules.not_null or rules.accepted:
-        checks.append(row_rules(df, model, rules))
-    for column, (parent, parent_column) in (rules.parents or {}).items():
-        checks.append(relationships(df, model, column, models[parent], parent_column))
-    return checks
+    checks = [keyed_rules(df, model, rules)] if rules.unique else [row_rules(df, model, rules)]
+    return checks + parent_checks(df, model, rules, models)
+
+
+def parent_checks(df: DataFrame, model: str, rules: Rules, models: Mapping[str, DataFrame]) -> list[DataFrame]:
+    return [relationships(df, model, column, models[parent], parent_column)
+            for column, (parent, parent_column) in (rules.parents or {}).items()]
 
 
 # --- checks across models ------------------------------------------------------------------------
@@ -134,20 +181,23 @@ def declared_rules(params: Params) -> dict[str, Rules]:
             accepted={"airline_group": groups}),
         "airport_daily": Rules(
             unique=("airport_day_id",), not_null=("airport_day_id", "event_id", "is_storm_period"),
-            accepted={"unusual_reason": ("local snow or ice", "thunderstorms", "weather elsewhere")}),
+            accepted={"unusual_reason": (fixed.LOCAL_WINTER, *fixed.UNUSUAL_REASONS)}),
         "unusual_days": Rules(
             unique=("airport_day_id",), not_null=("airport_day_id", "in_storm"),
-            accepted={"unusual_explanation":
-                      ("local snow or ice", "local thunderstorms", "weather elsewhere in the network")}),
+            accepted={"unusual_explanation": (fixed.LOCAL_WINTER, *fixed.UNUSUAL_EXPLANATIONS)}),
     }
 
 
 def run_checks(models: Mapping[str, DataFrame], params: Params) -> DataFrame:
     """All declared and cross-model checks on the given models: check, model, column, violations, severity."""
-    results = [
-        check for name, rules in declared_rules(params).items() if name in models
-        for check in model_checks(models[name], name, rules, models)
-    ]
+    rules = declared_rules(params)
+    chain = {"flights_clean", "flights", "flights_weather"} if {"flights_clean", "flights", "flights_weather"} <= set(models) else set()
+    results = flight_chain(models, rules) if chain else []
+    for name in rules:
+        if name in chain:
+            results += parent_checks(models[name], name, rules[name], models)
+        elif name in models:
+            results += model_checks(models[name], name, rules[name], models)
     if "airport_hourly" in models:
         results.append(violations(inconsistent_hours(models["airport_hourly"]), "consistent_counts", "airport_hourly"))
         if "flights" in models:

@@ -7,6 +7,7 @@ numbers, top rows by ranking, frames by extremes.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 # Named building blocks in order; a statement gets the blocks it needs and those they need.
 BLOCKS: dict[str, str] = {}
@@ -21,7 +22,7 @@ FROM events"""
 BLOCKS["ev"] = """
 SELECT * FROM (VALUES
   ('ev_a', 'Event A', 'A, early January', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-01-10', DATE '2024-01-12'),
-  ('ev_b', 'Event B', 'B, late January', DATE '2024-01-16', DATE '2024-01-30', DATE '2024-01-24', DATE '2024-01-25')
+  ('ev_b', 'Event B', 'B, late January', DATE '2024-01-16', DATE '2024-01-29', DATE '2024-01-24', DATE '2024-01-25')
 ) t(event_id, event_name, label, data_start, data_end, storm_start, storm_end)"""
 
 BLOCKS["grp"] = """
@@ -39,7 +40,7 @@ SELECT *, CASE
 FROM src"""
 
 BLOCKS["obs"] = """
-SELECT k, org AS airport_code, ts AS valid_local, k % 5 = 0 AS is_special, codes,
+SELECT k, org AS airport_code, timezone('America/Chicago', ts AT TIME ZONE 'UTC') AS valid_local, k % 5 = 0 AS is_special, codes,
        md5(concat_ws('|', org, ts, if(k % 5 = 0, 'special', 'routine'))) AS metar_id,
        CASE WHEN k % 11 <> 0 THEN round((floor(value) - 32) * 5 / 9, 1) END AS temp_c,
        CASE WHEN k % 7 <> 0 THEN round((floor(value / 2) - 32) * 5 / 9, 1) END AS dewpoint_c,
@@ -145,7 +146,7 @@ FROM weather w LEFT JOIN dep USING (airport_code, weather_hour)
 LEFT JOIN ev ON weather_date >= data_start AND weather_date <= data_end"""
 
 BLOCKS["fw"] = """
-SELECT f.flight_id, f.d AS flight_date, f.carrier AS airline_code, CAST(f.k AS INTEGER) AS flight_number,
+SELECT f.flight_id, f.d AS flight_date, f.carrier AS airline_code, f.k AS flight_number,
        f.org AS origin_airport, f.dst AS dest_airport, f.sched AS scheduled_dep_ts, f.dep_hour AS scheduled_dep_hour,
        event_id, event_name,
        CASE WHEN f.d >= storm_start AND f.d <= storm_end THEN 'storm' WHEN f.d < storm_start THEN 'before' ELSE 'after' END AS storm_period,
@@ -220,6 +221,7 @@ SELECT b.event_id, b.airport_code,
        count(CASE WHEN e AND has_ice_pellets THEN 1 END) AS ice_pellets_hours,
        count(CASE WHEN e AND has_snow THEN 1 END) AS snow_hours,
        min(temp_min_c) AS min_temp_c, max(ice_accretion_max_mm) AS max_ice_accretion_mm,
+       min(CASE WHEN e THEN temp_min_c END) AS episode_min_temp_c, max(CASE WHEN e THEN ice_accretion_max_mm END) AS episode_max_ice_accretion_mm,
        CAST(sum(CASE WHEN before THEN scheduled_departures END) AS BIGINT) AS pre_onset_departures,
        CAST(sum(CASE WHEN before THEN cancelled END) AS BIGINT) AS pre_onset_cancelled,
        CAST(sum(CASE WHEN disrupted THEN scheduled_departures END) AS BIGINT) AS disruption_departures,
@@ -235,7 +237,7 @@ GROUP BY 1, 2"""
 BLOCKS["summ"] = """
 SELECT md5(concat_ws('|', p.event_id, p.airport_code)) AS storm_airport_id, p.event_id, p.airport_code,
        storm_onset, precip_end, 1 + date_diff('hour', storm_onset, precip_end) AS storm_duration_h, n_winter_episodes,
-       winter_precip_hours, freezing_rain_hours, ice_pellets_hours, snow_hours, min_temp_c, max_ice_accretion_mm,
+       winter_precip_hours, freezing_rain_hours, ice_pellets_hours, snow_hours, min_temp_c, max_ice_accretion_mm, episode_min_temp_c, episode_max_ice_accretion_mm,
        sustained_onset, first_mass_cancel_hour,
        date_diff('hour', storm_onset, first_mass_cancel_hour) AS lag_to_mass_cancel_h,
        date_diff('hour', sustained_onset, first_mass_cancel_hour) AS lag_from_sustained_h,
@@ -423,3 +425,48 @@ def _needed(text: str) -> list[str]:
 def statement(final: str) -> str:
     parts = [f"{name} AS ({BLOCKS[name]})" for name in _needed(final)]
     return f"WITH {', '.join(parts)}\n{final}" if parts else final
+
+
+# Blocks of the models that checks look at, with the model's columns where they differ.
+CHECKED = {
+    "storm_events": ("ev", {}), "airline_groups": ("grp", {"airline_code": "carrier"}),
+    "flights_clean": ("flt", {"flight_date": "d", "origin_airport": "org"}),
+    "observations": ("obs", {"valid_utc": "valid_local", "report_type": "if(is_special, 'special', 'routine')"}),
+    "weather_hourly": ("weather", {}), "flights": ("flt", {"scheduled_dep_ts": "sched"}), "flights_weather": ("fw", {}),
+    "airport_hourly": ("hrs", {}), "storm_summary": ("summ", {}), "storm_timeline": ("tl", {}), "airline_storm": ("air", {}),
+    "airport_daily": ("daily", {}), "unusual_days": ("unus", {}),
+}
+
+
+def count_of(check: str, model: str, column: str, allowed: Sequence[str] = (), parent: tuple[str, str] | None = None) -> str:
+    """Statement that counts the violations of one declared check."""
+    block, named = CHECKED[model]
+    value = named.get(column, column)
+    if check == "unique":
+        return f"SELECT count(*) FROM (SELECT 1 FROM {block} WHERE {value} IS NOT NULL GROUP BY {value} HAVING count(*) > 1)"
+    if check == "not_null":
+        return f"SELECT count(*) - count({value}) FROM {block}"
+    if check == "accepted_values":
+        return f"SELECT count(*) FROM {block} WHERE {value} NOT IN ({', '.join(repr(x) for x in allowed)})"
+    other, column_of = CHECKED[parent[0]][0], parent[1]
+    return f"SELECT count(*) FROM {block} WHERE {value} IS NOT NULL AND {value} NOT IN (SELECT {column_of} FROM {other})"
+
+
+ACROSS = {
+    ("consistent_counts", "airport_hourly"): """SELECT count(*) FROM hrs WHERE cancelled > scheduled_departures OR delayed_15 > scheduled_departures - cancelled
+        OR cancelled <> cancelled_weather + cancelled_carrier + cancelled_nas + cancelled_security""",
+    ("keeps_all_departures", "airport_hourly"): "SELECT if((SELECT sum(scheduled_departures) FROM hrs) = (SELECT count(*) FROM flt), 0, 1)",
+    ("complete_window", "storm_timeline"): """SELECT count(*) FROM (SELECT 1 FROM tl GROUP BY event_id, airport_code
+        HAVING count(*) <> 144 OR count(DISTINCT hours_from_onset) <> 144 OR min(hours_from_onset) <> -48 OR max(hours_from_onset) <> 95)""",
+}
+
+
+def all_checks(rules: Mapping) -> list[tuple[str, str, str, str, str]]:
+    """Check, model, column, counting statement and severity of every declared and cross-model check."""
+    out = []
+    for model, r in rules.items():
+        out += [("unique", model, c, count_of("unique", model, c), "error") for c in r.unique]
+        out += [("not_null", model, c, count_of("not_null", model, c), "warn" if c in r.warn else "error") for c in r.not_null]
+        out += [("accepted_values", model, c, count_of("accepted_values", model, c, v), "error") for c, v in (r.accepted or {}).items()]
+        out += [("relationships", model, c, count_of("relationships", model, c, parent=p), "error") for c, p in (r.parents or {}).items()]
+    return out + [(check, model, "", sql, "error") for (check, model), sql in ACROSS.items()]

@@ -10,19 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 _local_roots: dict[str, str] = {}
 
 
-# Aggregations that collect small sets stay in the hash map up to this many keys per task; the default
-# of 128 sorts all raw rows of a task instead.
-HASH_AGGREGATE_KEYS = "65536"
-
 # The JVM does not compile methods above 8000 bytes. Wide projections of raw text get there, and then
 # run interpreted, five times slower; below the limit Spark splits them into small methods instead.
 COMPILED_METHOD_BYTES = "8000"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Local times are zone-less; a UTC session keeps date functions from shifting them."""
+    """Sets two options of the session for good: its zone is UTC, as local times are zone-less and date
+    functions must not shift them, and generated methods stay below the limit above."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", HASH_AGGREGATE_KEYS)
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
     return spark
 
@@ -57,3 +53,8 @@ class Staging:
         target = f"{self.path}/{name}"
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
+
+    def remove(self) -> None:
+        """Delete what was staged; frames that read it are of no use afterwards."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)

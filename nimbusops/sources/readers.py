@@ -62,17 +62,6 @@ def read_raw(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-SMALL_INPUT_SPLITS = 8  # about 1 GB at the default split size
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a small input (one small file is one split, so one task). Inputs with more
-    splits, which is every large one, are left alone: no shuffle of raw rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if splits < min(cores, SMALL_INPUT_SPLITS) else df
-
-
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return (
         spark.read.option("header", True).option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-# Flight source columns and the type each one is cast to.
+# Flight columns in the order of the landed files, with their types.
 FLIGHT_COLUMNS = {
     "FlightDate": "date",
     "Reporting_Airline": "string",
     "Tail_Number": "string",
-    "Flight_Number_Reporting_Airline": "int",
+    "Flight_Number_Reporting_Airline": "bigint",
     "Origin": "string",
     "Dest": "string",
     "CRSDepTime": "string",
@@ -32,7 +32,7 @@ FLIGHT_COLUMNS = {
     "LateAircraftDelay": "double",
 }
 
-# Observation source fields, all text: 'M' and 'T' are data.
+# Report fields, which stay text because 'M' and 'T' mean something.
 OBSERVATION_FIELDS = (
     "tmpf", "dwpf", "relh", "drct", "sknt", "gust", "vsby", "p01i", "wxcodes",
     "ice_accretion_1hr", "skyc1", "skyl1", "metar",

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from nimbusops.config import local_frame
+from nimbusops.sources import schemas
+
 MONTH = ("year", "month")
 ROWS_PER_FILE = 20_000_000
 
@@ -26,19 +31,22 @@ def _write_sorted(df: DataFrame, path: str, parts: Sequence[str], order: Sequenc
     )
 
 
-def _existing_parts(spark: SparkSession, path: str, parts: Sequence[str]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(*parts).distinct()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":  # nothing written yet
-            return None
-        raise
+def landed_parts(spark: SparkSession, path: str, parts: Sequence[str]) -> set[tuple]:
+    """Values of the partition folders below a path; numbers are returned as such. No file is opened."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{p}=*" for p in parts)]))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    folders = [str(f.getPath()).split("/")[-len(parts):] for f in found or []]
+    texts = [[unquote(f.split("=", 1)[1]) for f in folder] for folder in folders]
+    return {tuple(int(x) if x.isdigit() else x for x in text) for text in texts}
 
 
 def _write_new(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], force: bool) -> None:
-    existing = None if force else _existing_parts(df.sparkSession, path, parts)
-    if existing is not None:
-        df = df.join(existing, list(parts), "left_anti")
+    existing = set() if force else landed_parts(df.sparkSession, path, parts)
+    if existing:  # known before the source is read, a row per folder
+        rows = [tuple(str(x) for x in part) for part in sorted(existing)]
+        there = local_frame(df.sparkSession, {f"_{p}": "string" for p in parts}, rows)
+        same = reduce(and_, [F.col(p).cast("string") == F.col(f"_{p}") for p in parts])
+        df = df.join(there, same, "left_anti")
     # forced months replace what is there; new months have nothing to replace
     _write_sorted(df, path, parts, order, "overwrite" if force else "append")
 
@@ -55,6 +63,14 @@ def write_observations(observations: DataFrame, path: str, force: bool = False)
     _write_new(observations, path, ["airport_code", *MONTH], ["valid_utc", "report_type"], force)
 
 
+def empty_flights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"{schemas.RAW_FLIGHTS}, year int, month int")
+
+
+def empty_observations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"{schemas.RAW_OBSERVATIONS}, year int, month int")
+
+
 def list_tables(spark: SparkSession, prefix: str = "mart_", database: str | None = None) -> list[str]:
     """Table names with the prefix in order; an error when there is none."""
     tables = spark.catalog.listTables(database, f"{prefix}*")

@@ -56,7 +56,7 @@ def test_grid_is_dense_and_uses_unshifted_months(make):
     reports = observed(make, {"valid_utc": datetime(2021, 1, 31, 23, 53)})
     hours = hourly.hourly_observations(reports, UTC)
     assert hours.collect()[0].weather_hour == datetime(2021, 2, 1)
-    grid = hourly.hour_grid(hourly.report_months(reports, ["airport_code"]), ["airport_code"])
+    grid = hourly.hour_grid(hourly.report_months(hours, ["airport_code"]), ["airport_code"])
     bounds = grid.agg(F.count("*"), F.min("weather_hour"), F.max("weather_hour")).collect()[0]
     assert tuple(bounds) == (744, datetime(2021, 1, 1), datetime(2021, 1, 31, 23))
     assert hourly.fill_grid(grid, hours).where("has_report").count() == 0
@@ -64,8 +64,17 @@ def test_grid_is_dense_and_uses_unshifted_months(make):
 
 def weather_of(make, *rows):
     reports = observed(make, *rows)
-    months = hourly.report_months(reports, ["airport_code"])
-    return hourly.fill_grid(hourly.hour_grid(months, ["airport_code"]), hourly.hourly_observations(reports, UTC))
+    hours = hourly.hourly_observations(reports, UTC)
+    return hourly.fill_grid(hourly.hour_grid(hourly.report_months(hours, ["airport_code"]), ["airport_code"]), hours)
+
+
+def test_extended_grid_has_the_midnight_after_the_last_month(make):
+    times = [datetime(2021, 1, 5), datetime(2021, 2, 5), datetime(2021, 5, 5)]
+    months = hourly.report_months(hourly.hourly_observations(observed(make, *[{"valid_utc": t} for t in times]), UTC), ["airport_code"])
+    grid = hourly.hour_grid(months, ["airport_code"], extend=True)
+    hours = [r.weather_hour for r in grid.orderBy("weather_hour").collect()]
+    assert len(hours) == len(set(hours)) == (31 + 28 + 31) * 24 + 2
+    assert datetime(2021, 3, 1) in hours and datetime(2021, 6, 1) in hours and datetime(2021, 3, 1, 1) not in hours
 
 
 def test_empty_and_labelled_hours(make):

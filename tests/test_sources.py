@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from nimbusops.config import (Event, default_events, default_stations, select_events, stations_frame, validate_events)
 from nimbusops.session import Staging, staging_root
-from nimbusops.sources import planning, readers, schemas, writers
+from nimbusops.sources import landing, planning, readers, schemas, writers
 
 EVENT = Event("e", "Event", "E", date(2020, 12, 5), date(2021, 2, 28), date(2021, 2, 8), date(2021, 2, 10), ("DFW",))
 
@@ -17,8 +17,8 @@ def test_months_cross_the_year(spark):
 
 
 @pytest.mark.parametrize("change, message", [
-    ({"storm_end": date(2021, 3, 1)}, "inside"), ({"airports": ("XXX",)}, "unknown stations"),
-    ({"data_start": "2021-01-01"}, "dates"), ({"data_start": datetime(2021, 1, 1)}, "dates"),
+    ({"storm_end": date(2021, 3, 1)}, "out of order"), ({"airports": ("XXX",)}, "no such station"),
+    ({"data_start": "2021-01-01"}, "not of type date"), ({"data_start": datetime(2021, 1, 1)}, "not of type date"),
 ])
 def test_bad_events(change, message):
     with pytest.raises(ValueError, match=message):
@@ -26,7 +26,7 @@ def test_bad_events(change, message):
 
 
 def test_overlapping_windows_are_rejected():
-    with pytest.raises(ValueError, match="overlap"):
+    with pytest.raises(ValueError, match="in both e and f"):
         validate_events([EVENT, Event(**{**EVENT.__dict__, "event_id": "f", "data_start": date(2021, 2, 1)})], ["DFW"])
 
 
@@ -35,7 +35,7 @@ def test_select_events():
     validate_events(events, [s.code for s in default_stations()])
     assert select_events(events) == events
     assert [e.event_id for e in select_events(events, ["fern_2026"])] == ["fern_2026"]
-    with pytest.raises(ValueError, match="unknown events"):
+    with pytest.raises(ValueError, match="no event has the id none"):
         select_events(events, ["none"])
 
 
@@ -146,7 +146,72 @@ def test_staged_tables_cut_the_lineage(spark):
     assert staged.count() == 5 and staged.inputFiles()[0].startswith(f"file://{staging_root(spark)}")
 
 
-def test_spread_leaves_enough_splits_alone(spark):
-    many = spark.range(0, 100, 1, 16)
-    assert readers.spread(many, "id") is many
-    assert readers.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 8
+def test_landed_parts_come_from_folders(spark, make, tmp_path):
+    path = str(tmp_path / "flights")
+    assert writers.landed_parts(spark, path, writers.MONTH) == set()
+    writers.write_flights(make.flights({}, {"FlightDate": date(2021, 3, 1)}), path)
+    assert writers.landed_parts(spark, path, writers.MONTH) == {(2021, 2), (2021, 3)}
+    writers.write_flights(make.flights({}, {}, {"FlightDate": date(2021, 4, 1)}), path)
+    counts = {(r.year, r.month): r["count"] for r in spark.read.parquet(path).groupBy("year", "month").count().collect()}
+    assert counts == {(2021, 2): 1, (2021, 3): 1, (2021, 4): 1}
+    writers.write_flights(make.flights({}, {}), path, force=True)
+    assert spark.read.parquet(path).where("month = 2").count() == 2
+
+
+FEBRUARY = Event("e", "Event", "E", date(2021, 2, 5), date(2021, 2, 28), date(2021, 2, 8), date(2021, 2, 10), ("DFW",))
+MARCH = Event("f", "Event", "F", date(2021, 3, 1), date(2021, 3, 8), date(2021, 3, 2), date(2021, 3, 3), ("IAH",))
+
+
+def test_flight_landing_job(spark, make, tmp_path):
+    files = {(2021, 2): flights_csv(make, tmp_path / "feb", {}, {"Origin": "IAH", "Dest": "SAT"}, {"Cancelled": 1.0}),
+             (2021, 3): flights_csv(make, tmp_path / "mar", {"FlightDate": date(2021, 3, 2), "Origin": "IAH", "Dest": "XYZ"},
+                                    {"FlightDate": date(2021, 3, 2), "Dest": "XYZ"})}
+    read, path = [], str(tmp_path / "landed")
+
+    def source(year, month):
+        read.append((year, month))
+        return files[year, month]
+
+    batches, warnings = landing.land_flights(spark, source, path, [FEBRUARY])
+    assert [(r.year, r.month, r.flights) for r in batches.collect()] == [(2021, 2, 2)]
+    assert warnings == ["2021-02: 1 cancelled flights without code"]
+    batches, _ = landing.land_flights(spark, source, path, [FEBRUARY, MARCH])
+    assert [(r.month, r.flights) for r in batches.collect()] == [(3, 1)] and read == [(2021, 2), (2021, 3)]
+    assert landing.land_flights(spark, source, path, [FEBRUARY, MARCH])[0].count() == 0 and len(read) == 2
+    assert landing.land_flights(spark, source, path, [FEBRUARY], force=True)[0].count() == 1 and len(read) == 3
+    files[2021, 2] = files[2021, 3]
+    with pytest.raises(ValueError, match="outside the months"):
+        landing.land_flights(spark, source, path, [FEBRUARY], force=True)
+    files[2021, 3] = flights_csv(make, tmp_path / "none", {"FlightDate": date(2021, 3, 2), "Origin": "SAT", "Dest": "XYZ"})
+    with pytest.raises(ValueError, match="no flights"):
+        landing.land_flights(spark, source, str(tmp_path / "other"), [MARCH])
+
+
+def test_weather_landing_job(spark, tmp_path):
+    header = ["station", "valid", *schemas.OBSERVATION_FIELDS]
+    read = []
+
+    def source(station, kind, year, month):
+        read.append((station, kind, year, month))
+        path = tmp_path / f"{station}-{kind}-{year}-{month}.csv"
+        times = ["2021-02-01 05:59", "2021-02-01 06:00", "2021-03-01 05:59", "2021-03-01 06:00"] if kind == "routine" else []
+        lines = [",".join([station, t, *["M"] * len(schemas.OBSERVATION_FIELDS)]) for t in times]
+        path.write_text("\n".join([",".join(header), *lines]))
+        return str(path)
+
+    path = str(tmp_path / "weather")
+    batches, warnings = landing.land_observations(spark, source, path, [FEBRUARY], default_stations())
+    assert [(r.airport_code, r.year, r.month, r.routine) for r in batches.collect()] == [("DFW", 2021, 2, 2)] and not warnings
+    assert len(read) == 2
+    batches, _ = landing.land_observations(spark, source, path, [FEBRUARY], default_stations())
+    assert batches.count() == 0 and len(read) == 2
+    may = Event("m", "May", "M", date(2021, 5, 1), date(2021, 5, 8), date(2021, 5, 2), date(2021, 5, 3), ("DFW",))
+    assert landing.land_observations(spark, source, path, [may], default_stations())[1] == ["DFW 2021-05: no reports"]
+
+
+def test_staged_folder_can_be_removed(spark):
+    staging = Staging(spark)
+    path = staging.write("t", spark.range(5)).inputFiles()[0]
+    staging.remove()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
