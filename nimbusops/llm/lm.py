@@ -105,11 +105,11 @@ def _messages(data, offsets, doc_ids, held, chunk, shards, hot) -> Iterator[dict
     target[word] = codes
     word[:], word[bounds[:-1]] = True, False
     context[word] = codes
-    doc = np.repeat(np.arange(n_docs), counts)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), counts)
     mixed = _mix(names)
-    shard = (mixed % np.uint64(shards)).astype(np.int64)[target]
+    shard = (mixed % np.uint64(shards)).astype(np.int32)[target]
     often = np.isin(names, hot)[target]
-    shard[often] = (_mix(mixed[target[often]] ^ names[context[often]]) % np.uint64(shards)).astype(np.int64)
+    shard[often] = (_mix(mixed[target[often]] ^ names[context[often]]) % np.uint64(shards)).astype(np.int32)
     # One sort by shard and pair; the texts of a pair stay in order.
     order = np.lexsort((target * (d + 2) + context, shard))
     shard, target, context, doc = shard[order], target[order], context[order], doc[order]
@@ -183,8 +183,12 @@ class Trie:
             at += -(-length * width // 8) * 8
         return cls(*(EliasFano.mapped(*arrays[4 * i:4 * i + 4]) for i in range(4)), *arrays[16:])
 
-    def codes(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def codes(self, word: np.ndarray, context: np.ndarray, step: int = 1 << 16) -> np.ndarray:
         """Quantised logarithms of the numerators of pairs (hashes of words that the trie holds, contexts)."""
+        parts = [self._codes(word[i:i + step], context[i:i + step]) for i in range(0, len(word), step)]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    def _codes(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         own, _ = self.words.successor(word, 0, self.words.n)
         name, known = self.names.successor(context, 0, self.names.n)
         begin, end = (self.pointers.at(own + i).astype(np.int64) for i in (0, 1))
@@ -207,19 +211,23 @@ def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], sm
         present = _large(r["present"])
         trained = np.unpackbits(np.frombuffer(r["trained"], np.uint8))[:len(present)].astype(np.int64)
         c = T.sums(trained[texts], np.concatenate([[0], np.cumsum(n_texts)]))
-        parts.append((np.repeat(word, _large(r["n_pairs"])), body.view("<u8").ravel(), c, n_texts.astype(np.int32), texts.astype(np.int32),
-                      present, r["chunk"]))
+        parts.append([np.repeat(word, _large(r["n_pairs"])), body.view("<u8").ravel(), c, n_texts.astype(np.int32), texts.astype(np.int32),
+                      present, r["chunk"]])
     if not parts:
         return
     word, context, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    for p in parts:
+        p[:3] = [len(p[0]), None, None]
     order = np.lexsort((context, word))
     w, x = word[order], context[order]
+    del word, context
     new = np.ones(len(order), bool)
     new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
     at = np.flatnonzero(new)
     pair_of = np.empty(len(order), np.int64)
     pair_of[order] = np.cumsum(new) - 1
     w, x, pair_c = w[at], x[at], np.add.reduceat(c[order], at)
+    del order, new, at, c
     words, number = np.unique(w, return_inverse=True)
     word_c = np.bincount(number, weights=pair_c).astype(np.int64)
     if len(hot["word"]):  # their pairs lie in many tasks, their counts are known
@@ -234,8 +242,8 @@ def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], sm
     sums: dict[int, list] = {}
     first = 0
     for p in parts:
-        pairs = np.repeat(pair_of[first:first + len(p[0])], p[3])
-        first += len(p[0])
+        pairs = np.repeat(pair_of[first:first + p[0]], p[3])
+        first += p[0]
         sums.setdefault(p[6], []).append([p[5]] + [np.bincount(p[4], weights=v[pairs], minlength=len(p[5])) for v in (code, base, known)])
     for chunk, found in sums.items():
         texts, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
