@@ -199,14 +199,18 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                     ["g", "context", "key", "packed", "blocks", "again"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        g, context, key, packed, blocks, again = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in got]) for i in range(6))
-        yield _runs(key[again], packed[again])
-        g, context, key, packed, blocks = (x[~again] for x in (g, context, key, packed, blocks))
-        order = np.lexsort((packed, key, context, g))
-        g, context, key, packed, blocks = (x[order] for x in (g, context, key, packed, blocks))
+        got = [np.empty((5, 0), np.int64)]
+        for batch in batches:
+            again = batch.column("again").to_numpy(zero_copy_only=False)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(5)])
+            yield _runs(rows[2][again], rows[3][again])
+            got.append(rows[:, ~again])
+        rows = np.concatenate(got, axis=1)
+        got.clear()
+        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+        for row in rows:  # one at a time
+            row[:] = row[order]
+        g, context, key, packed, blocks = rows
         first = _firsts(g, context)
         led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         repeat = ~first & ((key != key[led]) | (packed != packed[led]))
@@ -359,9 +363,10 @@ def _remove(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[pa.
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int = T.PIECE_BYTES,
-                   block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of maximal removed runs) and kept (remaining bytes) per row, and
-    `row`, a struct of the columns to carry."""
+    `row`, a struct of the columns to carry. With as_text, kept is a string without the bytes left of
+    characters that were cut in two."""
     if not 2 * GRAM < length <= GRAM + 127 or limit + length >= 1 << 24:
         raise ValueError("strings must have 65 to 159 bytes, pieces under 16 MB")
     staging = Staging(docs.sparkSession)
@@ -377,12 +382,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit:
             data, offsets = T.flat(batch.column("text"))
             for a, b in T.pieces(offsets):
                 spans, kept = _remove(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], batch.column("marks")[a:b])
+                if as_text:
+                    kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], pa.array(np.diff(offsets[a:b + 1])), spans, kept,
                      *[batch.column("row")[a:b] for _ in carry[:1]]], ["doc_id", "n_bytes", "spans", "kept", *["row" for _ in carry[:1]]])
 
     own = docs.schema["doc_id"].dataType
-    schema = f"doc_id {own.simpleString()}, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
+    schema = f"doc_id {own.simpleString()}, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept {'string' if as_text else 'binary'}"
     row = [F.struct(*carry).alias("row")] if carry else []
     marked = keyed(docs, *row).join(marks, ["key", "tag"], "left").select(
         F.when(F.col("key") != NO_ID, F.col("key")).cast(own).alias("doc_id"), "text", "marks", *["row" for _ in row])
@@ -391,18 +398,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs with the text that stays and its n_chars, if there is such a column. Bytes left of
-    a character that was cut in two go as well."""
-
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), left], ["doc_id", "row", "kept_text"])
-
+    """The rows of docs with the text that stays and its n_chars, if there is such a column."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     marker = docs if others else docs.withColumn("no_other_column", F.lit(True))
-    found = remove_repeats(marker, length, carry=others or ("no_other_column",))
-    schema = f"{found.select('doc_id', 'row').schema.toDDL()}, kept_text string"
-    column = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return found.select("doc_id", "row", "kept").mapInArrow(text, schema).select(
-        *[column.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    found = remove_repeats(marker, length, carry=others or ("no_other_column",), as_text=True)
+    column = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[column.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
