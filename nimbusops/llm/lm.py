@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded, merged
+from nimbusops.llm.batches import bounded, merged, tidy
 from nimbusops.llm.eliasfano import EliasFano
 from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
@@ -44,7 +44,7 @@ from nimbusops.session import Staging
 SMOOTHING = 50.0
 STEPS = 2048  # quantised logarithms per power of ten
 HOT_SHARE = 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Tokens that are no words; words never hash to them but by chance, as any two tokens may.
 END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 CONTEXT_BITS = np.uint64((1 << 48) - 1)
@@ -86,7 +86,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
                     [pa.array(np.append(hashes, END).view(np.int64)), pa.array(np.append(np.bincount(codes, minlength=len(hashes)), b - a))],
                     ["word", "c"])
 
-    return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.where(~F.col("held_out")).select("text").mapInArrow(tidy(run), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _messages(data, offsets, doc_ids, held, chunk, shards, hot) -> Iterator[dict]:
@@ -199,8 +199,9 @@ class Trie:
         return out
 
 
-def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], smoothing: float, system, path: str) -> Iterator[dict]:
-    """What a task owes each text: quantised codes, exact unigram logarithms and known tokens, by chunk."""
+def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], smoothing: float, system, path: str) -> Iterator[tuple]:
+    """What a shard owes each text, message by message: chunk, then texts, quantised codes, exact unigram
+    logarithms and known tokens. Takes the messages out of the list."""
     parts = []
     while rows:  # each message is let go of once it is decoded
         r = rows.pop()
@@ -239,12 +240,15 @@ def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], sm
     code = trie.codes(w, x) + np.where(words[number] == END, 0, trie.as_context[number])
     base = np.log10((word_c + 0.5) / total)[number]
     known = (word_c > 0)[number].astype(np.int64)
-    sums: dict[int, list] = {}
     first = 0
     for p in parts:
         pairs = np.repeat(pair_of[first:first + p[0]], p[3])
         first += p[0]
-        sums.setdefault(p[6], []).append([p[5]] + [np.bincount(p[4], weights=v[pairs], minlength=len(p[5])) for v in (code, base, known)])
+        yield p[6], [p[5]] + [np.bincount(p[4], weights=v[pairs], minlength=len(p[5])) for v in (code, base, known)]
+
+
+def _merged(sums: dict[int, list]) -> Iterator[dict]:
+    """The sums of a task's shards as one row per chunk of texts."""
     for chunk, found in sums.items():
         texts, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
         code_sum, base_sum, known_sum = (np.bincount(place, weights=np.concatenate([f[i] for f in found])) for i in (1, 2, 3))
@@ -288,17 +292,21 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
                 number += 1
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        by_shard: dict[int, list[dict]] = {}
         for batch in batches:
-            got += batch.to_pylist()
-        lists = [{k: r.get(k) for k in _SUMS.names} for r in got if r["doc_ids"] is not None]
-        if lists:
-            yield pa.RecordBatch.from_pylist(lists, _SUMS)
-        got = [r for r in got if r["doc_ids"] is None]
+            for r in batch.to_pylist():
+                if r["doc_ids"] is None:
+                    by_shard.setdefault(r["shard"], []).append(r)
+                else:
+                    yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in _SUMS.names}], _SUMS)
         system, path = open_folder(folder)
-        sums = _shard_scores(got, total, hot, smoothing, system,
-                             f"{path}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.trie")
-        for one in sums:
+        sums: dict[int, list] = {}
+        while by_shard:  # one shard at a time
+            shard, rows = by_shard.popitem()
+            name = f"{path}/{shard}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.trie"
+            for chunk, found in _shard_scores(rows, total, hot, smoothing, system, name):
+                sums.setdefault(chunk, []).append(found)
+        for one in _merged(sums):
             yield pa.RecordBatch.from_pylist([one], _SUMS)
 
     def gather(table: pa.Table) -> pa.Table:
@@ -315,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
         return pa.table({"doc_id": pa.array(own["doc_ids"], pa.int64()), "held_out": own["held"], "n_tokens": own["counts"], "n_known": known,
                          "base_score": base, "score": (codes + from_begin) / STEPS})
 
-    sent = rows.mapInArrow(send, _MESSAGE_DDL).repartition(partitions, "shard")
-    result = sent.mapInArrow(own, _SUMS_DDL).groupBy("chunk").applyInArrow(
+    sent = rows.mapInArrow(tidy(send), _MESSAGE_DDL).repartition(partitions, "shard")
+    result = sent.mapInArrow(tidy(own), _SUMS_DDL).groupBy("chunk").applyInArrow(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.withColumn("train_tokens", F.lit(n_train).cast("long"))
