@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,3 +32,25 @@ def merged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             held, size = [], 0
     if size:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers live on after a task, next to the executor's heap,
+    and allocators keep what numpy and Arrow have freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task function that releases freed memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from nimbusops.llm import bwt
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 from nimbusops.session import Staging
 
 LENGTH = 100
@@ -41,6 +41,7 @@ HOT = 2048
 BLOCKS = 3  # of BLOCK_BITS of hash each
 BLOCK_BITS = 21
 BLOCK_BYTES = 1 << 19
+FETCH_RUNS = 4096  # cut out at a time; each may hold `length` strings
 NO_ID = -(1 << 63)
 
 _CODE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,8 +230,8 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed), none if g is None else pa.array(g), none if n is None else pa.array(n)],
                                           ["key", "packed", "g", "n"])
 
-    rows = keyed(docs).select("key", "tag", "text").mapInArrow(cut, "g long, context long, key long, packed long, blocks long, again boolean")
-    return rows.repartition("g").mapInArrow(settle, "key long, packed long, g long, n long")
+    rows = keyed(docs).select("key", "tag", "text").mapInArrow(tidy(cut), "g long, context long, key long, packed long, blocks long, again boolean")
+    return rows.repartition("g").mapInArrow(tidy(settle), "key long, packed long, g long, n long")
 
 
 def _cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -252,8 +253,8 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
             all_doc = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy())
             all_g, all_packed, all_n = (flat.field(i).to_numpy() for i in range(3))
             keys = batch.column("key").to_numpy()
-            for a in range(0, len(all_g), 1 << 15):
-                doc, g, packed, n = (x[a:a + (1 << 15)] for x in (all_doc, all_g, all_packed, all_n))
+            for a in range(0, len(all_g), FETCH_RUNS):
+                doc, g, packed, n = (x[a:a + FETCH_RUNS] for x in (all_doc, all_g, all_packed, all_n))
                 low, high, _ = _fields(packed)
                 cold = n <= hot
                 base = offsets[doc]
@@ -330,8 +331,8 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
     wanted = runs.where("g IS NOT NULL").groupBy("key", F.shiftright("packed", 46).alias("tag")).agg(
         F.collect_list(F.struct("g", "packed", "n")).alias("runs"))
     texts = keyed(docs).select("key", "tag", "text").join(wanted, ["key", "tag"])
-    contexts = texts.mapInArrow(fetch, "g long, key long, packed long, body binary")
-    return contexts.repartition("g").mapInArrow(compare, "key long, tag long, start long, end long")
+    contexts = texts.mapInArrow(tidy(fetch), "g long, key long, packed long, body binary")
+    return contexts.repartition("g").mapInArrow(tidy(compare), "key long, tag long, start long, end long")
 
 
 def _remove(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -339,11 +340,11 @@ def _remove(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[pa.
     sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
     flat = lists.flatten()
     doc = np.repeat(np.arange(len(offsets) - 1), sizes)
-    change = np.zeros(len(data) + 1, np.int64)
+    change = np.zeros(len(data) + 1, np.int32)
     start, end = offsets[doc] + flat.field(0).to_numpy(), offsets[doc] + flat.field(1).to_numpy()
     np.add.at(change, start, 1)
     np.add.at(change, end, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     first = gone.copy()
     first[1:] &= ~gone[:-1]
     edges = offsets[1:-1][offsets[1:-1] < len(data)]
@@ -356,13 +357,14 @@ def _remove(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[pa.
     of = np.searchsorted(offsets, a, "right") - 1
     spans = pa.StructArray.from_arrays([pa.array(a - offsets[of]), pa.array(b - offsets[of])], ["start", "end"])
     bounds = np.searchsorted(a, offsets)
-    kept_before = np.concatenate([[0], np.cumsum(~gone)])
+    kept_before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~gone, out=kept_before[1:])
     kept = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [
-        None, pa.py_buffer(kept_before[offsets].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+        None, pa.py_buffer(kept_before[offsets]), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans), kept
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int = T.PIECE_BYTES,
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit: int = T.PIECE_BYTES // 2,
                    block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of maximal removed runs) and kept (remaining bytes) per row, and
     `row`, a struct of the columns to carry. With as_text, kept is a string without the bytes left of
@@ -394,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit:
     marked = keyed(docs, *row).join(marks, ["key", "tag"], "left").select(
         F.when(F.col("key") != NO_ID, F.col("key")).cast(own).alias("doc_id"), "text", "marks", *["row" for _ in row])
     types = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return marked.mapInArrow(run, schema + (f", row struct<{types}>" if carry else ""))
+    return marked.mapInArrow(tidy(run), schema + (f", row struct<{types}>" if carry else ""))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
