@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 
 SAMPLE = 8192
 SIZES = (3, 5)
@@ -118,7 +118,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, least_docs: int
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(of), pa.array(docs)],
                                                      ["gram", "lang", "docs"])
 
-    held = rows.mapInArrow(distinct, "gram long, lang long, docs long").groupBy("gram", "lang").agg(
+    held = rows.mapInArrow(tidy(distinct), "gram long, lang long, docs long").groupBy("gram", "lang").agg(
         F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     probes = F.array(*[F.shiftrightunsigned("gram", i * log_slots).bitwiseAND(F.lit((1 << log_slots) - 1)) for i in range(PROBES)])
     bits = held.select(F.explode(probes).alias("slot"), F.expr("lang div 8").alias("byte"), F.expr("shiftleft(1, cast(lang % 8 as int))").alias("bit"))
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                              ["doc_id", "lang_pred", "score"])
 
     return bounded(docs).select("doc_id", "text", _lettered()).mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+        tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
@@ -189,4 +189,4 @@ def known_language(docs: DataFrame, model: Model, least_score: float) -> DataFra
             names, score = _judged(batch, Model(*sent.value))
             yield batch.filter(pa.array((names != UNKNOWN) & (score >= least_score))).drop_columns([LETTERED])
 
-    return bounded(docs).select("*", _lettered()).mapInArrow(run, docs.schema)
+    return bounded(docs).select("*", _lettered()).mapInArrow(tidy(run), docs.schema)

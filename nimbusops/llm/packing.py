@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from nimbusops.llm import sentencepieces
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 from nimbusops.llm.files import open_folder
 
 LENGTH = 2048
@@ -151,7 +151,7 @@ def write(docs: DataFrame, folder: str, model_path: str, length: int = LENGTH, p
             yield flush()
 
     return bounded(docs).select("doc_id", "text").mapInArrow(
-        run, f"shard string, row int, doc_ids array<{id_type}>, parts array<int>, n_tokens long")
+        tidy(run), f"shard string, row int, doc_ids array<{id_type}>, parts array<int>, n_tokens long")
 
 
 class _Plain:
@@ -191,4 +191,4 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     [*part.columns, pa.array(ids, pa.binary()), pa.array(cu, pa.list_(pa.int32()))],
                     [*part.schema.names, "ids", "cu_seqlens"])
 
-    return index.mapInArrow(run, f"{index.schema.toDDL()}, ids binary, cu_seqlens array<int>")
+    return index.mapInArrow(tidy(run), f"{index.schema.toDDL()}, ids binary, cu_seqlens array<int>")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 
 TABLE_ROWS = 400_000
 MARK = "▁"
@@ -135,7 +135,7 @@ def encode_decode(docs: DataFrame, model_path: str, begin: bool = True, end: boo
                     [batch.column("doc_id")[a:b], pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()),
                      pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

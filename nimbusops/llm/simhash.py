@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 from nimbusops.llm.components import components
 from nimbusops.session import Staging
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import text as T
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 from nimbusops.session import Staging
 
 SAMPLE = 8192
@@ -79,7 +79,7 @@ def features(words: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return pairs // max(1, len(words)), pairs % max(1, len(words))
 
 
-def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 600, rate: float = 0.05,
+def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 1500, rate: float = 0.1,
         decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam steps on the whole sample's likelihood."""
     top = int(grade.max())
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
                         [coded.dictionary.take(pa.array(keys[0][new])), pa.array(keys[1][new]), pa.array(keys[2][new].astype(bool))],
                         ["word", "around", "toxic"])
 
-    held = rows.mapInArrow(contexts, "word binary, around long, toxic boolean").distinct().groupBy("word").agg(
+    held = rows.mapInArrow(tidy(contexts), "word binary, around long, toxic boolean").distinct().groupBy("word").agg(
         F.count_if("toxic").alias("a"), F.count("*").alias("n"))
     held = Staging(docs.sparkSession).write("contexts", held)
     totals = held.agg(F.sum("a"), F.sum("n")).first()
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grade"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(number.astype(np.int32)))], ["grade", "x"])
 
-    got = rows.mapInArrow(marked, "grade int, x array<int>").toArrow()
+    got = rows.mapInArrow(tidy(marked), "grade int, x array<int>").toArrow()
     texts = sorted(zip(got["grade"].to_pylist(), got["x"].to_pylist(), strict=True))  # sums in one order, whatever the tasks
     counts = np.array([len(x) for _, x in texts])
     grade = np.array([g for g, _ in texts], np.int64)
@@ -198,4 +198,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                                              ["doc_id", "severity", "grade", "toxic"])
 
     return bounded(docs).select("doc_id", "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean")
+        tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean")

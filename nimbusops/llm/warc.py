@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbusops.llm import zips
-from nimbusops.llm.batches import bounded
+from nimbusops.llm.batches import bounded, tidy
 from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
 
@@ -102,7 +102,7 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
         if index:
             yield finish()
 
-    return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, bytes long, records long")
+    return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(run), "path string, bytes long, records long")
 
 
 def locate(archives: DataFrame, folder: str, read_bytes: int = READ_BYTES) -> DataFrame:
@@ -126,7 +126,7 @@ def locate(archives: DataFrame, folder: str, read_bytes: int = READ_BYTES) -> Da
                     [pa.array([path] * len(runs), pa.string()), pa.array([r[0] for r in runs], pa.int64()),
                      pa.array([r[1] for r in runs], pa.list_(pa.int64()))], ["path", "start", "lengths"])
 
-    return archives.select("path").mapInArrow(run, "path string, start long, lengths array<bigint>")
+    return archives.select("path").mapInArrow(tidy(run), "path string, start long, lengths array<bigint>")
 
 
 def parse(raw: bytes) -> dict:
@@ -166,7 +166,7 @@ def read(runs: DataFrame, folder: str) -> DataFrame:
                     pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)],
                     ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    return runs.mapInArrow(run, "record_id string, record_type string, refers_to string, payload_bytes long, "
+    return runs.mapInArrow(tidy(run), "record_id string, record_type string, refers_to string, payload_bytes long, "
                                 "payload_digest string, payload binary")
 
 
