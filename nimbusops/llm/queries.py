@@ -131,3 +131,32 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS v FROM d),
+b AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(v, lambda x: substr(a, CAST((x // 32768) % 32 + 1 AS BIGINT), 1) || substr(a, CAST((x // 1024) % 32 + 1 AS BIGINT), 1)
+        || substr(a, CAST((x // 32) % 32 + 1 AS BIGINT), 1) || substr(a, CAST(x % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+    if(page_id = first, 'response', 'revisit') AS record_type, if(page_id = first, NULL, first) AS refers_to
+FROM v, b
+"""
+
+SQL["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS part FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+f AS (SELECT part, min(doc_id) AS doc_id, arg_min(p, (doc_id, p)) AS p FROM s GROUP BY part HAVING count(*) > 1),
+g AS (SELECT s.doc_id, s.p FROM s JOIN f USING (part) WHERE (s.doc_id, s.p) <> (f.doc_id, f.p)),
+r AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS new FROM g),
+e AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) AS i
+    FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r) GROUP BY doc_id, run),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM (
+    SELECT d.doc_id, h, coalesce(x.b, 0) AS a, coalesce(y.a, n) AS b
+    FROM d JOIN (SELECT doc_id, b, i FROM e UNION ALL SELECT doc_id, 0, 0 FROM d) x USING (doc_id)
+    LEFT JOIN e y ON y.doc_id = d.doc_id AND y.i = x.i + 1) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM e GROUP BY 1) USING (doc_id)
+"""
