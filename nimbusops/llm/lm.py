@@ -9,7 +9,7 @@ Only the numerator needs the pair. So every token goes to the task that owns its
 context u; that task adds the numerator's logarithm for the pair, and for w in its later role as a
 context the logarithm of 1 / (c(w) + m). Nothing is looked up across tasks.
 
-A task's trie is laid out as memory-mapped levels in the shared folder: words, each with a monotone
+A shard's trie is laid out as memory-mapped levels in the shared folder: words, each with a monotone
 pointer to its contexts, then the contexts of each word, numbered by the sorted context words and made
 monotone by the word's number, all in Elias-Fano form; and two bytes per pair and two numbers per word
 for quantised logarithms. A pair is found by successor search among its word's contexts alone.
