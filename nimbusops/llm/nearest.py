@@ -27,7 +27,7 @@ from nimbusops.session import Staging
 
 CELLS = 64
 BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16384  # candidates are sent once per block of queries
 READ = 256
 
 
