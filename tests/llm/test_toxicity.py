@@ -13,6 +13,13 @@ def test_fit_orders_thresholds_and_finds_weights():
     assert np.allclose(weights, [3, 1.5, 0, -1], atol=0.5) and np.allclose(thresholds, [1.5, 4], atol=0.5)
 
 
+def test_cut_lies_in_the_gap():
+    assert toxicity.best_cut(np.array([0.0, 0.0, 1.0, 4.0, 6.0]), np.array([False, False, False, True, True])) == 2.5
+    assert toxicity.best_cut(np.array([3.0, 3.0]), np.array([True, True])) == 3.0
+    z, toxic = np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, True, False, True])
+    assert toxicity.best_cut(z, toxic) == 0.5
+
+
 def corpus(spark, docs):
     rng = np.random.default_rng(1)
     plain = [f"word{i}" for i in range(300)]
