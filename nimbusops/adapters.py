@@ -28,11 +28,11 @@ _ORIGIN = "element_at(array('AAA', 'BBB', 'CCC', 'DDD'), cast(user_id % 4 as int
 _DEST = "element_at(array('AAA', 'BBB', 'CCC', 'DDD', 'ZZZ'), cast((user_id div 24) % 5 as int) + 1)"
 _AIRLINE = "element_at(array('AA', 'MQ', 'WN', 'UA', 'DL', 'XX'), cast((user_id div 4) % 6 as int) + 1)"
 
-# Winter weather on days 8, 10 to 12, 24 and 25; a thunderstorm on day 20.
+# Winter weather on days 8, 10 to 12, 24 and 25; a thunderstorm on day 20; codes that are not about the station.
 _CODES = """case
     when day(ts) in (8, 10, 11, 12, 24, 25) and event_type = 'error' then '-FZRA BR'
     when day(ts) in (8, 10, 11, 12, 24, 25) and event_type = 'signup' then if(event_id % 2 = 0, 'SN', 'PL')
-    when event_type = 'purchase' then if(day(ts) = 20, 'TSRA', 'VCTS')
+    when event_type = 'purchase' then if(day(ts) = 20, 'TSRA', element_at(array('VCTS', 'BLSN', '-DRSN'), int(event_id % 3) + 1))
     when event_type = 'click' and event_id % 4 = 0 then 'RA'
     when event_type = 'error' and event_id % 4 = 0 then 'FG'
     when event_type in ('error', 'signup') then 'BR'

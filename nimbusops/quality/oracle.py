@@ -33,7 +33,7 @@ BLOCKS["wx"] = """
 SELECT *, CASE
     WHEN dom IN (8, 10, 11, 12, 24, 25) AND kind = 'error' THEN '-FZRA BR'
     WHEN dom IN (8, 10, 11, 12, 24, 25) AND kind = 'signup' THEN if(k % 2 = 0, 'SN', 'PL')
-    WHEN kind = 'purchase' THEN if(dom = 20, 'TSRA', 'VCTS')
+    WHEN kind = 'purchase' THEN if(dom = 20, 'TSRA', ['VCTS', 'BLSN', '-DRSN'][k % 3 + 1])
     WHEN kind = 'click' AND k % 4 = 0 THEN 'RA'
     WHEN kind = 'error' AND k % 4 = 0 THEN 'FG'
     WHEN kind IN ('error', 'signup') THEN 'BR' END AS codes
