@@ -139,7 +139,7 @@ def write(docs: DataFrame, folder: str, model_path: str, length: int = LENGTH, p
             column, doc_ids = batch.column("text"), batch.column("doc_id")
             kind = doc_ids.type
             _, offsets = T.flat(column)
-            for a, b in T.pieces(offsets, 2 * T.PIECE_BYTES):
+            for a, b in T.pieces(offsets, 4 * T.PIECE_BYTES):
                 ids, bounds = sentencepieces.encode_batch(table, column[a:b])
                 names = doc_ids[a:b].to_pylist()
                 for i, part, segment in _segments(ids.astype(dtype), bounds, length):

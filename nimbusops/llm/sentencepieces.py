@@ -74,7 +74,7 @@ def encode_batch(table: ChunkTable, texts: pa.Array, begin: bool = True, end: bo
     """Ids of all texts in a row, and the bounds of each text's ids."""
     out, sizes = [], []
     data, offsets = T.flat(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), MARK, " "))
-    for a, b in T.pieces(offsets, 2 * T.PIECE_BYTES):  # fewer look-ups of words that pieces share
+    for a, b in T.pieces(offsets, 4 * T.PIECE_BYTES):  # fewer look-ups of words that pieces share
         ids, counts = _encode(table, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], begin, end)
         out.append(ids)
         sizes.append(counts)
@@ -127,7 +127,7 @@ def encode_decode(docs: DataFrame, model_path: str, begin: bool = True, end: boo
         for batch in batches:
             column = batch.column("text")
             _, offsets = T.flat(column)
-            for a, b in T.pieces(offsets, 2 * T.PIECE_BYTES):
+            for a, b in T.pieces(offsets, 4 * T.PIECE_BYTES):
                 ids, bounds = encode_batch(table, column[a:b], begin, end)
                 parts = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 decoded = [model.decode(p.tolist()) for p in parts]

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20  # numpy work on a piece needs up to some 50 times its size
+PIECE_BYTES = 1 << 20  # numpy work on a piece needs up to some 50 times its size
 
 #: Bytes A-Z to a-z, all others to themselves.
 LOWER = np.arange(256, dtype=np.uint8)
