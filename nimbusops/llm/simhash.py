@@ -31,6 +31,7 @@ from nimbusops.llm.components import components
 from nimbusops.session import Staging
 
 TILE = 8192
+MEETINGS = 16  # of tiles in a task
 SEED = 42
 
 
@@ -121,7 +122,10 @@ def links(distinct: DataFrame, staging: Staging, radius: int = 3, tile: int = TI
         member, least = _links(bodies[0], bodies[1] if len(bodies) > 1 else None, radius)
         return pa.table({"a": member.view(np.int64), "b": least.view(np.int64)})
 
-    return meetings.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    # A meeting is few bytes and much work, so tasks are dealt by meetings, not by bytes.
+    n_meetings = sum(n * (n + 1) // 2 + n * sum(tiles[ones + 1:ones + radius + 1]) for ones, n in enumerate(tiles))
+    dealt = meetings.repartition(max(1, -(-n_meetings // MEETINGS)), "x", "y")
+    return dealt.groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
