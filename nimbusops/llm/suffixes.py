@@ -15,8 +15,8 @@ earlier (in a smaller doc_id, or earlier in the same text) goes. Strings are jud
    of its strings goes on its own, to the task of that string's hash, again once per task and string.
 4. The covered bytes are cut out of each text.
 
-Texts are joined to places by id and 16 bits of text hash, which tells rows that repeat an id apart:
-they are ordered by that hash. Rows that repeat both count as one document, and each gets its result.
+Texts are joined to places by id and the 64-bit hash of the text (`tag`), which tells rows that repeat
+an id apart: they are ordered by that hash. Rows that repeat both count as one document, and each gets its result.
 Null texts count as empty, null ids come first. doc_id must be an integer. Steps 1 and 2 compare hashes
 of 64 bits, within an anchor of 64 bits.
 """
@@ -120,7 +120,7 @@ def shared_blocks(g: np.ndarray, blocks: np.ndarray, packed: np.ndarray, length:
     strings with shared blocks."""
     span = block_span(length)
     most, least = np.full(len(g), -1), np.full(len(g), length)
-    low, high, tag = _fields(packed)
+    low, high = _fields(packed)
     at = packed & 127
     for i in range(BLOCKS):
         code = (blocks >> (BLOCK_BITS * i)) & ((1 << BLOCK_BITS) - 1)
@@ -132,7 +132,7 @@ def shared_blocks(g: np.ndarray, blocks: np.ndarray, packed: np.ndarray, length:
         least = np.where(shared, np.minimum(least, i * span), least)
     anchor = low + at
     low, high = np.maximum(low, anchor - most), np.minimum(high, anchor - least)
-    return np.flatnonzero(most >= 0), (tag << 46) | (low << 14) | ((high - low) << 7) | (anchor - low)
+    return np.flatnonzero(most >= 0), (low << 14) | ((high - low) << 7) | (anchor - low)
 
 
 def _slices(offsets: np.ndarray, length: int, limit: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -156,20 +156,28 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _fields(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, last start, and text hash of packed runs."""
-    low = (packed >> 14) & 0xFFFFFFFF
-    return low, low + ((packed >> 7) & 127), packed >> 46
+def _fields(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First start and last start of packed runs."""
+    low = packed >> 14
+    return low, low + ((packed >> 7) & 127)
+
+
+def _others(led: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Rows that differ in a column from the row that leads them."""
+    other = np.zeros(len(led), bool)
+    for c in columns:
+        other |= c != c[led]
+    return other
 
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
     """The id, with a number for null, and the text. Joins that take the same columns share one shuffle."""
     return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
-                       F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "text", *more)
+                       F.xxhash64("text").alias("tag"), "text", *more)
 
 
 def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
-    """Runs (key, packed, g, n): repeats as a whole where g is null, else the earliest of a context of the
+    """Runs (key, tag, packed, g, n): repeats as a whole where g is null, else the earliest of a context of the
     anchor g, which has n contexts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,53 +193,53 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 context = string_hashes(h, low, high + length, 2 * length - GRAM)
                 context = _mix(context + (anchor - low).astype(np.uint64))
                 start = low - edges[doc] + before
-                packed = (tags[a:b][doc] << 46) | (start << 14) | ((high - low) << 7) | (anchor - low)
-                g, key, blocks = h[anchor], keys[a:b][doc], block_hashes(h, low, high, anchor, length)
-                order = np.lexsort((packed, key, context, g))
-                g, context, key, packed, blocks = g[order], context[order], key[order], packed[order], blocks[order]
+                packed = (start << 14) | ((high - low) << 7) | (anchor - low)
+                g, key, tag, blocks = h[anchor], keys[a:b][doc], tags[a:b][doc], block_hashes(h, low, high, anchor, length)
+                order = np.lexsort((packed, tag, key, context, g))
+                g, context, key, tag, packed, blocks = (x[order] for x in (g, context, key, tag, packed, blocks))
                 first = _firsts(g, context)
                 again = ~first
                 # A later row is a repeat unless it is the same place of the same document.
                 led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                same = again & (key == key[led]) & (packed == packed[led])
-                g = np.where(again, _mix(packed.astype(np.uint64) + g), g)
+                same = again & ~_others(led, key, tag, packed)
+                g = np.where(again, _mix((packed ^ tag).view(np.uint64) + g), g)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[~same]) for x in (g.view(np.int64), context.view(np.int64), key, packed, blocks, again)],
-                    ["g", "context", "key", "packed", "blocks", "again"])
+                    [pa.array(x[~same]) for x in (g.view(np.int64), context.view(np.int64), key, tag, packed, blocks, again)],
+                    ["g", "context", "key", "tag", "packed", "blocks", "again"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.empty((5, 0), np.int64)]
+        got = [np.empty((6, 0), np.int64)]
         for batch in batches:
             again = batch.column("again").to_numpy(zero_copy_only=False)
-            rows = np.stack([batch.column(i).to_numpy() for i in range(5)])
-            yield _runs(rows[2][again], rows[3][again])
+            rows = np.stack([batch.column(i).to_numpy() for i in range(6)])
+            yield _runs(*rows[2:5, again])
             got.append(rows[:, ~again])
         rows = np.concatenate(got, axis=1)
         got.clear()
-        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+        order = np.lexsort(rows[4::-1])
         for row in rows:  # one at a time
             row[:] = row[order]
-        g, context, key, packed, blocks = rows
+        g, context, key, tag, packed, blocks = rows
         first = _firsts(g, context)
         led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        repeat = ~first & ((key != key[led]) | (packed != packed[led]))
-        yield _runs(key[repeat], packed[repeat])
+        repeat = ~first & _others(led, key, tag, packed)
+        yield _runs(key[repeat], tag[repeat], packed[repeat])
         anchor = np.cumsum(_firsts(g)) - 1
         n = np.bincount(anchor, weights=first).astype(np.int64)[anchor] if len(anchor) else anchor
         left = first & (n > 1)
-        g, key, packed, blocks = g[left], key[left], packed[left], blocks[left]
+        g, key, tag, packed, blocks = (x[left] for x in (g, key, tag, packed, blocks))
         kept, cut_down = shared_blocks(g, blocks, packed, length)
-        g, key, packed = g[kept], key[kept], cut_down[kept]
+        g, key, tag, packed = g[kept], key[kept], tag[kept], cut_down[kept]
         anchor = np.cumsum(_firsts(g)) - 1
-        yield _runs(key, packed, g, np.bincount(anchor)[anchor] if len(anchor) else anchor)
+        yield _runs(key, tag, packed, g, np.bincount(anchor)[anchor] if len(anchor) else anchor)
 
-    def _runs(key, packed, g=None, n=None):
+    def _runs(key, tag, packed, g=None, n=None):
         none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed), none if g is None else pa.array(g), none if n is None else pa.array(n)],
-                                          ["key", "packed", "g", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(packed), none if g is None else pa.array(g), none if n is None else pa.array(n)],
+                                          ["key", "tag", "packed", "g", "n"])
 
-    rows = keyed(docs).select("key", "tag", "text").mapInArrow(tidy(cut), "g long, context long, key long, packed long, blocks long, again boolean")
-    return rows.repartition("g").mapInArrow(tidy(settle), "key long, packed long, g long, n long")
+    rows = keyed(docs).select("key", "tag", "text").mapInArrow(tidy(cut), "g long, context long, key long, tag long, packed long, blocks long, again boolean")
+    return rows.repartition("g").mapInArrow(tidy(settle), "key long, tag long, packed long, g long, n long")
 
 
 def _cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -245,21 +253,21 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
     """Marks (key, tag, start, end) of repeated strings among contexts that differ."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "key", "packed", "body"]
+        names = ["g", "key", "tag", "packed", "body"]
         for batch in batches:
             data, offsets = T.flat(batch.column("text"))
             lists = batch.column("runs")
             flat = lists.flatten()
             all_doc = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy())
             all_g, all_packed, all_n = (flat.field(i).to_numpy() for i in range(3))
-            keys = batch.column("key").to_numpy()
+            keys, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
             for a in range(0, len(all_g), FETCH_RUNS):
                 doc, g, packed, n = (x[a:a + FETCH_RUNS] for x in (all_doc, all_g, all_packed, all_n))
-                low, high, _ = _fields(packed)
+                low, high = _fields(packed)
                 cold = n <= hot
                 base = offsets[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[cold]), pa.array(keys[doc][cold]), pa.array(packed[cold]),
+                    [pa.array(g[cold]), pa.array(keys[doc][cold]), pa.array(tags[doc][cold]), pa.array(packed[cold]),
                      _cut_out(data, (base + low)[cold], (base + high + length)[cold])], names)
                 if cold.all():
                     continue
@@ -272,18 +280,18 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
                     own = doc[each] == d
                     h = gram_hashes(data[offsets[d]:offsets[d + 1]])
                     found[own] = string_hashes(h, start[own], start[own] + length, length)
-                packed, key = (packed[each] >> 46 << 46) | (start << 14), keys[doc][each]
+                packed, key, tag = start << 14, keys[doc][each], tags[doc][each]
                 g = _mix(found ^ g[each].view(np.uint64))
-                order = np.lexsort((packed, key, g))
-                g, packed, key, doc, start = g[order], packed[order], key[order], doc[each][order], start[order]
+                order = np.lexsort((packed, tag, key, g))
+                g, packed, key, tag, doc, start = (x[order] for x in (g, packed, key, tag, doc[each], start))
                 first = _firsts(g)
                 led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                repeat = ~first & ((key != key[led]) | (packed != packed[led]))
+                repeat = ~first & _others(led, key, tag, packed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[first].view(np.int64)), pa.array(key[first]), pa.array(packed[first]),
+                    [pa.array(g[first].view(np.int64)), pa.array(key[first]), pa.array(tag[first]), pa.array(packed[first]),
                      _cut_out(data, offsets[doc[first]] + start[first], offsets[doc[first]] + start[first] + length)], names)
                 yield pa.RecordBatch.from_arrays(  # an equal string of this task is earlier
-                    [pa.array(_mix(packed[repeat].astype(np.uint64)).view(np.int64)), pa.array(key[repeat]), pa.array(packed[repeat]),
+                    [pa.array(_mix((packed ^ tag)[repeat].view(np.uint64)).view(np.int64)), pa.array(key[repeat]), pa.array(tag[repeat]), pa.array(packed[repeat]),
                      pa.nulls(int(repeat.sum()), pa.binary())], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +300,8 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
             return
         table = pa.Table.from_batches(got).combine_chunks()
         known = table.filter(pa.compute.is_null(table["body"]))
-        start, last, tag = _fields(known["packed"].to_numpy())
-        yield _marks(known["key"].to_numpy(), tag, start, last + length)
+        start, last = _fields(known["packed"].to_numpy())
+        yield _marks(known["key"].to_numpy(), known["tag"].to_numpy(), start, last + length)
         table = table.filter(pa.compute.is_valid(table["body"])).sort_by("g").combine_chunks()
         g = table["g"].to_numpy()
         data, offsets = T.flat(table["body"])
@@ -302,19 +310,19 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
         while at < len(groups) - 1:
             until = max(int(np.searchsorted(offsets[groups], offsets[groups[at]] + block_bytes, "right")) - 1, at + 1)
             a, b = groups[at], groups[until]
-            yield _repeated(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], g[a:b], table["key"].to_numpy()[a:b],
-                            table["packed"].to_numpy()[a:b])
+            yield _repeated(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], g[a:b],
+                            *(table[c].to_numpy()[a:b] for c in ("key", "tag", "packed")))
             at = until
 
-    def _repeated(data, bounds, g, key, packed):
+    def _repeated(data, bounds, g, key, tag, packed):
         context, place, kind = bwt.repeats(data, bounds, length)
         # Equal strings of different anchors (by a hash that others share) are not compared here.
-        low, _, tag = _fields(packed)
-        spot = (tag[context] << 33) | (low[context] + place)
-        order = np.lexsort((spot, key[context], kind))
+        low, _ = _fields(packed)
+        spot = low[context] + place
+        order = np.lexsort((spot, tag[context], key[context], kind))
         context, place, kind, spot = context[order], place[order], kind[order], spot[order]
         led = np.maximum.accumulate(np.where(_firsts(kind), np.arange(len(kind)), 0))
-        gone = (key[context] != key[context[led]]) | (spot != spot[led])
+        gone = _others(led, key[context], tag[context], spot)
         context, place = context[gone], place[gone]
         order = np.lexsort((place, context))
         context, place = context[order], place[order]
@@ -328,10 +336,10 @@ def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_by
     def _marks(key, tag, start, end):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tag, start, end)], ["key", "tag", "start", "end"])
 
-    wanted = runs.where("g IS NOT NULL").groupBy("key", F.shiftright("packed", 46).alias("tag")).agg(
+    wanted = runs.where("g IS NOT NULL").groupBy("key", "tag").agg(
         F.collect_list(F.struct("g", "packed", "n")).alias("runs"))
     texts = keyed(docs).select("key", "tag", "text").join(wanted, ["key", "tag"])
-    contexts = texts.mapInArrow(tidy(fetch), "g long, key long, packed long, body binary")
+    contexts = texts.mapInArrow(tidy(fetch), "g long, key long, tag long, packed long, body binary")
     return contexts.repartition("g").mapInArrow(tidy(compare), "key long, tag long, start long, end long")
 
 
@@ -374,8 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit:
     staging = Staging(docs.sparkSession)
     runs = staging.write("runs", find_runs(docs, length, limit))
     whole = runs.where("g IS NULL").selectExpr(
-        "key", "shiftright(packed, 46) AS tag", "shiftright(packed, 14) & 4294967295 AS start",
-        f"(shiftright(packed, 14) & 4294967295) + (shiftright(packed, 7) & 127) + {length} AS end")
+        "key", "tag", "shiftright(packed, 14) AS start", f"shiftright(packed, 14) + (shiftright(packed, 7) & 127) + {length} AS end")
     marks = whole.union(find_marks(docs, runs, length, hot, block_bytes)).groupBy("key", "tag").agg(
         F.collect_list(F.struct("start", "end")).alias("marks"))
 

@@ -93,3 +93,16 @@ def test_pipeline_form(docs, with_clashes):
     assert rows[1].text == body and rows[2].text == "é" and rows[2].n_chars == 1 and rows[3].text == "" and rows[2].key == "x"
     assert suffixes.without_repeats(table.where("false")).count() == 0
     assert suffixes.without_repeats(table.select("doc_id", "text")).columns == ["doc_id", "text"]
+
+
+def test_thousands_of_texts_under_one_id(docs):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(3000)]
+    passages = [" ".join(rng.choice(words, 20)) for _ in range(20)]
+    texts = [f"{i} {' '.join(rng.choice(words, rng.integers(5, 40)))} {passages[i % 20] if i % 3 == 0 else ''}" for i in range(3000)]
+    table = docs(*[(None, x) for x in texts])
+    order = table.selectExpr("text", "xxhash64(text) AS h").orderBy("h").collect()
+    expected = judged([(r.text, r.text) for r in order], 100)
+    got = suffixes.remove_repeats(table, carry=("text",)).collect()
+    assert {r.row.text: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in got} == expected
+    assert len(got) == 3000 and sum(len(s) for _, s, _ in expected.values()) > 900
