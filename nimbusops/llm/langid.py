@@ -6,10 +6,12 @@ language's bit in three slots, and the bitwise AND of three slots names all lang
 n-gram. Per language, the count of a text's n-grams found is corrected for the filter's false
 positives (the cube of the share of slots with the language's bit); the greatest share decides.
 
-Learning is from a bounded sample: the `sample` labelled rows whose doc_id hashes lowest (rows that
-share the last hash stay). An n-gram enters a language's filter when at least `least_docs` sample
-documents of that language hold it. What comes to the driver is one bitmask per slot, whatever the
-input's size. Any number of languages fits; the mask has a byte per eight.
+Learning is from a bounded sample: of each language the `each` labelled rows whose doc_id hashes lowest
+(rows that share the last hash stay), with `each` as great as `sample` rows in all allow, but never under
+a 64th of `sample`. So every language is learned, however rare. An n-gram enters a language's filter when
+at least `least_docs` sample documents of that language hold it, or all, if there are fewer. What comes
+to the driver is the hashes near the sample's bounds and one bitmask per slot, whatever the input's size.
+Any number of languages fits; the mask has a byte per eight.
 
 Texts that are null or have no letter get `und` with score 0, as do all when nothing was learned.
 Ties go to the language with more sample rows, then to the smaller name. Whole texts are read.
@@ -17,6 +19,7 @@ Ties go to the language with more sample rows, then to the smaller name. Whole t
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,12 +94,52 @@ def _counted(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of[at], hashes[at], np.diff(np.append(at, len(of)))
 
 
+def rows_each(counts: list[int], sample: int) -> int:
+    """Rows of each language that make `sample` rows in all at most, but a 64th of `sample` at least."""
+    left, each = sample, sample
+    for i, n in enumerate(sorted(counts)):
+        each = left // (len(counts) - i)
+        if n > each:
+            break
+        left, each = left - n, sample
+    return max(each, -(-sample // 64), 2)
+
+
+def _bounds(labelled: DataFrame, sample: int) -> dict[str, int]:
+    """Per language the greatest hash of its sample. Rows are counted by the bits of their hash's distance
+    from the least long; only the hashes of the bits that hold the bound, some `each` of a language, come
+    to the driver."""
+    hashed = labelled.select("lang", F.xxhash64("doc_id").alias("h"))
+    size = F.length(F.bin(F.col("h").bitwiseXOR(F.lit(-(1 << 63)))))
+    per_size = defaultdict(dict)
+    for r in hashed.groupBy("lang", size.alias("size")).agg(F.count("*").alias("n")).collect():  # 64 rows a language at most
+        per_size[r["lang"]][r["size"]] = r["n"]
+    each = rows_each([sum(x.values()) for x in per_size.values()], sample)
+    before, edges = {}, []
+    for lang, x in per_size.items():
+        before[lang] = 0
+        for s in sorted(x):
+            if before[lang] + x[s] >= each or s == max(x):
+                edges.append((lang, s))
+                break
+            before[lang] += x[s]
+    if not edges:
+        return {}
+    edge = labelled.sparkSession.createDataFrame(edges, "lang string, edge int")
+    near = hashed.join(F.broadcast(edge), "lang").where(size == F.col("edge")).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    bounds = {}
+    for r in sorted(near.collect(), key=lambda r: r["h"]):
+        if before[r["lang"]] < each:
+            bounds[r["lang"]] = r["h"]
+            before[r["lang"]] += r["n"]
+    return bounds
+
+
 def training_rows(docs: DataFrame, learn: Column, sample: int) -> DataFrame:
-    """Labelled rows of the sample. Only ids and labels are read to find its bound."""
-    labelled = bounded(docs).where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    hashed = F.xxhash64("doc_id")
-    bound = labelled.select(hashed.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    return labelled.where(hashed <= (bound if bound is not None else 0)).select("doc_id", "lang", "text")
+    """Labelled rows of the sample. Only ids and labels are read to find its bounds."""
+    labelled = bounded(docs).where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    bounds = labelled.sparkSession.createDataFrame(list(_bounds(labelled, sample).items()), "lang string, bound long")
+    return labelled.join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("bound")).select("doc_id", "lang", "text")
 
 
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, least_docs: int = 2, log_slots: int = LOG_SLOTS) -> Model:
@@ -118,8 +161,12 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, least_docs: int
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(of), pa.array(docs)],
                                                      ["gram", "lang", "docs"])
 
+    enough = F.col("docs") >= least_docs
+    for n in range(1, least_docs):  # languages with n sample rows or fewer are the last ones
+        enough |= (F.col("docs") >= n) & (F.col("lang") >= sum(x > n for x in counts.values()))
+
     held = rows.mapInArrow(tidy(distinct), "gram long, lang long, docs long").groupBy("gram", "lang").agg(
-        F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+        F.sum("docs").alias("docs")).where(enough)
     probes = F.array(*[F.shiftrightunsigned("gram", i * log_slots).bitwiseAND(F.lit((1 << log_slots) - 1)) for i in range(PROBES)])
     bits = held.select(F.explode(probes).alias("slot"), F.expr("lang div 8").alias("byte"), F.expr("shiftleft(1, cast(lang % 8 as int))").alias("bit"))
     filled = bits.groupBy("slot", "byte").agg(F.bit_or("bit").alias("mask")).select(

@@ -57,3 +57,21 @@ def test_many_languages(docs):
 
 def test_sample_is_bounded(docs):
     assert langid.training_rows(docs(*TRAIN), F.lit(True), 10).count() == 10
+
+
+def test_rare_language_is_learned(spark):
+    common = F.expr("element_at(array('the cat sat on the mat', 'a dog ran to the house', 'nothing is in the house'), cast(id % 3 as int) + 1)")
+    rare = F.when(F.col("id") == 7, "ქართული ენა").otherwise("страна моя родная и большая")
+    label = F.when(F.col("id") == 7, "ka").when(F.col("id") % 5000 == 0, "ru").otherwise("en")
+    table = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(label == "en", common).otherwise(rare).alias("text"), label.alias("lang"))
+    model = langid.train(table, F.lit(True))
+    assert model.languages == ["en", "ru", "ka"]
+    got = langid.predict(table.where("lang <> 'en'"), model).join(table, "doc_id").collect()
+    assert len(got) == 21 and all(r.lang_pred == r.lang and r.score > 0.9 for r in got)
+    rows = {r.lang: r["count"] for r in langid.training_rows(table, F.lit(True), 64).groupBy("lang").count().collect()}
+    assert rows == {"en": 43, "ru": 20, "ka": 1}
+
+
+def test_rows_of_each_language():
+    assert langid.rows_each([30, 30], 10) == 5 and langid.rows_each([3, 4], 10) >= 4 and langid.rows_each([1, 20, 90], 64) == 43
+    assert langid.rows_each([1000] * 200, 640) == 10 and langid.rows_each([9, 9, 9], 1) == 2
