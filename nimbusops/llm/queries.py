@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, suffixes, toxicity, warc
+from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, suffixes, toxicity, tries, warc
 from nimbusops.session import Staging, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,36 @@ k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a
 SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM e GROUP BY 1) USING (doc_id)
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations start with up to five turns of the first conversation of their hundred."""
+    listed = Staging(spark).write("turns", tries.turns(table(spark, sf_dir, "conversations")))
+    conv_id = F.col("conv_id")
+    head = F.pmod(F.crc32(conv_id.cast("string")), F.lit(6)).cast("int")
+    return tries.prefix_trie(tries.with_heads(listed, conv_id - conv_id % 100, head, 5))
+
+
+#: The unsigned CRC-32 of the ASCII text that stands for {}.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295))"""
+
+SQL["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY p) AS l FROM t GROUP BY 1),
+h AS (SELECT conv_id, l, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM l),
+s AS (SELECT h.conv_id, list_concat(coalesce(b.l[1:h], []), h.l[h + 1:]) AS l FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(l) AS n, d, sha256(CAST(l[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(l[1:d - 1] AS VARCHAR)) END AS up,
+    CASE WHEN d > 0 THEN length(l[d].x) ELSE 0 END AS c FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM s)),
+e AS (SELECT d, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * min(c) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM e WHERE d > 0 GROUP BY ALL),
+w AS (SELECT e.d, e.k, e.conv_id, e.saved, coalesce(kids.n, 0) AS kids FROM e LEFT JOIN kids USING (d, k)),
+below AS (SELECT m.d, m.k, sum(w.saved) AS saved, count(*) FILTER (w.kids = 0) AS leaves FROM w
+    JOIN m ON m.conv_id = w.conv_id AND m.d <= w.d GROUP BY m.d, m.k)
+SELECT e.conv_id, e.d AS depth, u.conv_id AS parent_conv_id, e.n AS n_convs, w.kids AS n_children, leaves AS n_leaves,
+    CAST(below.saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN w USING (d, k) JOIN below USING (d, k) LEFT JOIN e u ON u.d = e.d - 1 AND u.k = e.up
+"""
