@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusops.llm import decontamination, langid, lm, nearest, packing, sentencepieces, simhash, suffixes, toxicity, tries, warc
+from nimbusops.llm import decontamination, langid, lm, nearest, packing, repair, sentencepieces, simhash, suffixes, toxicity, tries, warc
 from nimbusops.session import Staging, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,60 @@ SELECT e.conv_id, e.d AS depth, u.conv_id AS parent_conv_id, e.n AS n_convs, w.k
     CAST(below.saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
 FROM e JOIN w USING (d, k) JOIN below USING (d, k) LEFT JOIN e u ON u.d = e.d - 1 AND u.k = e.up
 """
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows as a faulty source would give them, by the checksum of id and turn: `damage` 0 is lost, 1 is
+    empty, 2 has no sentence ends, 3 comes twice, 4 is a user turn. Nulls become one space."""
+    conv_id, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    damage = F.pmod(F.crc32(F.concat_ws(":", conv_id, turn)), F.lit(20)).cast("int")
+    return conversations.select("conv_id", "turn", damage.alias("damage"), role.alias("role"), text.alias("text")).select(
+        "conv_id", "turn", "damage", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, turns = repair.repair(damaged(table(spark, sf_dir, "conversations")), F.col("damage") != 0)
+    same = repair.repaired_digests(turns).withColumnRenamed("conv_id", "same_id")
+    return found.join(same, F.col("conv_id").eqNullSafe(F.col("same_id"))).drop("same_id")
+
+
+SQL["op12_structure_repair"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+g AS (SELECT conv_id, turn, if(k = 4, 'user', role) AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(if(k = 3, 2, 1))) AS copy FROM o WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || ':' || text)) AS i,
+    rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS tail FROM g),
+f AS (SELECT conv_id, turn, role, text, i, strpos('sua', left(role, 1)) * (role <> '')::INTEGER AS r, CASE WHEN tail = '' THEN 1
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f FROM n),
+p AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank,
+    count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+    count(*) FILTER (i > 1 AND before * 10 + r NOT IN (12, 23, 32)) AS illegal, count(*) AS n FROM p GROUP BY 1),
+dp AS (SELECT conv_id, 0 AS i, (0, '') AS c0, (999999999, '') AS c1, (5, 'I') AS c2, (10, 'II') AS c3 FROM sums
+    UNION ALL
+    SELECT conv_id, i, c0, c1, least(c2, (c0[1] + 5, c0[2] || 'I'), (c1[1] + 5, c1[2] || 'I'), (c3[1] + 5, c3[2] || 'I')) AS d2,
+        least(c3, (c2[1] + 5, c2[2] || 'I'), (c0[1] + 10, c0[2] || 'II'), (c1[1] + 10, c1[2] || 'II')) FROM (
+    SELECT dp.conv_id, f.i, (c0[1] + 2, c0[2] || 'D') AS c0,
+        least((c1[1] + 2, c1[2] || 'D'), if(r = 1 AND f IN (0, 3), (c0[1] + w, c0[2] || 'K'), (999999999, ''))) AS c1,
+        least((c2[1] + 2, c2[2] || 'D'), if(f IN (0, 3), least((c0[1] + w + e2, c0[2] || l2), (c1[1] + w + e2, c1[2] || l2),
+            (c3[1] + w + e2, c3[2] || l2)), (999999999, ''))) AS c2,
+        least((c3[1] + 2, c3[2] || 'D'), if(f IN (0, 3), (c2[1] + w + e3, c2[2] || l3), (999999999, ''))) AS c3
+    FROM dp JOIN (SELECT *, if(f = 3, 5, 0) AS w, if(r = 2, 0, 1) AS e2, if(r = 2, 'K', 'R') AS l2, if(r = 3, 0, 1) AS e3, if(r = 3, 'K', 'R') AS l3 FROM f) f
+        ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)),
+best AS (SELECT sums.conv_id, least(c0, c3) AS c FROM sums JOIN dp ON dp.conv_id IS NOT DISTINCT FROM sums.conv_id AND dp.i = sums.n),
+l AS (SELECT conv_id, j, substr(c[2], j, 1) AS letter, j - length(replace(substr(c[2], 1, j), 'I', '')) AS ins, length(replace(substr(c[2], 1, j), 'D', '')) AS pos
+    FROM (SELECT conv_id, c, unnest(range(1, length(c[2]) + 1)) AS j FROM best)),
+k AS (SELECT l.conv_id, j, letter, pos, f.role, f.text, max(CASE WHEN letter = 'K' AND pos = 1 AND r = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+    FROM l LEFT JOIN f ON letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = j - ins),
+made AS (SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE if((pos - s) % 2 = 1, 'user', 'assistant') END || ':'
+    || if(letter = 'I', '', text), chr(10) ORDER BY j)) AS h FROM k WHERE letter <> 'D' GROUP BY 1),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, CAST(coalesce(c[1], 0) AS BIGINT) AS cost, coalesce(c[2], '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM every LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM every.conv_id
+LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM every.conv_id
+"""
