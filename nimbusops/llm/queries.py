@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusops.llm import decontamination, langid, lm, nearest, packing, repair, sentencepieces, simhash, suffixes, toxicity, tries, warc
+from nimbusops.llm import decontamination, langid, lm, nearest, packing, quality, repair, sentencepieces, simhash, suffixes, toxicity, tries, warc
 from nimbusops.session import Staging, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,10 @@ SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, co
 FROM every LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM every.conv_id
 LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM every.conv_id
 """
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), crc_class() != 0))
+    return scored.select("doc_id", (crc_class() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
