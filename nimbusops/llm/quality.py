@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     share = counts.get(1, 0) / total if total else 0.5
     if not 0 < share < 1:
         return Model([], np.zeros((KINDS, SIZE), np.float32), [], 1.0, share)
-    top = document_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary)
+    top = Staging(docs.sparkSession).write("top", document_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary))
     words = sorted(bytes(r["word"]) for r in top.select("word").collect())
     vectors = word_vectors(docs, words)
     got = features(rows, words, vectors, "doc_id", "label").toArrow().sort_by("doc_id")
