@@ -85,7 +85,7 @@ def test_learns(spark, docs, with_clashes):
     got = defaultdict(list)
     for r in quality.score(df, quality.train(df, labels, F.col("doc_id") % 5 != 0)).collect():
         got[r.doc_id].append(r.score)
-    assert len(got) == 125 and len(got[1]) == 2 and sum(map(len, got.values())) == 127
+    assert len(got) == 125 and len(got[1]) == 3 and sum(map(len, got.values())) == 127
     assert all(0 <= s <= 1 for x in got.values() for s in x)
     assert np.mean([(got[i][0] >= 0.5) == (i < 60) for i in range(5, 120, 5)]) == 1
     assert got[202][0] > 0.5 > got[203][0]
