@@ -57,14 +57,19 @@ def flight_batches(flights: DataFrame) -> DataFrame:
     })
 
 
+def flight_problems(batches: DataFrame) -> tuple[dict[tuple[int, int], str], list[str]]:
+    """Months with dates outside them, and warnings for cancelled flights without code."""
+    found = batches.where("not dates_in_month or without_code > 0").orderBy("year", "month").collect()  # a row per month
+    wrong = {(r.year, r.month): f"dates {r.first_date}..{r.last_date} lie outside" for r in found if not r.dates_in_month}
+    return wrong, [f"{r.year}-{r.month:02d}: {r.without_code} cancelled flights without code" for r in found if r.without_code > 0]
+
+
 def check_flight_batches(batches: DataFrame) -> list[str]:
     """Warnings for cancelled flights without code; an error for a month with dates outside it."""
-    # one row per month
-    wrong = batches.where("not dates_in_month").select("year", "month").collect()
+    wrong, warnings = flight_problems(batches)
     if wrong:
-        raise ValueError(f"dates outside their month: {[tuple(r) for r in wrong]}")
-    missing = batches.where("without_code > 0").select("year", "month", "without_code").collect()
-    return [f"{r.year}-{r.month:02d}: {r.without_code} cancelled flights without code" for r in missing]
+        raise ValueError(f"dates outside their month: {sorted(wrong)}")
+    return warnings
 
 
 def observation_batches(reports: DataFrame) -> DataFrame:

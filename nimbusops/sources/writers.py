@@ -1,8 +1,9 @@
-"""Sinks: sorted monthly Parquet, and CSV exports of named tables."""
+"""Sinks: sorted monthly Parquet with a manifest of what has landed, and CSV exports of named tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Collection, Sequence
 from functools import reduce
 from operator import and_
 from urllib.parse import unquote
@@ -15,52 +16,106 @@ from nimbusops.sources import schemas
 
 MONTH = ("year", "month")
 ROWS_PER_FILE = 20_000_000
+# Folders that Spark's readers pass over: an empty file per landed part, and what is not published yet.
+MANIFEST, STAGED = "_landed", "_staging"
 
+FLIGHT_ORDER = ("FlightDate", "CRSDepTime", "Origin", "Flight_Number_Reporting_Airline")
+REPORT_ORDER = ("valid_utc", "report_type")
+REPORT_PARTS = ("airport_code", *MONTH)
 
-def _write_sorted(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], mode: str) -> None:
+
+def _write_sorted(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str]) -> None:
     """Partitioned, sorted Parquet in one pass. The rebalance brings a month together in one file when
     it is small and splits it over many tasks and files when it is big, at run time."""
     (
         df.hint("rebalance", *[F.col(p) for p in parts])
         .sortWithinPartitions(*parts, *order)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .write.option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*parts)
         .parquet(path)
     )
 
 
+def _folder(spark: SparkSession, path: str):
+    """File system and Hadoop path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _values(folders: str) -> tuple:
+    """Partition values out of `a=x/b=y`; numbers are returned as such."""
+    texts = [unquote(f.split("=", 1)[1]) for f in folders.split("/")]
+    return tuple(int(x) if x.isdigit() else x for x in texts)
+
+
 def landed_parts(spark: SparkSession, path: str, parts: Sequence[str]) -> set[tuple]:
-    """Values of the partition folders below a path; numbers are returned as such. No file is opened."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{p}=*" for p in parts)]))
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    folders = [str(f.getPath()).split("/")[-len(parts):] for f in found or []]
-    texts = [[unquote(f.split("=", 1)[1]) for f in folder] for folder in folders]
-    return {tuple(int(x) if x.isdigit() else x for x in text) for text in texts}
+    """Parts that the manifest of a path lists; numbers are returned as such. No data file is opened."""
+    system, folder = _folder(spark, f"{path}/{MANIFEST}")
+    if not system.exists(folder):
+        return set()
+    names = [f.getPath().getName().replace(",", "/") for f in system.listStatus(folder)]
+    return {_values(name) for name in names if [f.split("=")[0] for f in name.split("/")] == list(parts)}
+
+
+def stage_parts(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str]) -> str:
+    """Write sorted partition folders beside the landed ones of a path, where no reader sees them."""
+    staged = f"{path}/{STAGED}/{uuid.uuid4().hex}"
+    _write_sorted(df, staged, parts, order)
+    return staged
+
+
+def publish_parts(spark: SparkSession, staged: str, path: str, parts: Sequence[str], bad: Collection[tuple] = ()) -> set[tuple]:
+    """Move staged partition folders to their place, except the bad ones, and enter them in the manifest; what
+    is left of the staged folder is deleted.
+
+    A part's entry is removed first and made last. So whatever stops a run, a part that is listed is
+    whole, and one that is not listed is landed again by the next run, over what this one left.
+    """
+    pattern = "/".join([staged, *(f"{p}=*" for p in parts)])
+    system, glob = _folder(spark, pattern)
+    done = set()
+    for status in system.globStatus(glob) or []:
+        name = "/".join(str(status.getPath()).split("/")[-len(parts):])
+        if _values(name) in bad:
+            continue
+        _, entry = _folder(spark, f"{path}/{MANIFEST}/{name.replace('/', ',')}")
+        _, target = _folder(spark, f"{path}/{name}")
+        system.delete(entry, False)
+        system.delete(target, True)
+        system.mkdirs(target.getParent())
+        if not system.rename(status.getPath(), target):
+            raise OSError(f"{status.getPath()} could not be moved to {target}")
+        system.create(entry, True).close()
+        done.add(_values(name))
+    discard(spark, staged)
+    return done
+
+
+def discard(spark: SparkSession, staged: str) -> None:
+    system, folder = _folder(spark, staged)
+    system.delete(folder, True)
 
 
 def _write_new(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], force: bool) -> None:
-    existing = set() if force else landed_parts(df.sparkSession, path, parts)
-    if existing:  # known before the source is read, a row per folder
+    spark = df.sparkSession
+    existing = set() if force else landed_parts(spark, path, parts)
+    if existing:  # known before the source is read, a row per part
         rows = [tuple(str(x) for x in part) for part in sorted(existing)]
-        there = local_frame(df.sparkSession, {f"_{p}": "string" for p in parts}, rows)
+        there = local_frame(spark, {f"_{p}": "string" for p in parts}, rows)
         same = reduce(and_, [F.col(p).cast("string") == F.col(f"_{p}") for p in parts])
         df = df.join(there, same, "left_anti")
-    # forced months replace what is there; new months have nothing to replace
-    _write_sorted(df, path, parts, order, "overwrite" if force else "append")
+    publish_parts(spark, stage_parts(df, path, parts, order), path, parts)
 
 
 def write_flights(flights: DataFrame, path: str, force: bool = False) -> None:
     """Flights by month, sorted by date and scheduled time. Months that exist are kept unless forced."""
     dated = flights.withColumns({"year": F.year("FlightDate"), "month": F.month("FlightDate")})
-    order = ["FlightDate", "CRSDepTime", "Origin", "Flight_Number_Reporting_Airline"]
-    _write_new(dated, path, MONTH, order, force)
+    _write_new(dated, path, MONTH, FLIGHT_ORDER, force)
 
 
 def write_observations(observations: DataFrame, path: str, force: bool = False) -> None:
     """Reports by airport and local month, sorted by time and type."""
-    _write_new(observations, path, ["airport_code", *MONTH], ["valid_utc", "report_type"], force)
+    _write_new(observations, path, REPORT_PARTS, REPORT_ORDER, force)
 
 
 def empty_flights(spark: SparkSession) -> DataFrame:

@@ -146,7 +146,7 @@ def test_staged_tables_cut_the_lineage(spark):
     assert staged.count() == 5 and staged.inputFiles()[0].startswith(f"file://{staging_root(spark)}")
 
 
-def test_landed_parts_come_from_folders(spark, make, tmp_path):
+def test_landed_parts_come_from_the_manifest(spark, make, tmp_path):
     path = str(tmp_path / "flights")
     assert writers.landed_parts(spark, path, writers.MONTH) == set()
     writers.write_flights(make.flights({}, {"FlightDate": date(2021, 3, 1)}), path)
@@ -179,14 +179,76 @@ def test_flight_landing_job(spark, make, tmp_path):
     assert [(r.month, r.flights) for r in batches.collect()] == [(3, 1)] and read == [(2021, 2), (2021, 3)]
     assert landing.land_flights(spark, source, path, [FEBRUARY, MARCH])[0].count() == 0 and len(read) == 2
     assert landing.land_flights(spark, source, path, [FEBRUARY], force=True)[0].count() == 1 and len(read) == 3
-    files[2021, 2] = files[2021, 3]
-    with pytest.raises(ValueError, match="outside the months"):
-        landing.land_flights(spark, source, path, [FEBRUARY], force=True)
     files[2021, 3] = flights_csv(make, tmp_path / "none", {"FlightDate": date(2021, 3, 2), "Origin": "SAT", "Dest": "XYZ"})
     with pytest.raises(ValueError, match="no flights"):
         landing.land_flights(spark, source, str(tmp_path / "other"), [MARCH])
 
 
+def landed(spark, path, parts=writers.MONTH, schema=schemas.RAW_FLIGHTS + ", year int, month int"):
+    return {tuple(r[:-1]): r[-1] for r in landing.read_landed(spark, path, schema, parts).groupBy(*parts).count().collect()}
+
+
+def test_failed_months_are_landed_by_the_next_run(spark, make, tmp_path):
+    late = {"FlightDate": date(2021, 3, 2), "Origin": "IAH", "Dest": "XYZ"}
+    files = {(2021, 2): flights_csv(make, tmp_path / "feb", {}), (2021, 3): flights_csv(make, tmp_path / "bad", late, {**late, "FlightDate": date(2021, 4, 1)})}
+    path, read = str(tmp_path / "landed"), []
+
+    def source(year, month):
+        read.append(month)
+        return files[year, month]
+
+    for _ in range(2):  # the failed month is not skipped, the good one is
+        with pytest.raises(ValueError, match="^2021-03: dates 2021-03-02..2021-04-01 lie outside$"):
+            landing.land_flights(spark, source, path, [FEBRUARY, MARCH])
+        assert landed(spark, path) == {(2021, 2): 1} == {(2021, 2): spark.read.parquet(path).count()}
+    files[2021, 3] = flights_csv(make, tmp_path / "good", late, late)
+    landing.land_flights(spark, source, path, [FEBRUARY, MARCH])
+    assert landed(spark, path) == {(2021, 2): 1, (2021, 3): 2} and read == [2, 3, 3, 3]
+    files[2021, 3] = files[2021, 2]
+    with pytest.raises(ValueError, match="2021-03: no flights of its airports"):  # what landed before stays
+        landing.land_flights(spark, source, path, [MARCH], force=True)
+    assert landed(spark, path) == {(2021, 2): 1, (2021, 3): 2}
+    assert not list((tmp_path / "landed" / "_staging").iterdir())
+
+
+def test_run_that_stops_while_publishing(spark, make, tmp_path, monkeypatch):
+    """A month without an entry in the manifest is landed again, whatever lies in its folder."""
+    path = str(tmp_path / "landed")
+    writers.write_flights(make.flights({}, {"FlightDate": date(2021, 3, 1)}), path)
+    (tmp_path / "landed" / "_landed" / "year=2021,month=3").unlink()
+    assert writers.landed_parts(spark, path, writers.MONTH) == {(2021, 2)} and landed(spark, path) == {(2021, 2): 1}
+    march = [{"FlightDate": date(2021, 3, 5)}] * 3
+    writers.write_flights(make.flights({}, {}, *march), path)
+    assert landed(spark, path) == {(2021, 2): 1, (2021, 3): 3}
+    assert spark.read.parquet(path).count() == 4  # no row of the stopped run is left
+
+
+def test_a_file_for_several_months(spark, make, tmp_path):
+    quarter = flights_csv(make, tmp_path / "csv", {}, {"FlightDate": date(2021, 3, 2), "Origin": "IAH", "Dest": "XYZ"})
+    landing.land_flights(spark, lambda y, m: quarter, str(tmp_path / "landed"), [FEBRUARY, MARCH])
+    assert landed(spark, str(tmp_path / "landed")) == {(2021, 2): 1, (2021, 3): 1}
+
+
+def test_reports_of_overlapping_files(spark, tmp_path):
+    """Each report comes from the file of its own local month; one that a file repeats stays repeated."""
+    header = ["station", "valid", *schemas.OBSERVATION_FIELDS]
+    times = {2: ["2021-02-28 20:00", "2021-02-28 20:00", "2021-03-01 05:00", "2021-03-01 07:00"],
+             3: ["2021-02-28 20:00", "2021-03-01 05:00", "2021-03-01 07:00", "2021-03-01 07:00", "2021-03-01 07:00"]}
+
+    def source(station, kind, year, month):
+        path = tmp_path / f"{station} {kind} {month}%.csv"  # characters that URIs escape
+        lines = [",".join([station, t, *["M"] * len(schemas.OBSERVATION_FIELDS)]) for t in (times[month] if kind == "routine" else [])]
+        path.write_text("\n".join([",".join(header), *lines]))
+        return str(path)
+
+    both = Event("e", "Event", "E", date(2021, 2, 5), date(2021, 3, 28), date(2021, 2, 8), date(2021, 2, 10), ("DFW",))
+    path = str(tmp_path / "weather")
+    batches, _ = landing.land_observations(spark, source, path, [both], default_stations())
+    assert {(r.month, r.routine) for r in batches.collect()} == {(2, 3), (3, 3)}
+    schema = schemas.RAW_OBSERVATIONS + ", year int, month int"
+    assert landed(spark, path, writers.REPORT_PARTS, schema) == {("DFW", 2021, 2): 3, ("DFW", 2021, 3): 3}
+
+
 def test_weather_landing_job(spark, tmp_path):
     header = ["station", "valid", *schemas.OBSERVATION_FIELDS]
     read = []
