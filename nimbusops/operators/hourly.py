@@ -81,15 +81,17 @@ def report_months(hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hourly.select(*keys, months.alias("month_start")).distinct()
 
 
-GRID_ROWS_PER_TASK = 2_000_000
+def local_months(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct local months per key, from the reports themselves."""
+    return reports.select(*keys, times.trunc("month", F.col("valid_local")).alias("month_start")).where("month_start IS NOT NULL").distinct()
 
 
 def hour_grid(months: DataFrame, keys: Sequence[str], extend: bool = False) -> DataFrame:
     """Every hour of each month, without gaps. With `extend`, the midnight after the last of consecutive
     months belongs to the grid, so that a departure at 24:00 has an hour.
 
-    A month row becomes some 740 rows. Its tiny table would be written by a task or two, so months are
-    dealt to as many tasks as the grid's rows need.
+    Months become days, which are dealt to tasks by their bytes at run time, and only then hours: so a
+    tiny table of months fills as many tasks as its hours need, by one plan at every size.
     """
     start = F.col("month_start")
     next_month = start + F.make_ym_interval(months=F.lit(1))
@@ -98,9 +100,9 @@ def hour_grid(months: DataFrame, keys: Sequence[str], extend: bool = False) -> D
         following = F.lead("month_start").over(W.partitionBy(*keys).orderBy("month_start"))
         months = months.withColumn("_following", following)
         last = F.when(F.col("_following") == next_month, last).otherwise(next_month)
-    tasks = -(-months.count() * 744 // GRID_ROWS_PER_TASK)
-    dealt = months.repartition(tasks, "month_start", *keys) if tasks > 1 else months
-    return dealt.select(*keys, F.explode(F.sequence(start, last, times.hours(1))).alias("weather_hour"))
+    days = months.select(*keys, last.alias("_last"), F.explode(F.sequence(start, last, times.days(1))).alias("_day"))
+    until = F.least(F.col("_day") + times.hours(23), F.col("_last"))
+    return days.hint("rebalance").select(*keys, F.explode(F.sequence("_day", until, times.hours(1))).alias("weather_hour"))
 
 
 def fill_grid(grid: DataFrame, hourly: DataFrame) -> DataFrame:

@@ -105,11 +105,14 @@ class Warehouse:
         return self.view("hourly_reports").drop("first_month", "last_month")
 
     def _hour_grid(self) -> DataFrame:
-        months = hourly.report_months(self.table("hourly_reports"), ["airport_code"])
+        # the hourly table knows the months where it is needed anyway; the grid alone takes a scan of one column
+        months = (hourly.report_months(self.table("hourly_reports"), ["airport_code"]) if "hourly_reports" in self._tables
+                  else hourly.local_months(self.view("observations"), ["airport_code"]))
         return hourly.hour_grid(months, ["airport_code"], self.params.extend_grid)
 
     def _weather_hourly(self) -> DataFrame:
-        return hourly.fill_grid(self.view("hour_grid"), self.table("hourly_reports"))
+        reports = self.table("hourly_reports")
+        return hourly.fill_grid(self.view("hour_grid"), reports)
 
     # marts
 
