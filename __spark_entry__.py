@@ -24,17 +24,19 @@ from nimbusops import fixed_values as fixed
 from nimbusops.config import Station, events_frame, events_from_seed, select_events, stations_frame
 from nimbusops.functions import times, values
 from nimbusops.operators import episodes, hourly, medians
-from nimbusops.plans import marts, reports
-from nimbusops.plans.warehouse import Warehouse
+from nimbusops.plans import build, marts, reports
+from nimbusops.plans.warehouse import LAYERS, PARENTS, Warehouse
 from nimbusops.quality import checks
 from nimbusops.quality.oracle import ACROSS, all_checks, count_of, statement
-from nimbusops.session import Staging, prepare
+from nimbusops.session import Staging, prepare, scoped
 from nimbusops.sources import landing, planning, readers, schemas, writers
 
 try:  # the corpus operators and their pipeline are an optional part
     import corpus_pipeline
     from nimbusops.llm import queries as corpus
-except ImportError:
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "nimbusops.llm"):  # they are here, and something they need is not
+        raise
     corpus_pipeline = corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,16 +61,22 @@ _registry: dict[str, tuple[Query, str | None]] = {}
 
 
 def query(sql: str | None):
+    """Register a query. Tables that it stages on its way are gone when its result is there."""
     def register(function: Query) -> Query:
-        _registry[function.__name__] = (function, sql)
+        _registry[function.__name__] = (lambda spark, sf: scoped(prepare(spark), lambda: function(spark, sf)), sql)
         return function
 
     return register
 
 
-def model(name: str, sql: str, view: str | None = None) -> None:
-    """Register the lazy plan of a warehouse model as a query."""
-    _registry[name] = (lambda spark, sf, v=view or name: warehouse(spark, sf).view(v), sql)
+def model(name: str, sql: str) -> None:
+    """Register a warehouse model as a query. Models of raw grain are not written, they stay plans over the staged
+    tables that they need."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plan = lambda: warehouse(spark, sf_dir).view(name)
+        return plan() if name == "flights_weather" else scoped(prepare(spark), plan)
+
+    _registry[name] = (run, sql)
 
 
 # --- cleaning and scalar functions -----------------------------------------------------------------
@@ -599,17 +607,33 @@ def seeded_groups(spark, sf_dir):
     UNION ALL SELECT 'stg_flights', true, count(*) FROM flt""")
 def saved_models(spark, sf_dir):
     """Models as catalog tables and views, saved twice and counted."""
-    wh = warehouse(spark, sf_dir)
     database = f"db_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {database}")
-    wh.save(database)
-    wh.save(database)
-    counts = []
-    for name, view in (("mart_storm_summary", False), ("mart_storm_timeline", False), ("prep_weather_hourly", False), ("stg_flights", True)):
-        table = spark.table(name if view else f"{database}.{name}")
-        counts.append(table.agg(F.count("*").alias("table_rows")).select(F.lit(name).alias("table_name"), F.lit(view).alias("is_view"), "table_rows"))
-    result = Staging(spark).write("counts", reduce(DataFrame.unionByName, counts))
-    wh.unregister()
+    with warehouse(spark, sf_dir) as wh:
+        for _ in range(2):
+            wh.save(database, f"{database}_", buckets=8)
+        counts = []
+        for name, view in (("mart_storm_summary", False), ("mart_storm_timeline", False), ("prep_weather_hourly", False), ("stg_flights", True)):
+            table = spark.table(f"{database}_{name}" if view else f"{database}.{name}")
+            counts.append(table.agg(F.count("*").alias("table_rows")).select(F.lit(name).alias("table_name"), F.lit(view).alias("is_view"), "table_rows"))
+        result = Staging(spark).write("counts", reduce(DataFrame.unionByName, counts))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return result
+
+
+@query("""SELECT airport_code, count(*) AS departures, count(*) FILTER (has_winter_precip) AS in_winter, count(*) FILTER (is_cancelled) AS cancelled
+    FROM (SELECT origin_airport AS airport_code, has_winter_precip, is_cancelled FROM fw WHERE scheduled_dep_hour >= TIMESTAMP '2024-01-01') GROUP BY 1""")
+def saved_hours_joined(spark, sf_dir):
+    """Departures of a month with the saved weather hours of that month: only its folder is read, and the bucketed
+    hours are joined as they lie."""
+    database = f"db_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    with warehouse(spark, sf_dir) as wh:
+        wh.save_model("weather_hourly", database, buckets=8)
+        saved = spark.table(f"{database}.prep_weather_hourly").where("saved_month >= '2024-01-01'").drop("saved_month")
+        joined = hourly.flights_weather(wh.view("departures").where("scheduled_dep_hour >= timestamp_ntz '2024-01-01'"), saved.hint("merge"))
+        result = Staging(spark).write("joined", joined.groupBy(F.col("origin_airport").alias("airport_code")).agg(
+            F.count("*").alias("departures"), F.count_if("has_winter_precip").alias("in_winter"), F.count_if("is_cancelled").alias("cancelled")))
     spark.sql(f"DROP DATABASE {database} CASCADE")
     return result
 
@@ -712,6 +736,55 @@ def dq_all(spark, sf_dir):
     return checks.run_checks(warehouse(spark, sf_dir).models(), PARAMS)
 
 
+def outcomes_sql(rules: dict[str, checks.Rules], variant: str) -> str:
+    """What `checked_build` makes of each model, from the counts of all checks."""
+    rows = [row for row in all_checks(rules) if row[1] in LAYERS]
+
+    def ancestors(model: str) -> set[str]:
+        return set(PARENTS[model]).union(*(ancestors(p) for p in PARENTS[model]))
+
+    pairs = ", ".join(f"('{m}', '{a}')" for m in LAYERS for a in sorted(ancestors(m)))
+    return f"""SELECT '{variant}' AS variant, m.model, if(h.model IS NOT NULL, 'held back', if(e.model IS NOT NULL, 'failed', 'built')) AS status,
+        if(h.model IS NOT NULL, '', coalesce(e.texts, '')) AS errors, if(h.model IS NOT NULL, '', coalesce(w.texts, '')) AS warnings
+    FROM (SELECT unnest({list(LAYERS)}) AS model) m
+    LEFT JOIN (SELECT model, string_agg(trim("check" || ' ' || "column"), ', ' ORDER BY "check", "column") AS texts FROM ({results_sql(*rows)})
+        WHERE violations > 0 AND severity = 'error' GROUP BY 1) e USING (model)
+    LEFT JOIN (SELECT model, string_agg(trim("check" || ' ' || "column"), ', ' ORDER BY "check", "column") AS texts FROM ({results_sql(*rows)})
+        WHERE violations > 0 AND severity = 'warn' GROUP BY 1) w USING (model)
+    LEFT JOIN (SELECT DISTINCT p.model FROM (VALUES {pairs}) p(model, ancestor) JOIN ({results_sql(*rows)}) c ON c.model = p.ancestor
+        WHERE violations > 0 AND severity = 'error') h USING (model)"""
+
+
+DECLARED = checks.declared_rules(PARAMS)
+#: The declared rules, but hours and flights outside all events only warn.
+LENIENT = {name: replace(r, warn=(*r.warn, "event_id")) if name in ("airport_hourly", "flights_weather") else r for name, r in DECLARED.items()}
+
+
+@query(outcomes_sql(DECLARED, "declared") + " UNION ALL " + outcomes_sql(LENIENT, "lenient"))
+def checked_build(spark, sf_dir):
+    """Which models a build that checks as it goes makes, and which it holds back: the local months reach beyond
+    the events, which is an error as declared; as a warning it holds nothing back."""
+    parts = []
+    with warehouse(spark, sf_dir) as wh:  # the second build finds what the first one made
+        for variant, rules in (("declared", DECLARED), ("lenient", LENIENT)):
+            frame = build.outcome_frame(wh, build.checked_build(wh, rules)).drop("because_of")
+            parts.append(frame.select(F.lit(variant).alias("variant"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT year, month, count(*) AS repeated, CAST(sum(n) AS BIGINT) AS flights FROM (
+    SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, d, carrier, k, org, count(*) * 2 AS n FROM flt
+    WHERE k % 10 = 3 GROUP BY ALL) GROUP BY 1, 2""")
+def landed_keys(spark, sf_dir):
+    """Flights that a landed month holds more than once: every tenth was written twice."""
+    raw, path = adapters.raw_flights(read(spark, sf_dir, "events")), f"{Staging(spark).path}/flights"
+    writers.write_flights(raw.union(raw.where("Flight_Number_Reporting_Airline % 10 = 3")), path)
+    landed = landing.read_landed(spark, path, f"{schemas.RAW_FLIGHTS}, year int, month int")
+    found = checks.repeated_keys(landed, writers.MONTH, planning.FLIGHT_KEY).groupBy("year", "month").agg(
+        F.count("*").alias("repeated"), F.sum("n").alias("flights"))
+    return Staging(spark).write("found", found)
+
+
 # --- contract --------------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

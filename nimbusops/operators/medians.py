@@ -76,6 +76,8 @@ def histogram_medians(histogram: DataFrame, keys: Sequence[str], metrics: Sequen
         small = F.col("values") <= most_values
         finer = _refined(values, ranges.where(~small), by, buckets).unionByName(ranges.where(small))
         ranges = staging.write(f"ranges-{rounds}", finer)
+        if rounds > 1:
+            staging.drop(f"ranges-{rounds - 1}")
     smaller = F.sum("n").over(W.partitionBy(*by, "least").orderBy("x").rowsBetween(W.unboundedPreceding, -1))
     ranked = _inside(values, ranges, by).withColumn("first", F.col("before") + F.coalesce(smaller, F.lit(0)))
     last = F.col("first") + F.col("n") - 1

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nimbusops.config import Event, Params, airline_groups_frame, events_frame, validate_events
 from nimbusops.operators import cleaning, hourly
@@ -30,6 +31,27 @@ LAYERS = {
 }
 VIEW_NAMES = {"flights_clean": "stg_flights", "observations": "stg_metar"}
 
+# Models that a model is built from, nearest first; a model is left out when one of them failed its checks.
+PARENTS = {
+    "flights_clean": (),
+    "observations": (),
+    "flights": ("flights_clean",),
+    "weather_hourly": ("observations",),
+    "airport_hourly": ("weather_hourly", "flights"),
+    "flights_weather": ("flights", "weather_hourly"),
+    "storm_summary": ("airport_hourly",),
+    "storm_timeline": ("storm_summary", "airport_hourly"),
+    "airline_storm": ("storm_summary", "flights_weather"),
+    "airport_daily": ("airport_hourly", "storm_summary", "weather_hourly", "flights"),
+    "unusual_days": ("airport_hourly", "storm_summary", "weather_hourly", "flights"),
+}
+
+# How models are saved: the time whose month is their partition, and the columns that rows are bucketed by. Hours
+# are unique per station, so no bucket of theirs is hot; flights are not bucketed, as a station's hour may be.
+SAVED_MONTH = {"weather_hourly": "weather_hour", "airport_hourly": "weather_hour", "flights": "flight_date", "flights_weather": "flight_date"}
+SAVED_BUCKETS = {"weather_hourly": hourly.HOUR, "airport_hourly": hourly.HOUR}
+BUCKETS = 64
+
 
 def table_name(model: str) -> str:
     return VIEW_NAMES.get(model, f"{LAYERS[model]}_{model}")
@@ -184,11 +206,14 @@ class Warehouse:
 
     def register(self, models: Sequence[str] = tuple(LAYERS), prefix: str = "") -> list[str]:
         """Build models once and register them for SQL under their layer names, behind a prefix that keeps
-        them apart from other views of the session."""
+        them apart from other views of the session. A view that this warehouse did not make is not replaced."""
         names = [f"{prefix}{table_name(model)}" for model in models]
+        views = {t.name for t in self.spark.catalog.listTables() if t.isTemporary} - set(self._registered)
+        if taken := sorted(views & {name.lower() for name in names}):
+            raise ValueError(f"views of these names exist: {taken}; choose a prefix")
         for model, name in zip(models, names, strict=True):
-            self._built(model).createOrReplaceTempView(name)
-        self._registered += names
+            self.built(model).createOrReplaceTempView(name)
+            self._registered.append(name)
         return names
 
     def unregister(self) -> None:
@@ -198,28 +223,57 @@ class Warehouse:
         self._registered.clear()
 
     def reset(self) -> None:
-        """Forget all built models; what is built next reads the sources again."""
+        """Forget all built models and remove what was staged; what is built next reads the sources again."""
         self._tables.clear()
+        self.staging.remove()
         self.staging = Staging(self.spark)
 
-    def _built(self, model: str) -> DataFrame:
+    def __enter__(self) -> Warehouse:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Views and staged tables end with the block; saved tables stay."""
+        self.unregister()
+        self.staging.remove()
+
+    def built(self, model: str) -> DataFrame:
         """Models of raw grain are views; everything smaller is staged."""
         return self.view(model) if model in (*self._PLAIN, "flights_weather") else self.table(model)
 
     def query(self, sql: str) -> DataFrame:
         return self.spark.sql(sql)
 
+    def seeds(self) -> dict[str, DataFrame]:
+        return {"storm_events": self.events, "airline_groups": self.airline_groups}
+
     def models(self) -> dict[str, DataFrame]:
         """All models and seeds by name, for checks."""
-        return {**{model: self._built(model) for model in LAYERS}, "storm_events": self.events, "airline_groups": self.airline_groups}
+        return {model: self.built(model) for model in LAYERS} | self.seeds()
 
-    def save(self, database: str) -> None:
+    def save(self, database: str, prefix: str = "", buckets: int = BUCKETS) -> None:
         """Rebuild all models from the sources: prep and mart models become catalog tables of a database,
-        staging models views. May be called again, which replaces the tables."""
+        staging models views behind the prefix. May be called again, which replaces the tables."""
         self.reset()
-        for model, layer in LAYERS.items():
-            if layer == "stg":
-                self.register([model])
-            else:
-                self.view(model).write.mode("overwrite").saveAsTable(f"{database}.{table_name(model)}")
-                self._tables[model] = self.spark.table(f"{database}.{table_name(model)}")
+        for model in LAYERS:
+            self.save_model(model, database, prefix, buckets)
+
+    def save_model(self, model: str, database: str, prefix: str = "", buckets: int = BUCKETS) -> DataFrame:
+        """Save one model; models that are built later read what was saved.
+
+        Hour tables are bucketed by station and hour and sorted in that order, so joins and windows on these
+        columns take them as they lie. With the month as partition, what names a range of `saved_month` reads only these folders.
+        """
+        if LAYERS[model] == "stg":
+            self.register([model], prefix)
+            return self.view(model)
+        df, name = self.view(model), f"{database}.{table_name(model)}"
+        keys, parts = list(SAVED_BUCKETS.get(model, ())), []
+        if model in SAVED_MONTH:
+            df, parts = df.withColumn("saved_month", F.trunc(SAVED_MONTH[model], "MM")), ["saved_month"]
+        if keys:  # a task writes a bucket, so that there is one file of it per month
+            written = df.repartition(buckets, *keys).sortWithinPartitions(*parts, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        else:
+            written = (df.hint("rebalance", "saved_month") if parts else df).write
+        (written.partitionBy(*parts) if parts else written).mode("overwrite").saveAsTable(name)
+        self._tables[model] = self.spark.table(name).drop(*parts)
+        return self._tables[model]

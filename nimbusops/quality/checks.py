@@ -188,6 +188,40 @@ def declared_rules(params: Params) -> dict[str, Rules]:
     }
 
 
+def cross_checks(models: Mapping[str, DataFrame], params: Params, of: str | None = None) -> list[DataFrame]:
+    """The checks across models, each with the model that it belongs to; only those of one model if named."""
+    results = []
+    if "airport_hourly" in models and of in (None, "airport_hourly"):
+        results.append(violations(inconsistent_hours(models["airport_hourly"]), "consistent_counts", "airport_hourly"))
+        if "flights" in models:
+            lost = lost_departures(models["airport_hourly"], models["flights"])
+            results.append(violations(lost, "keeps_all_departures", "airport_hourly"))
+    if "storm_timeline" in models and of in (None, "storm_timeline"):
+        results.append(violations(incomplete_timelines(models["storm_timeline"], params), "complete_window", "storm_timeline"))
+    return results
+
+
+def run_model_checks(models: Mapping[str, DataFrame], model: str, rules: Mapping[str, Rules], params: Params) -> DataFrame:
+    """The declared and cross-model checks that belong to one model; `models` has it and its parents."""
+    declared = model_checks(models[model], model, rules[model], models) if model in rules else []
+    results = declared + cross_checks(models, params, model)
+    return reduce(DataFrame.unionByName, results) if results else models[model].limit(0).select(*_result("", "", "", F.lit(0)))
+
+
+def repeated_keys(df: DataFrame, parts: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Rows per part and key that occurs more than once, as parts, key and n. `parts` separate keys, as a month
+    does keys with a date, so only parts that are new need a look.
+
+    Keys are counted by 64 bits of hash, combined before the shuffle; only hashes that several rows have are
+    looked at as they are. A key is never made into text.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*key))
+    seen = hashed.groupBy(*parts, "_hash").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*parts, "_hash")])
+    suspects = hashed.join(seen.select(*[F.col(c).alias(f"_of_{c}") for c in (*parts, "_hash")]), same, "left_semi")
+    return suspects.groupBy(*parts, *key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def run_checks(models: Mapping[str, DataFrame], params: Params) -> DataFrame:
     """All declared and cross-model checks on the given models: check, model, column, violations, severity."""
     rules = declared_rules(params)
@@ -198,13 +232,7 @@ def run_checks(models: Mapping[str, DataFrame], params: Params) -> DataFrame:
             results += parent_checks(models[name], name, rules[name], models)
         elif name in models:
             results += model_checks(models[name], name, rules[name], models)
-    if "airport_hourly" in models:
-        results.append(violations(inconsistent_hours(models["airport_hourly"]), "consistent_counts", "airport_hourly"))
-        if "flights" in models:
-            lost = lost_departures(models["airport_hourly"], models["flights"])
-            results.append(violations(lost, "keeps_all_departures", "airport_hourly"))
-    if "storm_timeline" in models:
-        results.append(violations(incomplete_timelines(models["storm_timeline"], params), "complete_window", "storm_timeline"))
+    results += cross_checks(models, params)
     return reduce(DataFrame.unionByName, results)
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scope: ContextVar[list[Staging] | None] = ContextVar("scope", default=None)
 
 
 # The JVM does not compile methods above 8000 bytes. Wide projections of raw text get there, and then
@@ -42,19 +45,61 @@ class Staging:
 
     The written table cuts the lineage (a lost executor re-reads it, it does not recompute the raw
     scan) and gives the optimizer a real file size for its broadcast decision.
+
+    Tables live as long as the block that the staging is the context of, or the `scoped` call that it was
+    made in, and no longer than the application; `drop` ends the life of one of them.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         app = spark.sparkContext.applicationId
         self.path = f"{staging_root(spark)}/nimbusops-{app}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        system, folder = self._folder()
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        if (scope := _scope.get()) is not None:
+            scope.append(self)
+
+    def _folder(self, name: str = ""):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         target = f"{self.path}/{name}"
         df.write.parquet(target)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def drop(self, name: str) -> None:
+        """Delete one table, after its last consumer."""
+        system, folder = self._folder(name)
+        system.delete(folder, True)
+        self.names.remove(name)
+
     def remove(self) -> None:
         """Delete what was staged; frames that read it are of no use afterwards."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, folder = self._folder()
+        system.delete(folder, True)
+        self.names.clear()
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
+
+def scoped(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of build(), without the tables that were staged on the way: the result is written and they
+    are removed. A result that needs no staged table stays a plan."""
+    kept, opened = Staging(spark), []
+    token = _scope.set(opened)
+    try:
+        df = build()
+        return kept.write("result", df) if any(staging.names for staging in opened) else df
+    finally:
+        _scope.reset(token)
+        if any(staging.names for staging in opened):
+            for staging in opened:
+                staging.remove()

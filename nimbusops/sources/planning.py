@@ -72,6 +72,10 @@ def check_flight_batches(batches: DataFrame) -> list[str]:
     return warnings
 
 
+#: The raw columns whose values tell flights apart; the date keeps keys of different months apart.
+FLIGHT_KEY = ("FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin")
+
+
 def observation_batches(reports: DataFrame) -> DataFrame:
     """Summary of raw reports per airport and local month; text that is no number is left out."""
     temperature = F.col("tmpf").try_cast("double")
