@@ -1,21 +1,22 @@
-"""A bigram language model in Elias-Fano tries, and log10 scores of whole texts.
+"""A trigram language model in Elias-Fano tries, and log10 scores of whole texts.
 
 Tokens are words between ASCII white space, A-Z lowered, and one end per text. With c(.) and N counted
-in training texts, p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and, smoothed towards it by the weight m,
+in training texts, p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), pairs weighed by a and words by m,
 
-    p(w | u) = (c(u w) + m p1(w)) / (c(u) + m)
+    p(w | u v) = (c(u v w) + a c(v w) + m p1(w)) / (c(u v) + a c(v) + m)
 
-Only the numerator needs the pair. So every token goes to the task that owns its word w, with its
-context u; that task adds the numerator's logarithm for the pair, and for w in its later role as a
-context the logarithm of 1 / (c(w) + m). Nothing is looked up across tasks.
+which adds up to one over w. Numerators need what ends in w, denominators what ends in v. So every token goes
+to the task that owns its word, with the two words before it; that task adds the numerator's logarithm for
+the three, and the denominator's for the word in its later role as v. Nothing is looked up across tasks.
 
 A shard's trie is laid out as memory-mapped levels in the shared folder: words, each with a monotone
-pointer to its contexts, then the contexts of each word, numbered by the sorted context words and made
-monotone by the word's number, all in Elias-Fano form; and two bytes per pair and two numbers per word
-for quantised logarithms. A pair is found by successor search among its word's contexts alone.
+pointer to the words before them, each of these with a pointer to the words before it. The children of an entry
+are numbered by their sorted names and made monotone by the entry's number, all in Elias-Fano form; two
+bytes per number hold the quantised logarithms. An entry is found by successor search among the children of
+the entry above it alone.
 
-Words are known by 64 bits of hash (contexts by 48), so a table of words never goes to any one place.
-A first pass counts the training words. Words that make up more than 1 / `HOT_SHARE` of all tokens (so
+Words are known by 64 bits of hash, the word before by 48, the one before that by 32 (compared among those of one pair only), so a table
+of words never goes to any one place. A first pass counts the training words. Words that make up more than 1 / `HOT_SHARE` of all tokens (so
 at most HOT_SHARE rows, which are broadcast with their counts) have their pairs dealt by both words.
 A task sums its contributions per text before they are shuffled back. What is sent is grouped by chunk
 of texts; a chunk's messages and its list of texts must come from rows in a stable order, as in files.
@@ -41,12 +42,13 @@ from nimbusops.llm.eliasfano import EliasFano
 from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
 
-SMOOTHING = 50.0
+SMOOTHING = 50.0  # m
+PAIRS = 0.05  # a
 STEPS = 2048  # quantised logarithms per power of ten
 HOT_SHARE = 2000
 CHUNK_BYTES = 6 << 20
 #: Tokens that are no words; words never hash to them but by chance, as any two tokens may.
-END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+END, BEGIN, BEFORE = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127), np.uint64(0xB492B66FBE98F273)
 CONTEXT_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -90,75 +92,103 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 def _messages(data, offsets, doc_ids, held, chunk, shards, hot) -> Iterator[dict]:
-    """The chunk's list of texts, and per shard its pairs (word, context) with the texts that hold them."""
+    """The chunk's list of texts, and per shard its words, the words before them and the ones before these, with the
+    texts that hold each three."""
     hashes, codes, upto = word_table(data, offsets)
     n_docs, d = len(offsets) - 1, len(hashes)
-    names = np.concatenate([hashes, [END, BEGIN]])
+    names = np.concatenate([hashes, [END, BEGIN, BEFORE]])
     counts = np.diff(upto) + 1
     yield {"shard": int(_mix(np.array([chunk], np.uint64))[0] % np.uint64(shards)), "chunk": chunk, "doc_ids": doc_ids,
            "held": held.tolist(), "counts": counts.tolist()}
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    target, context = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
-    target[bounds[1:] - 1], context[bounds[:-1]] = d, d + 1
+    target, context, third = (np.empty(bounds[-1], np.int64) for _ in range(3))
+    target[bounds[1:] - 1], context[bounds[:-1]], third[bounds[:-1]] = d, d + 1, d + 2
     word = np.ones(len(target), bool)
     word[bounds[1:] - 1] = False
     target[word] = codes
     word[:], word[bounds[:-1]] = True, False
     context[word] = codes
+    third[word] = context[np.flatnonzero(word) - 1]
     doc = np.repeat(np.arange(n_docs, dtype=np.int32), counts)
     mixed = _mix(names)
     shard = (mixed % np.uint64(shards)).astype(np.int32)[target]
     often = np.isin(names, hot)[target]
     shard[often] = (_mix(mixed[target[often]] ^ names[context[often]]) % np.uint64(shards)).astype(np.int32)
-    # One sort by shard and pair; the texts of a pair stay in order.
-    order = np.lexsort((target * (d + 2) + context, shard))
-    shard, target, context, doc = shard[order], target[order], context[order], doc[order]
+    # One sort by shard, pair and word before; the texts of three words stay in order.
+    pair = target * (d + 3) + context
+    order = np.lexsort((pair * (d + 3) + third, shard) if d < 2_000_000 else (third, pair, shard))
+    shard, pair, target, context, third, doc = (x[order] for x in (shard, pair, target, context, third, doc))
     new_word = np.ones(len(order), bool)
     new_word[1:] = (target[1:] != target[:-1]) | (shard[1:] != shard[:-1])
     new_pair = new_word.copy()
     new_pair[1:] |= context[1:] != context[:-1]
-    pairs, words = np.flatnonzero(new_pair), np.flatnonzero(new_word)
-    in_pair, in_word = np.diff(np.append(pairs, len(order))), np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
+    new_third = new_pair.copy()
+    new_third[1:] |= third[1:] != third[:-1]
+    thirds, pairs, words = np.flatnonzero(new_third), np.flatnonzero(new_pair), np.flatnonzero(new_word)
+    in_third = np.diff(np.append(thirds, len(order)))
+    in_pair = np.diff(np.append(np.searchsorted(thirds, pairs), len(thirds)))
+    in_word = np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
     firsts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     for a, b in zip(firsts, np.append(firsts[1:], len(order)), strict=True):
-        p, q = np.searchsorted(pairs, [a, b])
-        v, w = np.searchsorted(words, [a, b])
+        (t, u), (p, q), (v, w) = (np.searchsorted(x, [a, b]) for x in (thirds, pairs, words))
         own = (names[context[pairs[p:q]]] & CONTEXT_BITS).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         present, local = np.unique(doc[a:b], return_inverse=True)
         yield {"shard": int(shard[a]), "chunk": chunk, "words": names[target[words[v:w]]].astype("<u8").tobytes(),
-               "n_pairs": _small(in_word[v:w]), "contexts": own.tobytes(), "n_texts": _small(in_pair[p:q]),
+               "n_pairs": _small(in_word[v:w]), "contexts": own.tobytes(), "n_thirds": _small(in_pair[p:q]),
+               "thirds": names[third[thirds[t:u]]].astype("<u4").tobytes(), "n_texts": _small(in_third[t:u]),
                "present": _small(present), "texts": _small(local), "trained": np.packbits(~held[present]).tobytes()}
 
 
 _MESSAGE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
                       ("counts", pa.list_(pa.int64()))] + [(k, pa.binary()) for k in
-                     ("words", "n_pairs", "contexts", "n_texts", "present", "texts", "trained")])
+                     ("words", "n_pairs", "contexts", "n_thirds", "thirds", "n_texts", "present", "texts", "trained")])
 _MESSAGE_DDL = ("shard int, chunk long, doc_ids array<long>, held array<boolean>, counts array<long>, words binary, n_pairs binary, "
-                "contexts binary, n_texts binary, present binary, texts binary, trained binary")
+                "contexts binary, n_thirds binary, thirds binary, n_texts binary, present binary, texts binary, trained binary")
+
+
+def _children(parent: np.ndarray, name: np.ndarray, n_parents: int) -> list[list[np.ndarray]]:
+    """A level below another: the sorted names, where each parent's children begin, and the children, numbered
+    by their names. Sorted by parent and name."""
+    names = np.unique(name)
+    numbers = np.searchsorted(names, name).astype(np.uint64)
+    return [EliasFano.encode(names), EliasFano.encode(np.searchsorted(parent, np.arange(n_parents + 1)).astype(np.uint64)),
+            EliasFano.encode(parent.astype(np.uint64) * np.uint64(max(1, len(names))) + numbers)]
+
+
+class Level:
+    """Children of the entries of the level above."""
+
+    def __init__(self, names: EliasFano, pointers: EliasFano, children: EliasFano):
+        self.names, self.pointers, self.children = names, pointers, children
+
+    def find(self, parent: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the child of that name of each parent, and whether there is one."""
+        number, known = self.names.successor(name, 0, self.names.n)
+        begin, end = (self.pointers.at(parent + i).astype(np.int64) for i in (0, 1))
+        at, found = self.children.successor(parent.astype(np.uint64) * np.uint64(max(1, self.names.n)) + number.astype(np.uint64), begin, end)
+        return at, found & known
 
 
 class Trie:
-    """Levels on mapped bytes: words, pointers and contexts in Elias-Fano form, quantised logarithms."""
+    """Levels on mapped bytes: words, the words before them, the words before these; and the quantised logarithms
+    of numerators (`ends`) and denominators (`starts`) at each level, as far as they are known there."""
+
+    LEVELS = 7  # Elias-Fano lists
 
-    def __init__(self, words: EliasFano, names: EliasFano, pointers: EliasFano, contexts: EliasFano, pair_codes: np.ndarray,
-                 unseen: np.ndarray, as_context: np.ndarray):
-        self.words, self.names, self.pointers, self.contexts = words, names, pointers, contexts
-        self.pair_codes, self.unseen, self.as_context = pair_codes, unseen, as_context
+    def __init__(self, lists: list[EliasFano], ends: list[np.ndarray], starts: list[np.ndarray]):
+        self.words, self.before, self.earlier = lists[0], Level(*lists[1:4]), Level(*lists[4:7])
+        self.ends, self.starts = ends, starts
 
     @staticmethod
-    def build(word: np.ndarray, c: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_c: np.ndarray, total: float,
-              smoothing: float) -> list[np.ndarray]:
-        """word: sorted hashes and their counts; pairs: number of the word, context and count, sorted."""
-        p1 = (c + 0.5) / total
-        names = np.unique(pair_context)
-        numbers = np.searchsorted(names, pair_context).astype(np.uint64)
-        levels = [EliasFano.encode(word), EliasFano.encode(names),
-                  EliasFano.encode(np.searchsorted(pair_word, np.arange(len(word) + 1)).astype(np.uint64)),
-                  EliasFano.encode(pair_word.astype(np.uint64) * np.uint64(max(1, len(names))) + numbers)]
-        quantised = lambda x: np.rint(np.log10(x) * STEPS)
-        codes = quantised(pair_c + smoothing * p1[pair_word]).astype(np.uint16)  # a count is at least 1, so no code is below 0
-        return [a for level in levels for a in level] + [
-            codes, quantised(smoothing * p1).astype(np.int16), quantised(1 / (c + smoothing)).astype(np.int16)]
+    def build(word: np.ndarray, c: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_c: np.ndarray, third_pair: np.ndarray,
+              third: np.ndarray, third_c: np.ndarray, total: float, smoothing: float, weight: float) -> list[np.ndarray]:
+        """word: sorted hashes and their counts; pairs: number of the word, word before and count, sorted; and
+        the same of the words before these, by number of the pair."""
+        alone = smoothing * (c + 0.5) / total
+        both = alone[pair_word] + weight * pair_c
+        lists = [EliasFano.encode(word), *_children(pair_word, pair_context, len(word)), *_children(third_pair, third, len(pair_word))]
+        numbers = [alone, both, both[third_pair] + third_c, 1 / (weight * c + smoothing), 1 / (pair_c + weight * c[pair_word] + smoothing)]
+        return [a for one in lists for a in one] + [np.rint(np.log10(x) * STEPS).astype(np.int16) for x in numbers]
 
     @staticmethod
     def save(arrays: list[np.ndarray], system, path: str) -> None:
@@ -181,70 +211,84 @@ class Trie:
         for kind, width, length in head.tolist():
             arrays.append(np.frombuffer(body, np.dtype(f"{chr(kind)}{width}"), length, at))
             at += -(-length * width // 8) * 8
-        return cls(*(EliasFano.mapped(*arrays[4 * i:4 * i + 4]) for i in range(4)), *arrays[16:])
+        rest = arrays[4 * cls.LEVELS:]
+        return cls([EliasFano.mapped(*arrays[4 * i:4 * i + 4]) for i in range(cls.LEVELS)], rest[:3], rest[3:])
 
-    def codes(self, word: np.ndarray, context: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """Quantised logarithms of the numerators of pairs (hashes of words that the trie holds, contexts)."""
-        parts = [self._codes(word[i:i + step], context[i:i + step]) for i in range(0, len(word), step)]
+    def codes(self, word: np.ndarray, context: np.ndarray, third: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """What three words (hashes; the trie holds the last one) add to a score: the quantised logarithm of the numerator
+        of the last and, unless it is the end of a text, of one over the denominator it makes later."""
+        parts = [self._codes(word[i:i + step], context[i:i + step], third[i:i + step]) for i in range(0, len(word), step)]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
-    def _codes(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def _codes(self, word: np.ndarray, context: np.ndarray, third: np.ndarray) -> np.ndarray:
         own, _ = self.words.successor(word, 0, self.words.n)
-        name, known = self.names.successor(context, 0, self.names.n)
-        begin, end = (self.pointers.at(own + i).astype(np.int64) for i in (0, 1))
-        at, found = self.contexts.successor(own.astype(np.uint64) * np.uint64(max(1, self.names.n)) + name.astype(np.uint64), begin, end)
-        out = self.unseen[own].astype(np.int64)
-        found &= known
-        out[found] = self.pair_codes[at[found]]
-        return out
-
-
-def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], smoothing: float, system, path: str) -> Iterator[tuple]:
+        pair, found = self.before.find(own, context)
+        end, start = self.ends[0][own].astype(np.int64), self.starts[0][own].astype(np.int64)
+        end[found], start[found] = self.ends[1][pair[found]], self.starts[1][pair[found]]
+        some = np.flatnonzero(found)
+        three, known = self.earlier.find(pair[some], third[some])
+        end[some[known]] = self.ends[2][three[known]]
+        return end + np.where(word == END, 0, start)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Places where sorted keys change."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], smoothing: float, weight: float, system, path: str) -> Iterator[tuple]:
     """What a shard owes each text, message by message: chunk, then texts, quantised codes, exact unigram
     logarithms and known tokens. Takes the messages out of the list."""
     parts = []
     while rows:  # each message is let go of once it is decoded
         r = rows.pop()
-        word = np.frombuffer(r["words"], "<u8")
         body = np.zeros((len(r["contexts"]) // 6, 8), np.uint8)
         body[:, :6] = np.frombuffer(r["contexts"], np.uint8).reshape(-1, 6)
-        n_texts, texts = _large(r["n_texts"]), _large(r["texts"])
-        present = _large(r["present"])
+        n_thirds, n_texts, texts, present = (_large(r[k]) for k in ("n_thirds", "n_texts", "texts", "present"))
         trained = np.unpackbits(np.frombuffer(r["trained"], np.uint8))[:len(present)].astype(np.int64)
-        c = T.sums(trained[texts], np.concatenate([[0], np.cumsum(n_texts)]))
-        parts.append([np.repeat(word, _large(r["n_pairs"])), body.view("<u8").ravel(), c, n_texts.astype(np.int32), texts.astype(np.int32),
-                      present, r["chunk"]])
+        c = T.sums(trained[texts], np.concatenate([[0], np.cumsum(n_texts)])).astype(np.int32)
+        word = np.repeat(np.repeat(np.frombuffer(r["words"], "<u8"), _large(r["n_pairs"])), n_thirds)
+        parts.append([word, np.repeat(body.view("<u8").ravel(), n_thirds), np.frombuffer(r["thirds"], "<u4"), c, n_texts.astype(np.int32),
+                      texts.astype(np.int32), present, r["chunk"]])
     if not parts:
         return
-    word, context, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    w, x, y, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
     for p in parts:
-        p[:3] = [len(p[0]), None, None]
-    order = np.lexsort((context, word))
-    w, x = word[order], context[order]
-    del word, context
-    new = np.ones(len(order), bool)
-    new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
-    at = np.flatnonzero(new)
-    pair_of = np.empty(len(order), np.int64)
-    pair_of[order] = np.cumsum(new) - 1
-    w, x, pair_c = w[at], x[at], np.add.reduceat(c[order], at)
-    del order, new, at, c
-    words, number = np.unique(w, return_inverse=True)
+        p[:4] = [len(p[0]), None, None, None]
+    order = np.lexsort((y, x, w))
+    w, x, y, c = w[order], x[order], y[order], c[order]
+    at = _groups(w, x, y)
+    three_of = np.empty(len(order), np.int32)
+    three_of[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+    w, x, y, three_c = w[at], x[at], y[at].astype(np.uint64), np.add.reduceat(c, at, dtype=np.int64)
+    del order, at, c
+    pairs = _groups(w, x)
+    pair_c = np.add.reduceat(three_c, pairs)
+    pair_of = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(w))))
+    words, number = np.unique(w[pairs], return_inverse=True)
     word_c = np.bincount(number, weights=pair_c).astype(np.int64)
     if len(hot["word"]):  # their pairs lie in many tasks, their counts are known
         place = np.minimum(np.searchsorted(hot["word"], words), len(hot["word"]) - 1)
         word_c = np.where(hot["word"][place] == words, hot["c"][place], word_c)
     seen = pair_c > 0
-    Trie.save(Trie.build(words, word_c, number[seen], x[seen], pair_c[seen], total, smoothing), system, path)
-    trie = Trie.load(system, path)
-    code = trie.codes(w, x) + np.where(words[number] == END, 0, trie.as_context[number])
-    base = np.log10((word_c + 0.5) / total)[number]
-    known = (word_c > 0)[number].astype(np.int64)
+    renumbered = np.cumsum(seen) - 1
+    seen_three = three_c > 0
+    Trie.save(Trie.build(words, word_c, number[seen], x[pairs][seen], pair_c[seen], renumbered[pair_of[seen_three]], y[seen_three],
+                         three_c[seen_three], total, smoothing, weight), system, path)
+    code = Trie.load(system, path).codes(w, x, y)
+    base = np.log10((word_c + 0.5) / total)[number][pair_of]
+    known = (word_c > 0)[number][pair_of].astype(np.int64)
+    del w, x, y, three_c, seen_three
     first = 0
     for p in parts:
-        pairs = np.repeat(pair_of[first:first + p[0]], p[3])
+        threes = np.repeat(three_of[first:first + p[0]], p[4])
         first += p[0]
-        yield p[6], [p[5]] + [np.bincount(p[4], weights=v[pairs], minlength=len(p[5])) for v in (code, base, known)]
+        yield p[7], [p[6]] + [np.bincount(p[5], weights=v[threes], minlength=len(p[6])) for v in (code, base, known)]
 
 
 def _merged(sums: dict[int, list]) -> Iterator[dict]:
@@ -261,7 +305,7 @@ _SUMS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("h
 _SUMS_DDL = "chunk long, doc_ids array<long>, held array<boolean>, counts array<long>, texts binary, codes binary, base binary, known binary"
 
 
-def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, weight: float = PAIRS, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row, learned from
     the rows that are not held out."""
     spark = docs.sparkSession
@@ -278,7 +322,7 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = shards or 4 * partitions
     begins = rows.where(~F.col("held_out")).count()
-    from_begin = np.rint(-np.log10(begins + smoothing) * STEPS)
+    from_begin = np.rint(-np.log10(begins + weight * begins + smoothing) * STEPS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -304,7 +348,7 @@ def score(docs: DataFrame, held_out: Column, smoothing: float = SMOOTHING, shard
         while by_shard:  # one shard at a time
             shard, rows = by_shard.popitem()
             name = f"{path}/{shard}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.trie"
-            for chunk, found in _shard_scores(rows, total, hot, smoothing, system, name):
+            for chunk, found in _shard_scores(rows, total, hot, smoothing, weight, system, name):
                 sums.setdefault(chunk, []).append(found)
         for one in _merged(sums):
             yield pa.RecordBatch.from_pylist([one], _SUMS)

@@ -15,6 +15,7 @@ from test_lm import scores
 from test_simhash import groups
 
 import __spark_entry__ as entry
+from nimbusops.llm import lm
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
@@ -63,7 +64,7 @@ def test_sentencepiece(spark, texts):
 
 def test_ngram_trie(spark, texts):
     got = {r.doc_id: r for r in rows(spark, "op3_ngram_trie").collect()}
-    for i, (held, n, known, total, base, model) in scores(texts, lambda i: crc(i) == 1, 50.0).items():
+    for i, (held, n, known, total, base, model) in scores(texts, lambda i: crc(i) == 1, lm.SMOOTHING, lm.PAIRS).items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - model) <= 1e-3 * (n + 1)

@@ -27,18 +27,21 @@ def test_successor(values, queries, shrink):
             assert (coded.at(np.arange(len(values))) == values).all()
 
 
-def scores(rows, held, smoothing):
-    split = {i: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"] for i, t in rows}
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+def scores(rows, held, smoothing, weight):
+    split = {i: ["<b>", "<s>", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"] for i, t in rows}
+    one, two, three, context, contexts = (collections.Counter() for _ in range(5))
     for i, w in split.items():
         if not held(i):
-            one.update(w[1:])
-            two.update(zip(w, w[1:]))
-            context.update(w[:-1])
+            one.update(w[2:])
+            two.update(zip(w[1:], w[2:]))
+            three.update(zip(w, w[1:], w[2:]))
+            context.update(w[1:-1])
+            contexts.update(zip(w[:-2], w[1:-1]))
     n, total = sum(one.values()), sum(one.values()) + 0.5 * (len(one) + 1)
     p1 = lambda x: (one[x] + 0.5) / total
-    return {i: (held(i), len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, sum(math.log10(p1(x)) for x in w[1:]),
-                sum(math.log10((two[u, x] + smoothing * p1(x)) / (context[u] + smoothing)) for u, x in zip(w, w[1:]))) for i, w in split.items()}
+    p3 = lambda u, v, x: (three[u, v, x] + weight * two[v, x] + smoothing * p1(x)) / (contexts[u, v] + weight * context[v] + smoothing)
+    return {i: (held(i), len(w) - 2, sum(one[x] > 0 for x in w[2:]), n, sum(math.log10(p1(x)) for x in w[2:]),
+                sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:]))) for i, w in split.items()}
 
 
 ROWS = [(0, "the cat sat"), (1, "The CAT sat on the mat"), (2, None), (3, ""), (4, " \n "), (5, "unseen words é É only"), (6, "the cat sat"),
@@ -50,8 +53,8 @@ def test_against_counting(docs, with_clashes, monkeypatch, hot_share, chunk, smo
     monkeypatch.setattr(lm, "HOT_SHARE", hot_share)
     monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
     table = with_clashes(docs(*ROWS)).repartition(3, "doc_id")
-    got = {r.doc_id: r for r in lm.score(table, F.col("doc_id") % 5 == 1, smoothing=smoothing, shards=7).collect()}
-    for i, (held, n, known, total, base, model) in scores(ROWS, lambda i: i % 5 == 1, smoothing).items():
+    got = {r.doc_id: r for r in lm.score(table, F.col("doc_id") % 5 == 1, smoothing=smoothing, weight=0.3, shards=7).collect()}
+    for i, (held, n, known, total, base, model) in scores(ROWS, lambda i: i % 5 == 1, smoothing, 0.3).items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - model) <= 1e-3 * (n + 1)
