@@ -9,7 +9,7 @@ which adds up to one over w. Numerators need what ends in w, denominators what e
 to the task that owns its word, with the two words before it; that task adds the numerator's logarithm for
 the three, and the denominator's for the word in its later role as v. Nothing is looked up across tasks.
 
-A shard's trie is laid out as memory-mapped levels in the shared folder: words, each with a monotone
+A shard's trie is laid out as memory-mapped levels in the shared folder, until the shard is scored: words, each with a monotone
 pointer to the words before them, each of these with a pointer to the words before it. The children of an entry
 are numbered by their sorted names and made monotone by the entry's number, all in Elias-Fano form; two
 bytes per number hold the quantised logarithms. An entry is found by successor search among the children of
@@ -43,24 +43,28 @@ from nimbusops.llm.files import open_folder
 from nimbusops.session import Staging
 
 SMOOTHING = 50.0  # m
-PAIRS = 0.05  # a
+PAIRS = 0.01  # a
 STEPS = 2048  # quantised logarithms per power of ten
 HOT_SHARE = 2000
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens that are no words; words never hash to them but by chance, as any two tokens may.
 END, BEGIN, BEFORE = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127), np.uint64(0xB492B66FBE98F273)
 CONTEXT_BITS = np.uint64((1 << 48) - 1)
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Non-negative integers in the least number of bytes each, which the first byte tells."""
+    """Non-negative integers in the least number of bytes each, which the first byte tells, all first bytes before all
+    second ones, packed."""
     top = int(values.max()) if len(values) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _large(body: bytes) -> np.ndarray:
-    return np.frombuffer(body, f"<u{body[0]}", offset=1).astype(np.int64)
+    width, n = body[0], int.from_bytes(body[1:9], "little")
+    planes = np.frombuffer(pa.decompress(body[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,21 +218,29 @@ class Trie:
         rest = arrays[4 * cls.LEVELS:]
         return cls([EliasFano.mapped(*arrays[4 * i:4 * i + 4]) for i in range(cls.LEVELS)], rest[:3], rest[3:])
 
-    def codes(self, word: np.ndarray, context: np.ndarray, third: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """What three words (hashes; the trie holds the last one) add to a score: the quantised logarithm of the numerator
-        of the last and, unless it is the end of a text, of one over the denominator it makes later."""
-        parts = [self._codes(word[i:i + step], context[i:i + step], third[i:i + step]) for i in range(0, len(word), step)]
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-    def _codes(self, word: np.ndarray, context: np.ndarray, third: np.ndarray) -> np.ndarray:
+    def pairs(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of pairs (hashes; the trie holds the last words): quantised logarithms of numerator and one over the denominator (0 for the
+        end of a text, which nothing follows), the pair's number and whether the trie holds it."""
         own, _ = self.words.successor(word, 0, self.words.n)
         pair, found = self.before.find(own, context)
-        end, start = self.ends[0][own].astype(np.int64), self.starts[0][own].astype(np.int64)
+        end, start = self.ends[0][own], self.starts[0][own]
         end[found], start[found] = self.ends[1][pair[found]], self.starts[1][pair[found]]
-        some = np.flatnonzero(found)
-        three, known = self.earlier.find(pair[some], third[some])
-        end[some[known]] = self.ends[2][three[known]]
-        return end + np.where(word == END, 0, start)
+        start[word == END] = 0
+        return end, start, pair, found
+
+    def codes(self, word: np.ndarray, context: np.ndarray, pair_of: np.ndarray, third: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """What three words add to a score, given distinct pairs, and the pair of each word that stands before one."""
+        found = [self.pairs(word[i:i + step], context[i:i + step]) for i in range(0, len(word), step)]
+        end, start, pair, held = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = np.empty(len(third), np.int32)
+        for i in range(0, len(third), step):
+            of = pair_of[i:i + step]
+            code = end[of]
+            some = np.flatnonzero(held[of])
+            three, known = self.earlier.find(pair[of[some]], third[i:i + step][some])
+            code[some[known]] = self.ends[2][three[known]]
+            out[i:i + step] = code.astype(np.int32) + start[of]
+        return out
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -280,7 +292,8 @@ def _shard_scores(rows: list[dict], total: float, hot: dict[str, np.ndarray], sm
     seen_three = three_c > 0
     Trie.save(Trie.build(words, word_c, number[seen], x[pairs][seen], pair_c[seen], renumbered[pair_of[seen_three]], y[seen_three],
                          three_c[seen_three], total, smoothing, weight), system, path)
-    code = Trie.load(system, path).codes(w, x, y)
+    code = Trie.load(system, path).codes(w[pairs], x[pairs], pair_of, y)
+    system.delete_file(path)  # what is mapped stays readable to this task
     base = np.log10((word_c + 0.5) / total)[number][pair_of]
     known = (word_c > 0)[number][pair_of].astype(np.int64)
     del w, x, y, three_c, seen_three
