@@ -12,8 +12,8 @@ Grades: 0 is not toxic. Labels do not grade toxic texts, so the sample's toxic t
 much of the vocabulary they hold: 1 up to the median, 2 above it.
 
 The model is fitted on the driver from a bounded sample: the `sample` labelled documents whose id
-hashes lowest (those that share the last hash stay, as do rows that repeat an id), each with at most
-the vocabulary's words. Word counts for the choice of the vocabulary are aggregated by Spark.
+hashes lowest (those that share the last hash stay), each with at most the vocabulary's words. A doc_id that
+labels repeat is toxic if one of them says so; of rows that repeat a doc_id the sample takes the least text. Word counts for the choice of the vocabulary are aggregated by Spark.
 
 Texts that are null or hold no vocabulary word get the value of an empty text. Without labels of
 toxic texts every severity is 0. Labels that are null are left out.
@@ -119,13 +119,15 @@ def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: in
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, text and grade (0 or 1, toxic) of the labelled sample."""
-    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").selectExpr(
-        "doc_id", "CASE WHEN toxic = 0 THEN 0 ELSE 1 END AS grade", "xxhash64(doc_id) AS h")
+    """doc_id, grade (0 or 1, toxic) and text of the labelled sample, one row per doc_id."""
+    graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.when(F.col("toxic") == 0, 0).otherwise(1)).alias("grade")).withColumn("h", F.xxhash64("doc_id"))
+    graded = Staging(docs.sparkSession).write("labels", graded)
     bound = graded.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = graded.where(F.col("h") <= (bound if bound is not None else 0)).select("doc_id", "grade")
-    return bounded(docs).select("doc_id", "text").where(F.xxhash64("doc_id") <= (bound if bound is not None else 0)).join(
-        F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    near = F.xxhash64("doc_id") <= (bound if bound is not None else 0)
+    chosen = graded.where(near).select("doc_id", "grade")
+    joined = bounded(docs).select("doc_id", "text").where(near).join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    return joined.groupBy("doc_id", "grade").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, least_chi: float = LEAST_CHI) -> Model:

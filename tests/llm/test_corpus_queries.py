@@ -1,21 +1,24 @@
 """Every registered corpus query on the smallest tables: against its SQL, or a brute-force version."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from compare import differences, duck
 from test_lm import scores
 from test_simhash import groups
 
 import __spark_entry__ as entry
-from nimbusops.llm import lm
+from nimbusops.llm import lm, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
@@ -51,6 +54,58 @@ def test_toxicity(spark):
     assert np.mean([got[i].toxic == bool(x) for i, x in labels.items() if i in got]) > 0.9
 
 
+def test_toxicity_against_plain(spark, texts):
+    """The fitted model's scores, word by word."""
+    model = toxicity.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    weight = dict(zip(model.words, model.weights.tolist()))
+    got = {r.doc_id: r for r in rows(spark, "op1_toxicity").collect()}
+    for i, text in texts:
+        body = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", body))
+        marks = words | {w[:n] + b"*" for w in words for n in (6, 7) if len(w) > n}
+        z = sum(weight.get(w, 0.0) for w in marks)
+        at_least = [1 / (1 + math.exp(min(60.0, max(-60.0, t - z)))) for t in model.thresholds]
+        exact = [a - b for a, b in zip([1.0, *at_least], [*at_least, 0.0])]
+        assert abs(got[i].severity - sum(at_least)) < 1e-6 and exact[got[i].grade] > max(exact) - 1e-9
+        assert abs(z - model.cut) < 1e-6 or got[i].toxic == (z >= model.cut)
+
+
+def test_language_against_sets(spark, texts):
+    """Languages as sets of n-grams that two of their training texts hold."""
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+
+    def grams(text):
+        body = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode() if (text or "").isascii() else re.sub(
+            rb"[A-Z]", lambda m: m[0].lower(), text.encode()))) + b" "
+        return [body[i:i + n] for n in (3, 5) for i in range(len(body) - n + 1)]
+
+    train = [(lang[i], set(grams(t))) for i, t in texts if crc(i) and lang[i] is not None]
+    size = Counter(x for x, _ in train)
+    counts = {x: Counter(g for y, held in train if y == x for g in held) for x in size}
+    sets = {x: {g for g, n in counts[x].items() if n >= min(2, size[x])} for x in size}
+    for r in rows(spark, "op8_language_filters").collect():
+        text = dict(texts)[r.doc_id]
+        if not regex.search(r"\p{L}", text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        own = grams(text)
+        share = {x: sum(g in held for g in own) / max(1, len(own)) for x, held in sets.items()}
+        assert abs(share[r.lang_pred] - r.score) < 0.02 and share[r.lang_pred] > max(share.values()) - 0.02
+
+
+def test_trie_and_repair_are_whole(spark):
+    convs = spark.read.parquet(f"{SF}/conversations.parquet")
+    n = convs.select("conv_id").distinct().count()
+    assert rows(spark, "op12_structure_repair").count() == n
+    assert rows(spark, "op11_prefix_trie").where("depth = 0").first().n_convs == n
+
+
+def test_quality(spark, texts):
+    got = rows(spark, "op13_quality").collect()
+    assert {r.doc_id: r.held_out for r in got} == {i: crc(i) == 0 for i, _ in texts}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_sentencepiece(spark, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     expected = set()

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from nimbusops.llm import toxicity
@@ -13,6 +15,38 @@ def test_fit_orders_thresholds_and_finds_weights():
     assert np.allclose(weights, [3, 1.5, 0, -1], atol=0.5) and np.allclose(thresholds, [1.5, 4], atol=0.5)
 
 
+def loss(w, t, rows):
+    """Mean negative log likelihood of (marks, grade) rows, one by one."""
+    total = 0.0
+    for marks, grade in rows:
+        z = sum(w[i] for i in marks)
+        at_least = [1.0, *(1 / (1 + math.exp(x - z)) for x in t), 0.0]
+        total -= math.log(at_least[grade] - at_least[grade + 1])
+    return total / len(rows) + 0.5e-5 * sum(x * x for x in w)
+
+
+def test_fit_is_the_least_loss():
+    rng = np.random.default_rng(4)
+    rows = [(tuple(np.flatnonzero(rng.random(3) < 0.5)), int(rng.integers(0, 3))) for _ in range(200)]
+    text, feature = np.repeat(np.arange(200), [len(m) for m, _ in rows]), np.array([i for m, _ in rows for i in m])
+    w, t = toxicity.fit(text, feature, np.array([g for _, g in rows]), 3, rounds=3000, rate=0.02)
+    best = loss(w, t, rows)
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            moved = np.concatenate([w, t])
+            moved[i] += step
+            assert loss(moved[:3], moved[3:], rows) > best
+
+
+def test_repeated_labels_and_documents(spark, docs):
+    """One row per id in the sample, whatever labels and documents repeat."""
+    table = docs(*[(i % 5, f"text {i}") for i in range(50)], (3, None), (None, "x"))
+    labels = spark.createDataFrame([(i % 4, 1, int(i == 2)) for i in range(40)] + [(1, 1, None)], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id, r.grade, r.text) for r in toxicity.sample_rows(table, labels, 8192).collect())
+    assert got == [(0, 0, "text 0"), (1, 0, "text 1"), (2, 1, "text 12"), (3, 0, "")]
+    assert toxicity.sample_rows(table, labels, 2).count() == 2
+
+
 def test_cut_lies_in_the_gap():
     assert toxicity.best_cut(np.array([0.0, 0.0, 1.0, 4.0, 6.0]), np.array([False, False, False, True, True])) == 2.5
     assert toxicity.best_cut(np.array([3.0, 3.0]), np.array([True, True])) == 3.0
