@@ -313,14 +313,14 @@ def airline_delay_report(spark, sf_dir):
     return reports.airline_delay_report(wh.view("group_histogram"), rates, wh.events, HOME, PARAMS)
 
 
-@query("""SELECT l_returnflag, count(*) AS lines, round(median(l_extendedprice), 2) AS median_price,
-    round(median(l_extendedprice * (1 - l_discount)), 2) AS median_paid FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag, count(*) AS lines, round(median(l_extendedprice), 6) AS median_price,
+    round(median(l_extendedprice * (1 - l_discount)), 6) AS median_paid FROM lineitem GROUP BY 1""")
 def continuous_medians(spark, sf_dir):
     """Medians of prices, which hardly repeat, by refinement to a thousand values."""
     lines = read(spark, sf_dir, "lineitem").select(
         "l_returnflag", F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("paid"))
     found = medians.histogram_medians(medians.value_histogram(lines, ["l_returnflag"], ["price", "paid"]), ["l_returnflag"], ["price", "paid"], 1000, 256)
-    return found.select("l_returnflag", F.col("rows").alias("lines"), F.round("median_price", 2).alias("median_price"), F.round("median_paid", 2).alias("median_paid"))
+    return found.select("l_returnflag", F.col("rows").alias("lines"), F.round("median_price", 6).alias("median_price"), F.round("median_paid", 6).alias("median_paid"))
 
 
 def day_rates(wh: Warehouse) -> DataFrame:
