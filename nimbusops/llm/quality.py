@@ -8,8 +8,9 @@ are whole numbers, so they don't depend on how rows are dealt. Learned vectors l
 get length one; a token's vector in a text is that plus its own index vector.
 
 A document becomes the mean and the standard deviation of its tokens' vectors, the length of that mean,
-the mean product of the vectors of neighbouring tokens (high where words are repeated) and the logarithm
-of the number of tokens; an empty text has zeros.
+the mean product of the vectors of neighbouring tokens (high where words are repeated) and one over the root of
+the number of tokens, the scale of the noise in all of these, which goes to nothing in texts of any greater
+length. An empty text has zeros, and one as the last.
 
 The network (tanh, then one logit) is fitted on the driver, on at most `sample` labelled documents of
 each label, those whose id hashes lowest, weighted back to the labels' numbers. A fifth of them, by
@@ -193,7 +194,7 @@ def pooled(known: pa.Array, vectors: np.ndarray, data: np.ndarray, offsets: np.n
     n = np.maximum(count, 1)[:, None]
     mean = first / n
     spread = np.sqrt(np.maximum(second / n - mean * mean, 0))
-    return np.hstack([mean, spread, np.linalg.norm(mean, axis=1)[:, None], beside[:, None] / n, np.log1p(count)[:, None]])
+    return np.hstack([mean, spread, np.linalg.norm(mean, axis=1)[:, None], beside[:, None] / n, 1 / np.sqrt(n)])
 
 
 def features(docs: DataFrame, words: list[bytes], vectors: np.ndarray, *columns: str) -> DataFrame:
