@@ -1,7 +1,7 @@
 """Equal substrings of a minimum length by interval expansion on a Burrows-Wheeler transform.
 
 Contexts (byte strings with an end mark each) are put in the order of their suffixes by prefix doubling
-up to the minimum length. Breadth-first backward extension then starts from the interval of the empty
+up to the minimum length, where only suffixes whose continuations differ are ordered anew. Breadth-first backward extension then starts from the interval of the empty
 string: an interval of a string w splits by the characters in front of it into the intervals of cw.
 The right end of an interval found at length n is a place where neighbours in suffix order share n - 1
 characters, unless a shorter interval ended there; so common prefixes come by increasing value, and
@@ -23,26 +23,39 @@ def suffix_order(text: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(size):
         key = (key << np.uint64(9)) | np.where(room > i, padded[i:n + i], 0)
-    while True:
-        order = np.argsort(key, kind="stable" if size >= length else None)
-        ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        if size >= length or new.all():
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new)
-        key = rank << np.uint64(32)
+    order = np.argsort(key)
+    new = _changes(key[order])
+    rank = np.empty(n, np.int64)
+    while size < length and not new.all():
+        rank[order] = group = np.cumsum(new)
+        after = np.zeros(n, np.int64)
         inside = np.flatnonzero(room > size)
-        key[inside] |= rank[inside + size]
+        after[inside] = rank[inside + size]
+        after = after[order]
+        torn = np.zeros(group[-1] + 1, bool)
+        torn[group[1:][~new[1:] & (after[1:] != after[:-1])]] = True
+        rows = np.flatnonzero(torn[group])
+        if not len(rows):  # suffixes that share `size` symbols share all that follow
+            break
+        both = (group[rows] << 32) | after[rows]
+        place = np.argsort(both)
+        order[rows] = order[rows[place]]
+        new[rows] = _changes(both[place])
         size *= 2
+    return order
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
 
 
 def ends_below(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each place between suffix rows (and at both ends): do its neighbours share fewer than `length`
     symbols?"""
     n = len(text)
-    before = text[order - 1].astype(np.int64)  # of the first suffix: the last end mark
+    before = text[order - 1]  # of the first suffix: the last end mark
     by_char = np.argsort(before, kind="stable")
     to = np.empty(n, np.int64)
     to[by_char] = np.arange(n)

@@ -5,20 +5,23 @@ earlier (in a smaller doc_id, or earlier in the same text) goes. Strings are jud
    first of equals. Equal strings choose equally, so they meet at the hash of their anchor. Neighbouring
    strings mostly share an anchor; such a run and the bytes under it make one context, about one per 32
    bytes of text. Only hashes and places are shuffled.
-2. Equal contexts of one anchor: all but the earliest are repeats as a whole. Within a task's piece of
-   text they are found before the shuffle, so a hot anchor sends a row per piece and context at most.
+2. Contexts of one anchor whose hashes are equal are claims: every later one claims to repeat the earliest.
+   Within a task's piece of text they are found before the shuffle, and neighbours that claim
+   neighbours merge, so a hot anchor sends a row per piece and context at most. Claims are cut at every `CHUNK`
+   bytes of the text they point to. Their bytes meet the bytes they point to in a join on that place,
+   whose one side is unique; batches of its rows go through the transform (see bwt), so that no hot passage needs one task.
 3. Where an anchor has several contexts, every string in them holds one of three blocks of
    `length` - 22 bytes around the anchor, by its place. Only contexts that share a block's hash with
    another one can share a string. The earliest of each such context, cut down to the strings with
-   shared blocks, is cut out of its text and sent to the anchor's task. There the strings that are equal are found on the Burrows-Wheeler transform of the
-   contexts (see bwt), in blocks of whole anchors. An anchor with more than `HOT` contexts is split: each
-   of its strings goes on its own, to the task of that string's hash, again once per task and string.
+   shared blocks, is cut out of its text and sent to the anchor's task, and goes through the transform there, in
+   blocks of whole anchors. An anchor with more than `HOT` contexts is split: each of its strings goes
+   on its own, to the task of that string's hash, but for those that repeat one of the same task by the transform.
 4. The covered bytes are cut out of each text.
 
 Texts are joined to places by id and the 64-bit hash of the text (`tag`), which tells rows that repeat
 an id apart: they are ordered by that hash. Rows that repeat both count as one document, and each gets its result.
-Null texts count as empty, null ids come first. doc_id must be an integer. Steps 1 and 2 compare hashes
-of 64 bits, within an anchor of 64 bits.
+Null texts count as empty, null ids come first. doc_id must be an integer. Hashes of 64 bits
+only choose what is compared: a byte goes only where the transform found its string twice.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ HOT = 2048
 BLOCKS = 3  # of BLOCK_BITS of hash each
 BLOCK_BITS = 21
 BLOCK_BYTES = 1 << 19
-FETCH_RUNS = 4096  # cut out at a time; each may hold `length` strings
+CHUNK = 2048  # bytes of the earlier text per comparison of claims
+FETCH_RUNS = 4096  # contexts cut out at a time; each may hold `length` strings
+FETCH_CHUNKS = 1024  # chunks cut out at a time
 NO_ID = -(1 << 63)
 
 _CODE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,8 +182,10 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
 
 
 def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
-    """Runs (key, tag, packed, g, n): repeats as a whole where g is null, else the earliest of a context of the
-    anchor g, which has n contexts."""
+    """Runs (key, tag, start, end) of bytes: claims to equal those from `at` on of the text (of_key, of_tag), which come earlier,
+    where g is null, else the earliest of a context of the anchor g, which has n contexts."""
+
+    names = ["g", "context", "key", "tag", "packed", "blocks", "end", "at"]  # of a claim: spread, of_key, .., start, of_tag, ..
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,19 +208,30 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 again = ~first
                 # A later row is a repeat unless it is the same place of the same document.
                 led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                same = again & ~_others(led, key, tag, packed)
-                g = np.where(again, _mix((packed ^ tag).view(np.uint64) + g), g)
+                claim = again & _others(led, key, tag, packed)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[first]) for x in (g.view(np.int64), context.view(np.int64), key, tag, packed, blocks)]
+                    + [pa.nulls(int(first.sum()), pa.int64())] * 2, names)
+                number, led = order[claim], led[claim]
+                key, tag, of_key, of_tag = key[claim], tag[claim], key[led], tag[led]
+                (low, high), (at, _) = _fields(packed[claim]), _fields(packed[led])
+                order = np.argsort(number)  # by text and place
+                key, tag, low, high, of_key, of_tag, at = (x[order] for x in (key, tag, low, high, of_key, of_tag, at))
+                new = _firsts(key, tag, of_key, of_tag, low - at)
+                new[1:] |= low[1:] != high[:-1] + 1
+                last = np.append(new[1:], True)[:len(new)]
+                key, tag, low, of_key, of_tag, at = (x[new] for x in (key, tag, low, of_key, of_tag, at))
+                spread = _mix(low.view(np.uint64) ^ tag.view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[~same]) for x in (g.view(np.int64), context.view(np.int64), key, tag, packed, blocks, again)],
-                    ["g", "context", "key", "tag", "packed", "blocks", "again"])
+                    [pa.array(x) for x in (spread, of_key, key, tag, low, of_tag, high[last] + length, at)], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.empty((6, 0), np.int64)]
         for batch in batches:
-            again = batch.column("again").to_numpy(zero_copy_only=False)
-            rows = np.stack([batch.column(i).to_numpy() for i in range(6)])
-            yield _runs(*rows[2:5, again])
-            got.append(rows[:, ~again])
+            claim = batch.column("at").is_valid()
+            _, of_key, *place, of_tag, end, at = (x.to_numpy() for x in batch.filter(claim).columns)
+            yield _runs(*place, end, of=(of_key, of_tag, at))
+            got.append(np.stack([x.to_numpy() for x in batch.filter(pa.compute.invert(claim)).columns[:6]]))
         rows = np.concatenate(got, axis=1)
         got.clear()
         order = np.lexsort(rows[4::-1])
@@ -223,7 +241,9 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         first = _firsts(g, context)
         led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         repeat = ~first & _others(led, key, tag, packed)
-        yield _runs(key[repeat], tag[repeat], packed[repeat])
+        low, high = _fields(packed[repeat])
+        led = led[repeat]
+        yield _runs(key[repeat], tag[repeat], low, high + length, of=(key[led], tag[led], _fields(packed[led])[0]))
         anchor = np.cumsum(_firsts(g)) - 1
         n = np.bincount(anchor, weights=first).astype(np.int64)[anchor] if len(anchor) else anchor
         left = first & (n > 1)
@@ -231,15 +251,17 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         kept, cut_down = shared_blocks(g, blocks, packed, length)
         g, key, tag, packed = g[kept], key[kept], tag[kept], cut_down[kept]
         anchor = np.cumsum(_firsts(g)) - 1
-        yield _runs(key, tag, packed, g, np.bincount(anchor)[anchor] if len(anchor) else anchor)
+        low, high = _fields(packed)
+        yield _runs(key, tag, low, high + length, (g, np.bincount(anchor)[anchor] if len(anchor) else anchor))
 
-    def _runs(key, tag, packed, g=None, n=None):
+    def _runs(key, tag, start, end, anchor=(None, None), of=(None, None, None)):
         none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(packed), none if g is None else pa.array(g), none if n is None else pa.array(n)],
-                                          ["key", "tag", "packed", "g", "n"])
+        return pa.RecordBatch.from_arrays([none if x is None else pa.array(x) for x in (key, tag, start, end, *anchor, *of)],
+                                          ["key", "tag", "start", "end", "g", "n", "of_key", "of_tag", "at"])
 
-    rows = keyed(docs).select("key", "tag", "text").mapInArrow(tidy(cut), "g long, context long, key long, tag long, packed long, blocks long, again boolean")
-    return rows.repartition("g").mapInArrow(tidy(settle), "key long, tag long, packed long, g long, n long")
+    rows = keyed(docs).select("key", "tag", "text").mapInArrow(tidy(cut), ", ".join(f"{x} long" for x in names))
+    return rows.repartition("g").mapInArrow(
+        tidy(settle), "key long, tag long, start long, end long, g long, n long, of_key long, of_tag long, at long")
 
 
 def _cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -249,97 +271,182 @@ def _cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body)])
 
 
+def _later(data: np.ndarray, bounds: np.ndarray, key: np.ndarray, tag: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of the contexts: does a string start there that, by the transform, an earlier place in them holds too?"""
+    context, place, kind = bwt.repeats(data, bounds, length)
+    later = np.zeros(len(data), bool)
+    if len(kind):
+        order = np.lexsort((tag, key))
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(_firsts(key[order], tag[order]))
+        spot = (rank[context] << 40) | (low[context] + place)
+        new = _firsts(kind)
+        gone = spot != np.minimum.reduceat(spot, np.flatnonzero(new))[np.cumsum(new) - 1]
+        later[bounds[context[gone]] + place[gone]] = True
+    return later
+
+
+def _marks(later: np.ndarray, bounds: np.ndarray, key: np.ndarray, tag: np.ndarray, low: np.ndarray, length: int) -> pa.RecordBatch:
+    """(key, tag, start, end) of the runs of later strings. None starts in the last bytes of a context, so runs stay inside."""
+    edge = np.diff(np.concatenate([[False], later, [False]]).astype(np.int8))
+    first, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    c = np.searchsorted(bounds, first, "right") - 1
+    shift = low[c] - bounds[c]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[c], tag[c], first + shift, end + shift + length - 1)],
+                                      ["key", "tag", "start", "end"])
+
+
+def _wanted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Texts of a batch as bytes, and the text and the fields of each run wanted of them."""
+    data, offsets = T.flat(batch.column("text"))
+    lists = batch.column("runs")
+    doc = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy())
+    return data, offsets, doc, [x.to_numpy() for x in lists.flatten().flatten()]
+
+
+def _asked(docs: DataFrame, runs: DataFrame, *fields: str) -> DataFrame:
+    """Texts (key, tag, text) with the runs that are wanted of them. A text has at most some per 32 bytes."""
+    lists = runs.groupBy("key", "tag").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+    return keyed(docs).select("key", "tag", "text").join(lists, ["key", "tag"])
+
+
+def find_claimed(docs: DataFrame, runs: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """Marks (key, tag, start, end) of strings of the claims that the bytes they point to hold, by the transform."""
+
+    def fetch_claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, doc, (start, end, of_key, of_tag, at) = _wanted(batch)
+            keys, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
+            shift = start - at
+            order = np.lexsort((end, start, shift, of_tag, of_key, doc))
+            doc, start, end, of_key, of_tag, shift = (x[order] for x in (doc, start, end, of_key, of_tag, shift))
+            # Runs that touch in a string or follow one another are one; no other text or shift lies between them.
+            new = _firsts(doc, of_key, of_tag, shift)
+            new[1:] |= start[1:] > end[:-1] - length + 1
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            end = np.maximum.reduceat(end, first)
+            doc, start, of_key, of_tag, shift = (x[first] for x in (doc, start, of_key, of_tag, shift))
+            at = start - shift
+            chunk = at // CHUNK
+            count = (end - shift - length) // CHUNK - chunk + 1
+            each = np.repeat(np.arange(len(first)), count)
+            chunk = chunk[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            doc, shift = doc[each], shift[each]
+            start = np.maximum(start[each], chunk * CHUNK + shift)
+            end = np.minimum(end[each], (chunk + 1) * CHUNK + length - 1 + shift)
+            for a in range(0, len(each), FETCH_CHUNKS):
+                own = slice(a, a + FETCH_CHUNKS)
+                base = offsets[doc[own]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (of_key[each[own]], of_tag[each[own]], chunk[own], keys[doc[own]], tags[doc[own]], start[own])]
+                    + [_cut_out(data, base + start[own], base + end[own])], ["of_key", "of_tag", "chunk", "key", "tag", "start", "body"])
+
+    def fetch_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, doc, (chunk, start, end) = _wanted(batch)
+            keys, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
+            for a in range(0, len(doc), FETCH_CHUNKS):
+                own = slice(a, a + FETCH_CHUNKS)
+                base = offsets[doc[own]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (keys[doc[own]], tags[doc[own]], chunk[own], start[own])]
+                    + [_cut_out(data, base + start[own], base + end[own])], ["of_key", "of_tag", "chunk", "begin", "earlier"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.sort_by([("of_key", "ascending"), ("of_tag", "ascending"), ("chunk", "ascending")])
+            of_key, of_tag, chunk, key, tag, start, begin = (batch.column(x).to_numpy() for x in (
+                "of_key", "of_tag", "chunk", "key", "tag", "start", "begin"))
+            data, offsets = T.flat(batch.column("body"))
+            for a, b in T.pieces(offsets, block_bytes):
+                first = a + np.flatnonzero(_firsts(of_key[a:b], of_tag[a:b], chunk[a:b]))
+                earlier, edges = T.flat(batch.column("earlier").take(pa.array(first)))
+                both = np.concatenate([earlier, data[offsets[a]:offsets[b]]])
+                bounds = np.concatenate([edges, edges[-1] + offsets[a + 1:b + 1] - offsets[a]])
+                place = [np.concatenate([x[first], y[a:b]]) for x, y in ((of_key, key), (of_tag, tag), (begin, start))]
+                yield _marks(_later(both, bounds, *place, length), bounds, *place, length)
+
+    claims = runs.where("g IS NULL")
+    fields = "of_key long, of_tag long, chunk long, "
+    copies = _asked(docs, claims, "start", "end", "of_key", "of_tag", "at").mapInArrow(
+        tidy(fetch_claims), fields + "key long, tag long, start long, body binary")
+    until = F.col("at") + F.col("end") - F.col("start")
+    chunks = claims.select("of_key", "of_tag", "at", until.alias("until"), F.explode(F.sequence(
+        F.expr(f"at div {CHUNK}"), F.floor((until - length) / CHUNK))).alias("chunk")).groupBy("of_key", "of_tag", "chunk").agg(
+            F.min(F.greatest("at", F.col("chunk") * CHUNK)).alias("start"),
+            F.max(F.least("until", (F.col("chunk") + 1) * CHUNK + length - 1)).alias("end")).withColumnsRenamed({"of_key": "key", "of_tag": "tag"})
+    # Rows that repeat are one text. Its start goes with the key, so that the join shuffles anew and can split a hot place.
+    earlier = _asked(docs, chunks, "chunk", "start", "end").mapInArrow(tidy(fetch_chunks), fields + "begin long, earlier binary").groupBy(
+        "of_key", "of_tag", "chunk", "begin").agg(F.first("earlier").alias("earlier"))
+    return copies.join(earlier, ["of_key", "of_tag", "chunk"]).mapInArrow(tidy(judge), "key long, tag long, start long, end long")
+
+
 def find_marks(docs: DataFrame, runs: DataFrame, length: int, hot: int, block_bytes: int) -> DataFrame:
     """Marks (key, tag, start, end) of repeated strings among contexts that differ."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "key", "tag", "packed", "body"]
+        names = ["g", "key", "tag", "start", "end", "body"]
         for batch in batches:
-            data, offsets = T.flat(batch.column("text"))
-            lists = batch.column("runs")
-            flat = lists.flatten()
-            all_doc = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(lists).to_numpy())
-            all_g, all_packed, all_n = (flat.field(i).to_numpy() for i in range(3))
+            data, offsets, all_doc, columns = _wanted(batch)
             keys, tags = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
-            for a in range(0, len(all_g), FETCH_RUNS):
-                doc, g, packed, n = (x[a:a + FETCH_RUNS] for x in (all_doc, all_g, all_packed, all_n))
-                low, high = _fields(packed)
+            for a in range(0, len(all_doc), FETCH_RUNS):
+                doc, g, low, end, n = (x[a:a + FETCH_RUNS] for x in (all_doc, *columns))
                 cold = n <= hot
                 base = offsets[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[cold]), pa.array(keys[doc][cold]), pa.array(tags[doc][cold]), pa.array(packed[cold]),
-                     _cut_out(data, (base + low)[cold], (base + high + length)[cold])], names)
+                    [pa.array(x[cold]) for x in (g, keys[doc], tags[doc], low, end)]
+                    + [_cut_out(data, (base + low)[cold], (base + end)[cold])], names)
                 if cold.all():
                     continue
-                doc, g, packed, low, high = (x[~cold] for x in (doc, g, packed, low, high))
-                count = high - low + 1
+                doc, g, low, end = (x[~cold] for x in (doc, g, low, end))
+                place = keys[doc], tags[doc], low
+                bounds = np.concatenate([[0], np.cumsum(end - low)])
+                body = _cut_out(data, offsets[doc] + low, offsets[doc] + end)
+                later = _later(T.flat(body)[0], bounds, *place, length)
+                found = _marks(later, bounds, *place, length)
+                spread = _mix((found.column("start").to_numpy() ^ found.column("tag").to_numpy()).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), *found.columns, pa.nulls(len(found), pa.binary())], names)
+                # Of equal strings in this task the earliest goes on.
+                count = end - low - length + 1
                 each = np.repeat(np.arange(len(doc)), count)
-                start = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                found = np.empty(len(each), np.uint64)
+                inside = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                own = ~later[bounds[each] + inside]
+                each, start = each[own], (low[each] + inside)[own]
+                code = np.empty(len(each), np.uint64)
                 for d in np.unique(doc):  # hashes of one text at a time
-                    own = doc[each] == d
+                    of = doc[each] == d
                     h = gram_hashes(data[offsets[d]:offsets[d + 1]])
-                    found[own] = string_hashes(h, start[own], start[own] + length, length)
-                packed, key, tag = start << 14, keys[doc][each], tags[doc][each]
-                g = _mix(found ^ g[each].view(np.uint64))
-                order = np.lexsort((packed, tag, key, g))
-                g, packed, key, tag, doc, start = (x[order] for x in (g, packed, key, tag, doc[each], start))
-                first = _firsts(g)
-                led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                repeat = ~first & _others(led, key, tag, packed)
+                    code[of] = string_hashes(h, start[of], start[of] + length, length)
+                doc, g = doc[each], _mix(code ^ g[each].view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[first].view(np.int64)), pa.array(key[first]), pa.array(tag[first]), pa.array(packed[first]),
-                     _cut_out(data, offsets[doc[first]] + start[first], offsets[doc[first]] + start[first] + length)], names)
-                yield pa.RecordBatch.from_arrays(  # an equal string of this task is earlier
-                    [pa.array(_mix((packed ^ tag)[repeat].view(np.uint64)).view(np.int64)), pa.array(key[repeat]), pa.array(tag[repeat]), pa.array(packed[repeat]),
-                     pa.nulls(int(repeat.sum()), pa.binary())], names)
+                    [pa.array(x) for x in (g, keys[doc], tags[doc], start, start + length)]
+                    + [_cut_out(data, offsets[doc] + start, offsets[doc] + start + length)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for x in batches if len(x)]
-        if not got:
+        got = []
+        for batch in batches:
+            known = batch.column("body").is_null()
+            yield batch.filter(known).select(["key", "tag", "start", "end"])
+            got.append(batch.filter(pa.compute.invert(known)))
+        if not sum(map(len, got)):
             return
-        table = pa.Table.from_batches(got).combine_chunks()
-        known = table.filter(pa.compute.is_null(table["body"]))
-        start, last = _fields(known["packed"].to_numpy())
-        yield _marks(known["key"].to_numpy(), known["tag"].to_numpy(), start, last + length)
-        table = table.filter(pa.compute.is_valid(table["body"])).sort_by("g").combine_chunks()
-        g = table["g"].to_numpy()
+        table = pa.Table.from_batches(got).sort_by("g").combine_chunks()
+        got.clear()
+        g, *place = (table[x].to_numpy() for x in ("g", "key", "tag", "start"))
         data, offsets = T.flat(table["body"])
         groups = np.append(np.flatnonzero(_firsts(g)), len(g))
         at = 0
         while at < len(groups) - 1:
             until = max(int(np.searchsorted(offsets[groups], offsets[groups[at]] + block_bytes, "right")) - 1, at + 1)
             a, b = groups[at], groups[until]
-            yield _repeated(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], g[a:b],
-                            *(table[c].to_numpy()[a:b] for c in ("key", "tag", "packed")))
+            bounds, own = offsets[a:b + 1] - offsets[a], [x[a:b] for x in place]
+            yield _marks(_later(data[offsets[a]:offsets[b]], bounds, *own, length), bounds, *own, length)
             at = until
 
-    def _repeated(data, bounds, g, key, tag, packed):
-        context, place, kind = bwt.repeats(data, bounds, length)
-        # Equal strings of different anchors (by a hash that others share) are not compared here.
-        low, _ = _fields(packed)
-        spot = low[context] + place
-        order = np.lexsort((spot, tag[context], key[context], kind))
-        context, place, kind, spot = context[order], place[order], kind[order], spot[order]
-        led = np.maximum.accumulate(np.where(_firsts(kind), np.arange(len(kind)), 0))
-        gone = _others(led, key[context], tag[context], spot)
-        context, place = context[gone], place[gone]
-        order = np.lexsort((place, context))
-        context, place = context[order], place[order]
-        new = np.ones(len(context), bool)
-        new[1:] = (context[1:] != context[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(context))[:len(first)] - 1
-        c = context[first]
-        return _marks(key[c], tag[c], low[c] + place[first], low[c] + place[last] + length)
-
-    def _marks(key, tag, start, end):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tag, start, end)], ["key", "tag", "start", "end"])
-
-    wanted = runs.where("g IS NOT NULL").groupBy("key", "tag").agg(
-        F.collect_list(F.struct("g", "packed", "n")).alias("runs"))
-    texts = keyed(docs).select("key", "tag", "text").join(wanted, ["key", "tag"])
-    contexts = texts.mapInArrow(tidy(fetch), "g long, key long, tag long, packed long, body binary")
+    contexts = _asked(docs, runs.where("g IS NOT NULL"), "g", "start", "end", "n").mapInArrow(
+        tidy(fetch), "g long, key long, tag long, start long, end long, body binary")
     return contexts.repartition("g").mapInArrow(tidy(compare), "key long, tag long, start long, end long")
 
 
@@ -381,10 +488,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, limit:
         raise ValueError("strings must have 65 to 159 bytes, pieces under 16 MB")
     staging = Staging(docs.sparkSession)
     runs = staging.write("runs", find_runs(docs, length, limit))
-    whole = runs.where("g IS NULL").selectExpr(
-        "key", "tag", "shiftright(packed, 14) AS start", f"shiftright(packed, 14) + (shiftright(packed, 7) & 127) + {length} AS end")
-    marks = whole.union(find_marks(docs, runs, length, hot, block_bytes)).groupBy("key", "tag").agg(
-        F.collect_list(F.struct("start", "end")).alias("marks"))
+    found = find_claimed(docs, runs, length, block_bytes).union(find_marks(docs, runs, length, hot, block_bytes))
+    marks = found.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -106,3 +106,23 @@ def test_thousands_of_texts_under_one_id(docs):
     got = suffixes.remove_repeats(table, carry=("text",)).collect()
     assert {r.row.text: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in got} == expected
     assert len(got) == 3000 and sum(len(s) for _, s, _ in expected.values()) > 900
+
+
+def test_claims_are_judged_by_bytes(spark, docs):
+    rng = np.random.default_rng(6)
+    a, b, c = ("".join(rng.choice(list("abcdefgh "), 5000)) for _ in range(3))
+    table = docs((1, a), (2, a[:2500] + b[2500:]), (3, c))
+    tag = {r.doc_id: r.tag for r in table.selectExpr("doc_id", "xxhash64(text) AS tag").collect()}
+    claim = lambda of, to: (to, tag[to], 0, 5000, None, None, of, tag[of], 0)
+    runs = spark.createDataFrame([claim(1, 2), claim(1, 3)], "key long, tag long, start long, end long, g long, n long, of_key long, of_tag long, at long")
+    marks = suffixes.find_claimed(table, runs, 100, suffixes.BLOCK_BYTES).collect()
+    gone = {(r.key, p) for r in marks for p in range(r.start, r.end)}
+    common = next(i for i in range(2500, 5001) if i == 5000 or a[i] != b[i])
+    assert gone == {(2, p) for p in range(common)}
+
+
+def test_runs_of_equal_hash_are_claims(docs):
+    body = " ".join(str(i) for i in range(3000))
+    runs = suffixes.find_runs(docs((1, body), (2, body), (3, "x" + body[50:9000])), 100, 1 << 20).collect()
+    claims = [r for r in runs if r.g is None]
+    assert claims and all((r.of_key, r.at) < (r.key, r.start) and r.end - r.start >= 100 for r in claims)
