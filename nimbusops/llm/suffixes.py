@@ -5,7 +5,8 @@ earlier (in a smaller doc_id, or earlier in the same text) goes. Strings are jud
    first of equals. Equal strings choose equally, so they meet at the hash of their anchor. Neighbouring
    strings mostly share an anchor; such a run and the bytes under it make one context, about one per 32
    bytes of text. Only hashes and places are shuffled.
-2. Contexts of one anchor whose hashes are equal are claims: every later one claims to repeat the earliest.
+2. Contexts of one anchor whose hashes are equal are claims: every later one claims to repeat the earliest, or the one
+   before in the same text.
    Within a task's piece of text they are found before the shuffle, and neighbours that claim
    neighbours merge, so a hot anchor sends a row per piece and context at most. Claims are cut at every `CHUNK`
    bytes of the text they point to. Their bytes meet the bytes they point to in a join on that place,
@@ -175,6 +176,15 @@ def _others(led: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return other
 
 
+def _pointed(led: np.ndarray, key: np.ndarray, tag: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """For rows in order of place, the row whose place each claims to repeat: the one before in the same text,
+    so that the claims of a periodic text have one shift and merge, else the row that leads."""
+    out, at = led.copy(), np.arange(1, len(led))
+    own = (led[1:] == led[:-1]) & (key[1:] == key[:-1]) & (tag[1:] == tag[:-1]) & (packed[1:] != packed[:-1])
+    out[1:][own] = at[own] - 1
+    return out
+
+
 def keyed(docs: DataFrame, *more) -> DataFrame:
     """The id, with a number for null, and the text. Joins that take the same columns share one shuffle."""
     return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
@@ -212,7 +222,7 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[first]) for x in (g.view(np.int64), context.view(np.int64), key, tag, packed, blocks)]
                     + [pa.nulls(int(first.sum()), pa.int64())] * 2, names)
-                number, led = order[claim], led[claim]
+                number, led = order[claim], _pointed(led, key, tag, packed)[claim]
                 key, tag, of_key, of_tag = key[claim], tag[claim], key[led], tag[led]
                 (low, high), (at, _) = _fields(packed[claim]), _fields(packed[led])
                 order = np.argsort(number)  # by text and place
@@ -242,7 +252,7 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         led = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         repeat = ~first & _others(led, key, tag, packed)
         low, high = _fields(packed[repeat])
-        led = led[repeat]
+        led = _pointed(led, key, tag, packed)[repeat]
         yield _runs(key[repeat], tag[repeat], low, high + length, of=(key[led], tag[led], _fields(packed[led])[0]))
         anchor = np.cumsum(_firsts(g)) - 1
         n = np.bincount(anchor, weights=first).astype(np.int64)[anchor] if len(anchor) else anchor
